@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from shardloom.plans import pixels, scores
+
 
 def queries() -> dict:
-    return {}
+    return {**pixels.QUERIES, **scores.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {**pixels.ORACLE, **scores.ORACLE}
