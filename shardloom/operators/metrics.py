@@ -161,6 +161,24 @@ def class_separation(vectors: DataFrame) -> DataFrame:
     return within.crossJoin(between).select("within", "between", ratio(F.col("between"), F.col("within")).alias("separation"), F.col("c.first").alias("closest_a"), F.col("c.second").alias("closest_b"))
 
 
+def _softmax(v: Column) -> Column:
+    top = F.array_max(v)
+    e = F.transform(v, lambda x: F.exp(x - top))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+
+def distribution_loss(rows: DataFrame, group: str = "event_idx") -> DataFrame:
+    """One row over (event, is_masked, student, teacher) of logits already divided by their temperatures: means, by row then by
+    event, of the cross-entropy, the teacher's and the student's entropy, their difference, and the loss of masked and other rows."""
+    p = rows.select(group, "is_masked", _softmax(F.col("student")).alias("s"), _softmax(F.col("teacher")).alias("t"))
+    minus = lambda a, b: -F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x > 0, x * F.ln(y)).otherwise(0.0)), F.lit(0.0), lambda acc, x: acc + x)
+    per = p.select(group, "is_masked", minus("t", "s").alias("loss"), minus("t", "t").alias("te"), minus("s", "s").alias("se"))
+    means = per.groupBy(group).agg(
+        F.avg("loss").alias("loss"), F.avg("te").alias("te"), F.avg("se").alias("se"), F.avg(F.when(F.col("is_masked"), F.col("loss"))).alias("lm"), F.avg(F.when(~F.col("is_masked"), F.col("loss"))).alias("lu")
+    )
+    return means.agg(F.avg("loss").alias("loss"), F.avg("te").alias("teacher_entropy"), F.avg("se").alias("student_entropy"), F.avg(F.col("loss") - F.col("te")).alias("kl"), F.avg("lm").alias("loss_masked"), F.avg("lu").alias("loss_unmasked"))
+
+
 def sinkhorn(logits: DataFrame, temperature: float, rounds: int, row: str = "row", col: str = "col", value: str = "logit") -> DataFrame:
     """(row, col, p): ``rounds`` times every column, then every row, is brought to equal mass, from exp(logit / temperature); rows sum to 1."""
     peak = logits.agg(F.max(value).alias("peak"), F.count_distinct(row).alias("rows"), F.count_distinct(col).alias("cols"))

@@ -55,6 +55,23 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", w
     return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def near_in_group(rows: DataFrame, k: int, group: str) -> DataFrame:
+    """The k nearest others of each row among its group's rows (id, vec), by squared distance: (group, query, neighbour, score,
+    rank). For groups of which the pairs fit in one task; ``top_k(within=)`` cuts larger ones into blocks."""
+
+    def nearest(c: dict) -> dict:
+        x, n = _vectors(c["vec"]), len(c["id"])
+        score = np.round(-((x[:, None] - x[None]) ** 2).sum(axis=2), 6) + 0.0
+        score[np.arange(n), np.arange(n)] = -np.inf
+        order = np.argsort(-score, axis=1, kind="stable")[:, : min(k, n - 1)]
+        at = np.repeat(np.arange(n), order.shape[1])
+        return {group: c[group][at], "query": c["id"][at], "neighbour": c["id"][order.ravel()], "score": np.take_along_axis(score, order, 1).ravel(), "rank": np.tile(np.arange(1, order.shape[1] + 1), n)}
+
+    kinds = dict(rows.dtypes)
+    schema = f"{group} {kinds[group]}, query {kinds['id']}, neighbour {kinds['id']}, score double, rank bigint"
+    return by_runs(rows, group, ["id"], nearest, schema)
+
+
 def vote(neighbours: DataFrame, labels: DataFrame, by: list[str], label: str = "label") -> DataFrame:
     """Majority label of every query's neighbours, ties to the smallest, and its count."""
     own = labels.select(F.col("id").alias("neighbour"), F.col(label).alias("__l"))

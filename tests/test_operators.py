@@ -216,8 +216,22 @@ def test_projection(spark):
                                   "anode int, face int, plane int, seg_pos int, channel int, head struct<x:double,y:double,z:double>, tail struct<x:double,y:double,z:double>")
     seg = vertices.wire_segments(wires)
     pts = spark.createDataFrame([(1, 0, 5.0, 50.0, 21.0), (2, 0, 5.0, 50.0, 15.0)], "id long, anode int, x double, y double, z double")
-    assert rows(vertices.project(pts, seg, 0.5), "id") == [(1, 0, 2, 102, 202, 8.0), (2, 0, 1, 101, 201, 8.0)]
-    assert [r[-1] for r in rows(vertices.in_volume(pts.withColumn("y", F.col("y") + 56), vertices.wire_boxes(seg)), "id")] == [False, False]
+    assert rows(vertices.project(pts, seg, 0.5, 0.0), "id") == [(1, 0, 2, 102, 202, 8.0), (2, 0, 1, 101, 201, 8.0)]
+    assert [r[-1] for r in rows(vertices.in_volume(pts.withColumn("y", F.col("y") + 6), vertices.wire_boxes(seg)), "id")] == [False, False]
+
+
+def test_wires_from_json(spark, tmp_path):
+    import bz2
+    import json
+
+    from shardloom.sources.wires import read_wires
+
+    points = [{"Point": {"x": 10.0, "y": y, "z": 100.0 * k}} for k in range(4) for y in (0.0, 1000.0)]
+    wires_ = [{"Wire": {"channel": 7 + k, "tail": 2 * k, "head": 2 * k + 1}} for k in range(4)]
+    store = {"anodes": [{"Anode": {"faces": [0]}}], "faces": [{"Face": {"planes": [0, 1]}}], "planes": [{"Plane": {"wires": [2, 0]}}, {"Plane": {"wires": [3]}}], "wires": wires_, "points": points}
+    (tmp_path / "w.json.bz2").write_bytes(bz2.compress(json.dumps({"Store": store}).encode()))
+    got = vertices.wire_segments(read_wires(spark, str(tmp_path / "w.json.bz2"))).select("plane", "seg_pos", "channel", "az", "by", "plane_x")
+    assert rows(got, "plane", "seg_pos") == [(0, 0, 9, 20.0, 100.0, 1.0), (0, 1, 7, 0.0, 100.0, 1.0), (1, 0, 10, 30.0, 100.0, 1.0)]
 
 
 def test_wipe_keeps_survivors(spark):
