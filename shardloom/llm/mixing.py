@@ -55,6 +55,11 @@ def sampling_key(doc_id: Column, weight: Column) -> Column:
     return F.when(weight == 2, F.least(F.sqrt(u), F.lit(1 - 2.0**-53))).otherwise(u)
 
 
+def _by_source(df: DataFrame) -> DataFrame:
+    """A table of a row per source, broadcast if that is few; the rows of a large source then stay where they are."""
+    return F.broadcast(df) if df.limit(10_001).count() <= 10_000 else df
+
+
 def _narrow(docs: DataFrame) -> DataFrame:
     size = n_words(F.col("text"))
     rows = docs.withColumns({"__size": size, "__weight": quality_weight(F.col("text"), size)})
@@ -70,20 +75,20 @@ def _ends(rows: DataFrame, goals: DataFrame) -> DataFrame:
     that brings the sum nearer to the goal. Equal units count as one.
     """
     units = cut(rows.groupBy("sid", "unit").agg(F.sum("unit.size").alias("words")))
-    state = goals.select("sid", F.col("goal").alias("rest"), F.lit(0.0).alias("low"))
+    state = cut(goals.select("sid", F.col("goal").alias("rest"), F.lit(0.0).alias("low")))
     sums = [F.max(F.when(F.col("sum") <= F.col("rest"), F.col("sum"))).alias("had"), F.max(F.when(F.col("sum") > F.col("rest"), F.col("at"))).alias("at")]
     key, rest = F.col("unit.key"), F.col("rest") - F.coalesce("had", F.lit(0))
     for level in range(LEVELS):
         width = float(RANGES) ** -(level + 1)
-        inside = units.join(state, "sid").where((key >= F.col("low")) & (key < F.col("low") + RANGES * width))
+        inside = units.join(_by_source(state), "sid").where((key >= F.col("low")) & (key < F.col("low") + RANGES * width))
         part = inside.groupBy("sid", "low", "rest", F.floor((key - F.col("low")) / width).alias("at")).agg(F.sum("words").alias("words"))
         part = part.withColumn("sum", F.sum("words").over(Window.partitionBy("sid").orderBy(F.desc("at"))))
         state = cut(part.groupBy("sid", "low", "rest").agg(*sums).select("sid", rest.alias("rest"), (F.col("low") + F.col("at") * width).alias("low")))
-    inside = units.join(state, "sid").where((key >= F.col("low")) & (key < F.col("low") + width))
+    inside = units.join(_by_source(state), "sid").where((key >= F.col("low")) & (key < F.col("low") + width))
     part = inside.select("sid", "rest", F.col("unit").alias("at"), F.sum("words").over(Window.partitionBy("sid").orderBy(F.desc("unit"))).alias("sum"))
     state = cut(part.groupBy("sid", "rest").agg(*sums).select("sid", rest.alias("rest"), F.col("at").alias("last")))
     miss = F.abs(F.col("words") - F.col("rest"))
-    spare = units.join(state, "sid").where((F.col("unit") <= F.col("last")) & (miss < F.col("rest")))
+    spare = units.join(_by_source(state), "sid").where((F.col("unit") <= F.col("last")) & (miss < F.col("rest")))
     extra = spare.groupBy("sid").agg(F.min(F.struct(miss.alias("miss"), "unit"))["unit"].alias("extra"))
     return state.join(extra, "sid", "left").select("sid", "last", "extra")
 
@@ -97,9 +102,9 @@ def _copies(rows: DataFrame, columns: list[str], weights: tuple[int, ...], most:
     goals = cut(goals.withColumn("goal", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")))
     own = goals.withColumnRenamed("source", "__source").withColumnRenamed("sid", "__sid")
     same = F.col("source").eqNullSafe(F.col("__source"))
-    parts = rows.where("__size > 0").join(goals.select(F.col("source").alias("__source"), "sid"), same).select("sid", F.col("__unit").alias("unit"))
+    parts = rows.where("__size > 0").join(_by_source(goals.select(F.col("source").alias("__source"), "sid")), same).select("sid", F.col("__unit").alias("unit"))
     ends = cut(_ends(parts, goals.where("source_size > 0").select("sid", "goal")))
-    own = own.join(ends.withColumnRenamed("sid", "__sid"), "__sid", "left")
+    own = _by_source(cut(own.join(ends.withColumnRenamed("sid", "__sid"), "__sid", "left")))
     sampled = (F.col("__unit") > F.col("last")) | F.coalesce(F.col("__unit") == F.col("extra"), F.lit(False))
     copies = F.when(F.col("__size") > 0, F.col("epochs") + sampled.cast("int")).otherwise(0)
     return rows.join(own, same, "left").select(*columns, "source_size", "target", copies.alias("copies"))

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words of which a Python worker keeps the ids.
-CACHED = 800_000
+#: Words of which a Python worker keeps the ids, and characters of text that it encodes at once (or one longer text).
+CACHED, AT_ONCE = 250_000, 1 << 19
 NORMAL, BYTE, BPE = 1, 6, 2
 
 
@@ -303,23 +303,26 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", tex
     encoded whole, however long. Repeated rows and null ids are rows like any other. An empty table gives no rows.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     model = docs.sparkSession.sparkContext.broadcast(read_model(docs, model_path))
 
     def batches(parts):
         pieces = _pieces(model.value)
         for part in parts:
-            texts = part.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                some = iter(pieces.encode([t for t in texts[at : at + 256] if t is not None]))
-                ids = [None if t is None else next(some) for t in texts[at : at + 256]]
-                same = [None if x is None or not check else pieces.decode(x.tolist()) == t for x, t in zip(ids, texts[at : at + 256], strict=True)]
+            lengths = np.cumsum(pc.utf8_length(part.column(1)).fill_null(0).to_numpy(zero_copy_only=False)) // AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), part.num_rows]
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                texts = part.column(1)[at:to].to_pylist()
+                some = iter(pieces.encode([t for t in texts if t is not None]))
+                ids = [None if t is None else next(some) for t in texts]
+                same = [None if x is None or not check else pieces.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
                 counts = [0 if x is None else len(x) for x in ids]
                 flat = np.concatenate([x for x in ids if x is not None]) if any(counts) else np.array([], np.int32)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-                missing = pa.array([x is None for x in ids])
+                missing = pa.array([x is None for x in ids], pa.bool_())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(flat), mask=missing)
-                yield pa.RecordBatch.from_arrays([part.column(0)[at : at + 256], lists, pa.array(counts, pa.int64()), pa.array(same, pa.bool_())], ["id", "ids", "n_ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([part.column(0)[at:to], lists, pa.array(counts, pa.int64()), pa.array(same, pa.bool_())], ["id", "ids", "n_ids", "round_trip"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

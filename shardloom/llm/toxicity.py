@@ -17,11 +17,11 @@ IDENTITY = (
     "asian", "black", "blind", "catholic", "christian", "deaf", "disabled", "female", "gay", "hispanic", "hindu", "immigrant", "immigrants",
     "jewish", "jews", "latino", "lesbian", "male", "men", "muslim", "muslims", "old", "refugees", "trans", "transgender", "white", "women", "young",
 )
-#: Labelled rows to learn from at most, features at most, documents that a feature must be in, and lengths of word beginnings.
-SAMPLE, FEATURES, LEAST, BEGINNINGS = 20_000, 4096, 5, (4, 5, 6)
+#: Labelled rows to learn from at most, features at most, documents that a feature must be in, its least z, and lengths of word beginnings.
+SAMPLE, FEATURES, LEAST, LEAST_Z, BEGINNINGS = 20_000, 4096, 5, 3.5, (4, 5, 6)
 #: Predicted toxic from this score on.
 THRESHOLD = 0.7
-RIDGE, SWAP, ROUNDS = 1e-4, 1.0, 600
+RIDGE, SWAP, ROUNDS, ALARM = 1e-4, 1.0, 600, 3.0
 LETTERS = re.compile(r"[^\W\d_]+")
 WORDS = r"\p{L}+"
 
@@ -43,13 +43,13 @@ def swaps(text: str, terms: tuple[str, ...] = IDENTITY) -> list[str]:
 
 
 def boundary(odds: np.ndarray, y: np.ndarray) -> float:
-    """The log-odds from which on to call a text toxic so that the error shares of the two labels sum to least; the middle of the widest such gap."""
-    order = np.argsort(odds, kind="stable")
-    odds, y = odds[order], y[order]
-    error = np.concatenate(([0], np.cumsum(y) / y.sum())) + 1 - np.concatenate(([0], np.cumsum(1 - y) / (1 - y).sum()))
-    edges = np.concatenate(([odds[0] - 1], odds, [odds[-1] + 1]))
-    gap = np.where(error <= error.min() + 1e-9, edges[1:] - edges[:-1], -1)
-    k = int(gap.argmax())
+    """The log-odds from which on to call a text toxic: the share of missed toxic texts and ALARM times that of false alarms
+    sum to least, and the boundary is the middle of the widest such gap."""
+    values, at = np.unique(odds, return_inverse=True)
+    missed = np.concatenate(([0], np.cumsum(np.bincount(at, y)) / y.sum()))
+    alarms = 1 - np.concatenate(([0], np.cumsum(np.bincount(at, 1 - y)) / (1 - y).sum()))
+    error, edges = missed + ALARM * alarms, np.concatenate(([values[0] - 1], values, [values[-1] + 1]))
+    k = int(np.where(error <= error.min() + 1e-9, edges[1:] - edges[:-1], -1).argmax())
     return float((edges[k] + edges[k + 1]) / 2)
 
 
@@ -98,7 +98,7 @@ def train(labelled: DataFrame, terms: tuple[str, ...] = IDENTITY, sample: int =
     """A classifier from rows ``(doc_id, text, toxic)``; rows without a label or text don't count.
 
     Of n > ``sample`` rows those are taken whose hash of doc_id is in the lowest sample / n of hashes. The features are
-    the FEATURES words and word beginnings that tell the labels apart best (by the z of the log-odds), counted on the
+    the FEATURES words and word beginnings that tell the labels apart best, by the z of the log-odds, which is LEAST_Z or more, counted on the
     executors; what comes to the driver is bounded by SAMPLE and FEATURES. Sentences are lines of the sampled texts.
     """
     rows = labelled.where("text is not null and toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
@@ -107,12 +107,13 @@ def train(labelled: DataFrame, terms: tuple[str, ...] = IDENTITY, sample: int =
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)))
-    heads = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.substring(w, 1, n)) for n in BEGINNINGS]
+    beginning = lambda n: F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.substring(w, 1, n))
+    heads = [beginning(n) for n in BEGINNINGS]
     every = F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(w, F.lit("$"))), *heads))
     counts = rows.select("toxic", F.explode(every).alias("name")).groupBy("name").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     odds = lambda c, n: F.log((F.col(c) + 0.5) / (F.lit(n + 0.5) - F.col(c) + 0.5))
     z = F.abs(odds("bad", bad) - odds("good", good)) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    best = counts.where(F.col("bad") + F.col("good") >= LEAST).orderBy(F.desc(F.round(z, 9)), "name").limit(FEATURES).select("name")
+    best = counts.where((F.col("bad") + F.col("good") >= LEAST) & (z >= LEAST_Z)).orderBy(F.desc(F.round(z, 9)), "name").limit(FEATURES).select("name")
     names = sorted({r["name"] for r in best.collect()} | {t + "$" for t in terms})
     model = Classifier(names)
     shared = rows.sparkSession.sparkContext.broadcast((model.known, model.begins))
