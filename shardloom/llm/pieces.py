@@ -44,9 +44,11 @@ class _Table:
             at, slots = at[go], (slots[go] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def put(self, keys, values) -> None:
-        if self.used + len(keys) > 1 << (self.bits - 1):
-            self.used = 0
+    def put(self, keys: list, values: list) -> None:
+        """Keeps new keys. A table that would be over half full forgets the keys it had, and takes no more than fill half of it."""
+        half = 1 << (self.bits - 1)
+        if self.used + len(keys) > half:
+            self.used, keys, values = 0, keys[:half], values[:half]
             self.keys.fill(-1)
         for key, value, slot in zip(keys, values, self._slots(np.asarray(keys, np.int64)).tolist(), strict=True):
             while self.keys[slot] >= 0:
@@ -116,10 +118,11 @@ class Pieces:
         real = (first < n) & (second < n)
         out = np.ones(len(key), np.int32)
         out[real] = self.pairs.get(key[real])
-        new = np.unique(key[real][out[real] < 0])
-        if len(new):
-            self.pairs.put(new.tolist(), [self.merged(self.names[k // n] + self.names[k % n]) == [self.names[k // n], self.names[k % n]] for k in new.tolist()])
-            out[real] = self.pairs.get(key[real])
+        new, which = np.unique(key[out < 0], return_inverse=True)
+        if len(new):  # answered from here: the table may forget keys that it had for this call
+            may = [self.merged(self.names[k // n] + self.names[k % n]) == [self.names[k // n], self.names[k % n]] for k in new.tolist()]
+            out[out < 0] = np.array(may, np.int32)[which]
+            self.pairs.put(new.tolist(), may)
         return out > 0
 
     def _candidates(self, text: np.ndarray, ends: np.ndarray):

@@ -472,6 +472,24 @@ def test_pieces_equal_the_library_and_round_trip(model):
             assert model._encoded("▁" + text.replace(" ", "▁")) == model.encode([text])[0].tobytes()
 
 
+def test_pieces_while_the_pair_table_overflows(model):
+    import copy
+
+    import sentencepiece
+
+    small, rng = copy.copy(model), random.Random(2)
+    small.known, small.pairs = {}, pieces._Table(10)
+    first, second = np.random.default_rng(0).integers(3, len(model.names), (2, 600))
+    for k in (400, 600):  # the second call knows 400 of its pairs and forgets them as it keeps the others
+        assert small.may_follow(first[:k], second[:k]).tolist() == model.may_follow(first[:k], second[:k]).tolist()
+    assert small.may_follow(np.tile(first, 5), np.repeat(second, 5)).tolist() == model.may_follow(np.tile(first, 5), np.repeat(second, 5)).tolist()
+    own = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = [" ".join("".join(rng.choice("abcdeghilmnoprstuy") for _ in range(rng.randint(2, 12))) for _ in range(60)) for _ in range(20)]
+    for text in texts:
+        assert small.encode([text])[0].tolist() == own.encode(text)
+    assert [ids.tolist() for ids in small.encode(texts)] == own.encode(texts)
+
+
 def test_unigram_viterbi_finds_the_best_path(model):
     import copy
 
