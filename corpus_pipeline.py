@@ -19,7 +19,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Documents without the lines whose template an earlier document has; ``n_chars`` follows the text."""
     from pyspark.sql import functions as F
 
-    out = templates.without_recurring_lines(docs)
+    out = templates.without_recurring_lines(docs, agreeing=True)
     return out.withColumn("n_chars", F.when(out["n_dropped"] > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from shardloom.llm import common, compaction, embeddings, lengths, mixing, pieces, quality, simhash, templates, toxicity, urls
 from tests.conftest import DATA
 
@@ -446,6 +447,43 @@ def test_templates(spark):
     assert templates.without_recurring_lines(df.limit(0)).count() == 0
 
 
+def test_templates_with_recurring_field_values(spark):
+    rng = random.Random(8)
+    passage, lines = prose(rng, 60).split(), []
+    for places in ((), (30,), (40,), (30, 40), (30,), (50, 59)):
+        lines.append(" ".join(f"OTHER{chr(97 + i % 26)}" if i in places else w for i, w in enumerate(passage)))
+    for k in range(12):  # names and sections recur in several lines
+        lines.append(f"Posted by the user {'abc'[k % 3]}na in section {'xyzw'[k % 4]}port of this open board for every reader of ours")
+    lines += [" ".join([*passage[:3], *prose(rng, 57).split()]), " ".join([*passage[:40], *(w + "s" for w in passage[40:])])]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in templates.without_recurring_lines(df, agreeing=True).collect()}
+    assert {i for i, n in got.items() if not n} == {0, 6, 18, 19}
+    whole = df.withColumns({"lang": F.lit("en"), "source": F.lit("a"), "n_chars": F.length("text").cast("long")})
+    assert {r["doc_id"] for r in corpus_pipeline.drop_recurring_lines(spark, whole, DATA).where("text <> ''").collect()} == {0, 6, 18, 19}
+    assert templates.without_recurring_lines(df.limit(0), agreeing=True).count() == 0
+
+
+def test_agreeing_lines_against_brute_force(spark):
+    rng = random.Random(9)
+    base = [prose(rng, n).split() for n in (10, 14, 30) for _ in range(3)]
+    texts = []
+    for _ in range(150):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, len(words) // 2)):
+            words[rng.randrange(3, len(words))] = rng.choice(WORDS)
+        texts.append(" ".join(words))
+    leaders, want, seen = [], set(), set()
+    for i, words in enumerate(map(str.split, texts)):
+        alike = [x for x in leaders if len(x) == len(words) and x[:3] == words[:3] and sum(a == b for a, b in zip(x, words, strict=True)) >= math.ceil(round(0.7 * len(words), 6))]
+        if alike or texts[i] in seen:
+            want.add(i)
+        else:
+            leaders.append(words)
+        seen.add(texts[i])
+    got = templates.without_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), agreeing=True)
+    assert {r["doc_id"] for r in got.where("n_dropped > 0").collect()} == want and len(leaders) > 9
+
+
 # op 10
 
 
