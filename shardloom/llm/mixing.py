@@ -99,7 +99,9 @@ def _copies(rows: DataFrame, columns: list[str], weights: tuple[int, ...], most:
     goals = targets(sizes, weights, most).withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     epochs = F.floor(F.try_divide("target", "source_size"))
     goals = goals.withColumn("epochs", F.coalesce(epochs, F.lit(0)).cast("int"))
-    goals = cut(goals.withColumn("goal", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")))
+    goals = goals.withColumn("goal", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    whole = (F.col("source_size") > 0) & (F.col("goal") >= F.col("source_size"))  # rounded up to one more epoch
+    goals = cut(goals.withColumns({"epochs": F.col("epochs") + whole.cast("int"), "goal": F.when(whole, 0).otherwise(F.col("goal"))}))
     own = goals.withColumnRenamed("source", "__source").withColumnRenamed("sid", "__sid")
     same = F.col("source").eqNullSafe(F.col("__source"))
     parts = rows.where("__size > 0").join(_by_source(goals.select(F.col("source").alias("__source"), "sid")), same).select("sid", F.col("__unit").alias("unit"))

@@ -400,6 +400,14 @@ def test_mixed_documents_are_the_copies(spark, docs):
     assert got.columns == once.columns and Counter(r["doc_id"] for r in got.collect()) == want
 
 
+def test_goal_that_rounds_to_a_whole_epoch(spark):
+    rows = [(i, "word", "a") for i in range(5)] + [(5, "once", "b")]  # b's target is 12 / 7 of its one word
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(df).collect()}
+    assert taken[5] == 2 and sum(taken[i] for i in range(5)) == 4
+    assert Counter(r["doc_id"] for r in mixing.mixed_documents(df).collect()) == Counter({k: n for k, n in taken.items() if n})
+
+
 # op 8
 
 
