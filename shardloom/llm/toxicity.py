@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,16 @@ def swaps(text: str, terms: tuple[str, ...] = IDENTITY) -> list[str]:
     return [other(1), other(len(terms) // 2)]
 
 
+def line_swaps(text: str, terms: tuple[str, ...], known: dict[str, int], begins: frozenset[str]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """Of every line and each of its swaps: the features that only the line has, and those that only the swap has."""
+    out = []
+    for line in text.split("\n"):
+        if others := swaps(line, terms):
+            own = features(line, known, begins)
+            out += [(tuple(sorted(own - o)), tuple(sorted(o - own))) for o in (features(x, known, begins) for x in others)]
+    return out
+
+
 def boundary(odds: np.ndarray, y: np.ndarray) -> float:
     """The log-odds from which on to call a text toxic: the share of missed toxic texts and ALARM times that of false alarms
     sum to least, and the boundary is the middle of the widest such gap."""
@@ -68,10 +79,11 @@ class Classifier:
 
     def fit(self, texts: list[str], labels, pairs: list[tuple[str, str]]) -> Classifier:
         """Gradient steps on the mean log-loss, a ridge, and the mean squared score difference over ``pairs`` of a sentence and its swap."""
-        return self.fit_rows(*self.rows(texts), np.asarray(labels, float), self.rows([a for a, _ in pairs]), self.rows([b for _, b in pairs]), len(pairs))
+        return self.fit_rows(*self.rows(texts), np.asarray(labels, float), self.rows([a for a, _ in pairs]), self.rows([b for _, b in pairs]), np.ones(len(pairs)))
 
-    def fit_rows(self, at, feature, y, left, right, n_pairs) -> Classifier:
-        n, k = max(1, len(y)), len(self.weights)
+    def fit_rows(self, at, feature, y, left, right, times) -> Classifier:
+        """``times``: how often each pair counts."""
+        n, k, n_pairs = max(1, len(y)), len(self.weights), len(times)
         share = min(max(float(y.mean()) if len(y) else 0.5, 1 / (n + 2)), 1 - 1 / (n + 2))
         self.bias = float(np.log(share / (1 - share)))
         m, v = np.zeros(k + 1), np.zeros(k + 1)
@@ -80,7 +92,8 @@ class Classifier:
             grad = np.bincount(feature, (p - y)[at], k) / n + RIDGE * self.weights
             if n_pairs:
                 gap = np.bincount(left[0], self.weights[left[1]], n_pairs) - np.bincount(right[0], self.weights[right[1]], n_pairs)
-                grad += 2 * SWAP / n_pairs * (np.bincount(left[1], gap[left[0]], k) - np.bincount(right[1], gap[right[0]], k))
+                gap *= times
+                grad += 2 * SWAP / times.sum() * (np.bincount(left[1], gap[left[0]], k) - np.bincount(right[1], gap[right[0]], k))
             grad = np.append(grad, (p - y).mean())
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -99,7 +112,7 @@ def train(labelled: DataFrame, terms: tuple[str, ...] = IDENTITY, sample: int =
 
     Of n > ``sample`` rows those are taken whose hash of doc_id is in the lowest sample / n of hashes. The features are
     the FEATURES words and word beginnings that tell the labels apart best, by the z of the log-odds, which is LEAST_Z or more, counted on the
-    executors; what comes to the driver is bounded by SAMPLE and FEATURES. Sentences are lines of the sampled texts.
+    executors; what comes to the driver is bounded by SAMPLE and FEATURES. Sentences are all lines of the sampled texts.
     """
     rows = labelled.where("text is not null and toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     share = min(1.0, sample / max(1, rows.count()))
@@ -121,22 +134,23 @@ def train(labelled: DataFrame, terms: tuple[str, ...] = IDENTITY, sample: int =
     def featured(batches):
         known, begins = shared.value
         for part in batches:
-            own = [sorted(features(t, known, begins)) for t in part["text"]]
-            pairs = [[(sorted(features(s, known, begins)), sorted(features(o, known, begins))) for s in t.split("\n") for o in swaps(s, terms)][:8] for t in part["text"]]
-            flat = [[len(x) for p in ps for x in p] + [i for p in ps for x in p for i in x] for ps in pairs]
-            yield pd.DataFrame({"toxic": part["toxic"], "own": own, "n": [len(p) for p in pairs], "pairs": flat})
-
-    got = rows.mapInPandas(featured, "toxic int, own array<int>, n int, pairs array<int>").collect()  # SAMPLE rows of features
-    at = np.repeat(np.arange(len(got)), [len(r["own"]) for r in got])
-    feature = np.array([i for r in got for i in r["own"]], np.int64)
-    sides: list[list[list[int]]] = [[], []]
-    for r in got:
-        sizes, rest = r["pairs"][: 2 * r["n"]], r["pairs"][2 * r["n"] :]
-        for k, size in enumerate(sizes):
-            sides[k % 2].append(rest[:size])
-            rest = rest[size:]
-    left, right = ((np.repeat(np.arange(len(s)), [len(x) for x in s]), np.array([i for x in s for i in x], np.int64)) for s in sides)
-    return model.fit_rows(at, feature, np.array([r["toxic"] for r in got], float), left, right, len(sides[0]))
+            yield pd.DataFrame({"toxic": part["toxic"], "own": [sorted(features(t, known, begins)) for t in part["text"]]})
+
+    def swapped(batches):
+        known, begins = shared.value
+        for part in batches:
+            found = Counter(swap for t in part["text"] for swap in line_swaps(t, terms, known, begins))
+            if found:
+                yield pd.DataFrame({"left": [list(a) for a, _ in found], "right": [list(b) for _, b in found], "n": list(found.values())})
+
+    got = rows.select("text", "toxic").mapInPandas(featured, "toxic int, own array<int>").collect()  # SAMPLE rows of features
+    # lines whose swaps change the same features are one row: what comes to the driver doesn't grow with the texts' length
+    pairs = rows.select("text").mapInPandas(swapped, "left array<int>, right array<int>, n long").groupBy("left", "right").agg(F.sum("n").alias("n")).collect()
+    pairs.sort(key=lambda r: (r["left"], r["right"]))
+    flat = lambda lists: (np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64))
+    at, feature = flat([r["own"] for r in got])
+    left, right = flat([r["left"] for r in pairs]), flat([r["right"] for r in pairs])
+    return model.fit_rows(at, feature, np.array([r["toxic"] for r in got], float), left, right, np.array([r["n"] for r in pairs], float))
 
 
 def score_udf(spark, model: Classifier):

@@ -352,6 +352,20 @@ def test_swaps_reduce_the_gap_between_groups():
     assert gap(fair) < 0.3 * gap(plain) and fair.score("a nasty person") > fair.score("a kind person")
 
 
+def test_all_lines_of_a_text_are_swapped(spark, monkeypatch):
+    seen, fit = [], toxicity.Classifier.fit_rows
+    monkeypatch.setattr(toxicity.Classifier, "fit_rows", lambda self, *a: (seen.append((self, a)), fit(self, *a))[1])
+    texts = ["\n".join(f"the {'muslim' if k % 3 else 'white'} {'nasty' if i % 2 else 'kind'} family {k}" for k in range(4 + i)) + "\nno term" for i in range(20)]
+    terms = ("christian", "muslim", "white")
+    toxicity.train(spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "doc_id long, text string, toxic int"), terms)
+    own, (at, feature, y, left, right, times) = seen[0]
+    sides = [(x, o) for t in texts for x in t.split("\n") for o in toxicity.swaps(x, terms)]
+    assert np.sum(times) == len(sides) == 2 * sum(4 + i for i in range(20))
+    plain = toxicity.Classifier(sorted(own.known, key=own.known.get))
+    plain.fit(texts, [i % 2 for i in range(20)], sides)
+    assert own.weights == pytest.approx(plain.weights, abs=1e-6)
+
+
 # op 7
 
 
