@@ -478,11 +478,11 @@ def test_templates_with_recurring_field_values(spark):
         lines.append(f"Posted by the user {'abc'[k % 3]}na in section {'xyzw'[k % 4]}port of this open board for every reader of ours")
     lines += [" ".join([*passage[:3], *prose(rng, 57).split()]), " ".join([*passage[:40], *(w + "s" for w in passage[40:])])]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    got = {r["doc_id"]: r["n_dropped"] for r in templates.without_recurring_lines(df, agreeing=True).collect()}
+    got = {r["doc_id"]: r["n_dropped"] for r in templates.without_recurring_lines(df).collect()}
     assert {i for i, n in got.items() if not n} == {0, 6, 18, 19}
     whole = df.withColumns({"lang": F.lit("en"), "source": F.lit("a"), "n_chars": F.length("text").cast("long")})
     assert {r["doc_id"] for r in corpus_pipeline.drop_recurring_lines(spark, whole, DATA).where("text <> ''").collect()} == {0, 6, 18, 19}
-    assert templates.without_recurring_lines(df.limit(0), agreeing=True).count() == 0
+    assert templates.without_recurring_lines(df.limit(0)).count() == 0
 
 
 def test_agreeing_lines_against_brute_force(spark):
@@ -502,7 +502,7 @@ def test_agreeing_lines_against_brute_force(spark):
         else:
             leaders.append(words)
         seen.add(texts[i])
-    got = templates.without_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), agreeing=True)
+    got = templates.without_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r["doc_id"] for r in got.where("n_dropped > 0").collect()} == want and len(leaders) > 9
 
 
