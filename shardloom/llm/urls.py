@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: (host, path, verdict): a rule fits its host and all subdomains, if the path starts with the rule's; the longest wins.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: Words in a host that mark the rejected URLs to learn from.
+#: Words in a host that mark the rejected URLs to learn from where no table of labels is given.
 REJECTED = ("spam", "casino", "pills", "bets", "ads-", "track", "adult", "porn", "xxx", "viagra", "loan")
 #: Order of the models: characters of context at most. Symbols: letters, digits as one, . - / and any other.
 ORDER, SYMBOLS = 3, 32
@@ -34,7 +34,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """A struct (rule, verdict) of the longest rule that fits; null if none does."""
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<rule: string, verdict: string>")
     for h, p, verdict in sorted(rules, key=lambda r: (len(r[0]) + len(r[1]), r)):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
@@ -81,18 +81,27 @@ def _scored(ratio: np.ndarray, text: str) -> float:
     return float(ratio[grams(text)].mean()) if text else 0.0
 
 
-def fit_ratio(pages: DataFrame, url_col: str = "url", rejected: tuple[str, ...] = REJECTED) -> tuple[np.ndarray, float]:
-    """(ratio, threshold): log-likelihood of accepted minus rejected by gram, and the score below which a URL is rejected.
+def labelled_urls(pages: DataFrame, url_col: str = "url", rejected: tuple[str, ...] = REJECTED, labels: DataFrame | None = None) -> DataFrame:
+    """(text, bad, held) of the URLs to learn from: what follows ``://``; whether it is rejected; whether its host is kept from the counts.
 
-    All URLs are counted: rejected are those of which the host contains one of the words ``rejected``, accepted the
-    rest. Grams are counted in each task and summed by gram; there are 2 * 32 ** 4 sums at most, whatever the input.
-    The threshold is where the share of accepted URLs below and of rejected URLs above are least together, from a
-    histogram of all scores. Without rejected or without accepted URLs nothing is below the threshold.
+    ``labels`` (url, rejected boolean): only its URLs are learnt from; of several labels of a URL rejected wins, null ones don't
+    count. Without it a URL is rejected if its host contains one of the words ``rejected``. By a hash a fifth of the hosts is held out.
     """
-    spark = pages.sparkSession
     host, _ = host_and_path(F.col(url_col))
-    bad = F.greatest(*[host.contains(w) for w in rejected], F.lit(False)) if len(rejected) > 1 else host.contains(rejected[0])
-    rows = pages.where(host != "").select(_after_scheme(F.col(url_col)).alias("text"), bad.alias("bad"))
+    rows = pages.select(F.col(url_col).alias("url"), host.alias("host"), _after_scheme(F.col(url_col)).alias("text")).where("host <> ''")
+    if labels is None:
+        bad = F.lit(False)
+        for word in rejected:
+            bad = bad | F.col("host").contains(word)
+        rows = rows.withColumn("bad", bad)
+    else:
+        known = labels.where("rejected is not null and url is not null").groupBy("url").agg(F.bool_or("rejected").alias("bad"))
+        rows = rows.join(known, "url")
+    return rows.select("text", "bad", (F.pmod(F.xxhash64("host"), F.lit(5)) == 0).alias("held"))
+
+
+def _counted(rows: DataFrame) -> np.ndarray:
+    """Grams of accepted and of rejected texts (text, bad): counted in each task, summed by gram; 2 * 32 ** 4 sums at most, whatever the input."""
 
     def count(batches):
         sums = np.zeros((2, SYMBOLS ** (ORDER + 1)), np.int64)
@@ -103,19 +112,45 @@ def fit_ratio(pages: DataFrame, url_col: str = "url", rejected: tuple[str, ...]
         yield pd.DataFrame({"kind": kind.astype(np.int32), "gram": gram.astype(np.int32), "n": sums[kind, gram]})
 
     counts = np.zeros((2, SYMBOLS ** (ORDER + 1)))
-    for row in rows.mapInPandas(count, "kind int, gram int, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in rows.select("text", "bad").mapInPandas(count, "kind int, gram int, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row["kind"], row["gram"]] = row["n"]
-    if not counts.sum(axis=1).all():
+    return counts
+
+
+def _ratio(counts: np.ndarray) -> np.ndarray:
+    return (log_probabilities(counts[0]) - log_probabilities(counts[1])).astype(np.float32)
+
+
+def least_error(hist: np.ndarray) -> float:
+    """The score at which the share of accepted URLs below and of rejected URLs above are least together: the middle of the
+    widest such stretch. ``hist``: accepted and rejected URLs by score step."""
+    below = np.concatenate([[[0], [0]], hist.cumsum(axis=1)], axis=1) / np.maximum(hist.sum(axis=1, keepdims=True), 1)
+    error = below[0] + 1 - below[1]
+    least = np.flatnonzero(error <= error.min() + 1e-12)
+    runs = np.split(least, np.flatnonzero(np.diff(least) > 1) + 1)
+    widest = max(runs, key=len)
+    return float((widest[0] + widest[-1]) / 2 * (2 * SPAN / STEPS) - SPAN)
+
+
+def fit_ratio(pages: DataFrame, url_col: str = "url", rejected: tuple[str, ...] = REJECTED, labels: DataFrame | None = None) -> tuple[np.ndarray, float]:
+    """(ratio, threshold): log-likelihood of accepted minus rejected by gram, and the score below which a URL is rejected.
+
+    All labelled URLs count, see ``labelled_urls``. The threshold is calibrated on hosts that models for this purpose have not
+    seen: it is where they make the least error on the held-out hosts; the models that score are then made of all counts. If
+    the held-out hosts lack one of both labels, all URLs calibrate. Without rejected or without accepted URLs nothing is
+    below the threshold.
+    """
+    rows = labelled_urls(pages, url_col, rejected, labels)
+    held, seen = _counted(rows.where("held")), _counted(rows.where("not held"))
+    if not (held + seen).sum(axis=1).all():
         return np.zeros(SYMBOLS ** (ORDER + 1), np.float32), -SPAN
-    ratio = (log_probabilities(counts[0]) - log_probabilities(counts[1])).astype(np.float32)
-    step = F.floor((F.least(F.greatest(score_udf(spark, ratio)("text"), F.lit(-SPAN)), F.lit(SPAN)) + SPAN) * (STEPS / (2 * SPAN)))
+    both = all(c.sum(axis=1).all() for c in (held, seen))
+    score = score_udf(pages.sparkSession, _ratio(seen if both else held + seen))("text")
+    step = F.floor((F.least(F.greatest(score, F.lit(-SPAN)), F.lit(SPAN)) + SPAN) * (STEPS / (2 * SPAN)))
     hist = np.zeros((2, STEPS + 1))
-    for row in rows.groupBy(step.alias("step"), "bad").count().collect():  # 2 * (STEPS + 1) rows at most
+    for row in (rows.where("held") if both else rows).groupBy(step.alias("step"), "bad").count().collect():  # 2 * (STEPS + 1) rows at most
         hist[int(row["bad"]), row["step"]] = row["count"]
-    below = np.concatenate([[[0], [0]], hist.cumsum(axis=1)], axis=1) / hist.sum(axis=1, keepdims=True)
-    error = below[0] + 1 - below[1]
-    least = np.flatnonzero(error <= error.min() + 1e-12)
-    return ratio, float(least[len(least) // 2] * (2 * SPAN / STEPS) - SPAN)
+    return _ratio(held + seen), least_error(hist)
 
 
 def score_udf(spark, ratio: np.ndarray):
@@ -129,17 +164,21 @@ def score_udf(spark, ratio: np.ndarray):
     return score
 
 
-def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(
+    pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", rejected: tuple[str, ...] = REJECTED, labels: DataFrame | None = None
+) -> DataFrame:
     """Per row of ``pages``: its id, host, path, rule, verdict ('allow' or 'block') and score.
 
     The verdict is the longest fitting rule's; without a rule, 'block' if the score of what follows ``://`` is below the
-    calibrated threshold. A url that is null or has no ``://`` has empty host and path, no rule and score 0. Repeated rows
-    and null ids are rows like any other. An empty table gives no rows.
+    calibrated threshold, see ``fit_ratio`` for ``rejected`` and ``labels``. A url that is null or has no ``://`` has empty host
+    and path, no rule and score 0, and is allowed. Repeated rows and null ids are rows
+    like any other, other columns don't matter whatever their names. URLs of any length are scored whole. No rules at all,
+    no words and no labels leave all to the model, or allow all. An empty table gives no rows.
     """
-    ratio, threshold = fit_ratio(pages, url_col)
+    ratio, threshold = fit_ratio(pages, url_col, rejected, labels)
     host, path = host_and_path(F.col(url_col))
     text = F.coalesce(_after_scheme(F.col(url_col)), F.lit(""))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), score_udf(pages.sparkSession, ratio)(text).alias("score"))
     rows = rows.withColumn("fits", rule_of(F.col("host"), F.col("path"), rules))
-    own = F.when(F.col("score") < threshold, "block").otherwise("allow")
+    own = F.when((F.col("host") != "") & (F.col("score") < threshold), "block").otherwise("allow")
     return rows.select(id_col, "host", "path", F.col("fits.rule").alias("rule"), F.coalesce("fits.verdict", own).alias("verdict"), "score")
