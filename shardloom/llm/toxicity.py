@@ -18,7 +18,8 @@ IDENTITY = (
     "asian", "black", "blind", "catholic", "christian", "deaf", "disabled", "female", "gay", "hispanic", "hindu", "immigrant", "immigrants",
     "jewish", "jews", "latino", "lesbian", "male", "men", "muslim", "muslims", "old", "refugees", "trans", "transgender", "white", "women", "young",
 )
-#: Labelled rows to learn from at most, features at most, documents that a feature must be in, its least z, and lengths of word beginnings.
+#: Parameters of the training. Labelled rows to learn from at most (a sample by a hash of the id), features at most (those of the
+#: largest z), documents of the sample that a feature must be in, its least z, and lengths of word beginnings.
 SAMPLE, FEATURES, LEAST, LEAST_Z, BEGINNINGS = 20_000, 4096, 5, 3.5, (4, 5, 6)
 #: Predicted toxic from this score on.
 THRESHOLD = 0.7
@@ -78,7 +79,8 @@ class Classifier:
         return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.array([i for f in found for i in f], np.int64)
 
     def fit(self, texts: list[str], labels, pairs: list[tuple[str, str]]) -> Classifier:
-        """Gradient steps on the mean log-loss, a ridge, and the mean squared score difference over ``pairs`` of a sentence and its swap."""
+        """Gradient steps on the mean log-loss, a ridge, and the mean squared difference of the log-odds (of which the score is the
+        logistic function, so that equal log-odds are equal scores) over ``pairs`` of a sentence and its swap."""
         return self.fit_rows(*self.rows(texts), np.asarray(labels, float), self.rows([a for a, _ in pairs]), self.rows([b for _, b in pairs]), np.ones(len(pairs)))
 
     def fit_rows(self, at, feature, y, left, right, times) -> Classifier:
@@ -170,20 +172,27 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _model(docs: DataFrame, labels: DataFrame) -> Classifier:
+    """Of the labels of a document those that are 0 or 1 count; if both occur, 1."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return train(docs.select("doc_id", "text").where(~held_out("doc_id")).join(known, "doc_id"))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score (0 to 1) and predicted (1 from THRESHOLD on).
 
-    Learns from the labels of documents that are not held out. A null text scores like an empty one. Without usable
-    labels every score is 0.5. Repeated rows and null ids are scored like any other. An empty table gives no rows.
+    Learns from the labels of documents that are not held out, see ``_model``. A null text scores like an empty one. Without
+    usable labels every score is 0.5. Repeated rows and null ids are scored like any other, texts are scored whole however
+    long, and other columns of ``docs`` don't matter whatever their names. An empty table gives no rows.
     """
-    known = labels.select("doc_id", "toxic").where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = train(docs.select("doc_id", "text").where(~held_out("doc_id")).join(known, "doc_id"))
+    model = _model(docs, labels)
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), score_udf(docs.sparkSession, model)("text").alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below THRESHOLD, with their columns."""
-    known = labels.select("doc_id", "toxic").where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = train(docs.select("doc_id", "text").where(~held_out("doc_id")).join(known, "doc_id"))
+    """The rows of ``docs`` that score below THRESHOLD, with their columns, whatever their names; nulls, repeated rows and empty
+    tables as in ``toxicity``."""
+    model = _model(docs, labels)
     return docs.where(score_udf(docs.sparkSession, model)("text") < THRESHOLD)
