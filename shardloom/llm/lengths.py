@@ -27,7 +27,11 @@ def _encoding(vocabulary: bytes):
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens`` (int), the length of the whole text's encoding; a null text has none. Special tokens' strings are ordinary text."""
+    """``docs`` with ``n_tokens`` (int), the length of the whole text's encoding; a null or empty text has none.
+
+    Special tokens' strings are ordinary text. Texts are encoded whole, however long. A column ``n_tokens`` of ``docs`` is
+    replaced, other columns and repeated rows stay. An empty table gives no rows.
+    """
     path = f"file://{vocabulary}" if vocabulary.startswith("/") else vocabulary
     content = docs.sparkSession.read.format("binaryFile").load(path).select("content").first()[0]
     ranks = docs.sparkSession.sparkContext.broadcast(bytes(content))
@@ -76,8 +80,20 @@ def histogram(counted: DataFrame, by: str = "n_tokens") -> DataFrame:
 
 
 def at_limit(hist: DataFrame, limit: int) -> DataFrame:
-    """One row: total tokens when every document is cut at ``limit``, and documents and tokens cut."""
-    over = F.col("n_tokens") > limit
-    cut_docs = F.coalesce(F.sum(F.when(over, F.col("n_docs"))), F.lit(0))
-    lost = F.coalesce(F.sum(F.when(over, (F.col("n_tokens") - limit) * F.col("n_docs"))), F.lit(0))
-    return hist.agg((F.coalesce(F.sum(F.col("n_tokens") * F.col("n_docs")), F.lit(0)) - lost).alias("kept_tokens"), cut_docs.alias("cut_docs"), lost.alias("cut_tokens"))
+    """One row: total tokens when every document is cut at ``limit``, and documents and tokens cut.
+
+    Looked up in the suffix sums: the row of the least length over the limit has the documents and tokens that are cut, the
+    row of the least length of all has all tokens.
+    """
+    sums = F.struct("n_tokens", "docs_from", "tokens_from")
+    row = hist.agg(F.min(sums)["tokens_from"].alias("total"), F.min(F.when(F.col("n_tokens") > limit, sums)).alias("over"))
+    cut_docs = F.coalesce("over.docs_from", F.lit(0))
+    lost = F.coalesce("over.tokens_from", F.lit(0)) - cut_docs * limit
+    return row.select((F.coalesce("total", F.lit(0)) - lost).alias("kept_tokens"), cut_docs.alias("cut_docs"), lost.alias("cut_tokens"))
+
+
+def quantile(hist: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, n_tokens): the largest length of which at most ``share`` of the documents are shorter. No documents give null."""
+    rows = [F.max(F.when(F.col("share_below") <= q, F.col("n_tokens"))).alias(f"q{k}") for k, q in enumerate(shares)]
+    out = hist.agg(*rows)
+    return out.select(F.explode(F.array(*[F.struct(F.lit(float(q)).alias("share"), F.col(f"q{k}").alias("n_tokens")) for k, q in enumerate(shares)])).alias("r")).select("r.*")
