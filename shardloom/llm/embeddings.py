@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import Links, connected_components, cut, in_cells, runs
+from shardloom.llm.common import Links, by_key, connected_components, cut, in_cells, runs
 
 COSINE = 0.95
 #: Share of links at the threshold that the tables, and that the count, may miss.
@@ -57,14 +57,22 @@ def _unit(vectors) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The key of every unit vector in every table: the side of zero on which it falls on each of the table's directions.
+
+    The products are summed in one order, whatever else is in the batch: a vector has the same keys wherever they are derived.
+    """
+    planes = np.random.default_rng([SEED, x.shape[1]]).standard_normal((x.shape[1], bits * tables))
+    side = (np.einsum("nd,dk->nk", x, planes) >= 0).reshape(len(x), tables, bits)
+    return side @ (1 << np.arange(bits, dtype=np.int64))
+
+
 def _sides(bits: int, tables: int):
     def sides(batches):
         for part in batches:
             keys = np.zeros((len(part), tables), np.int64)
-            for dim, at in part.groupby(part["vec"].map(len), sort=False).indices.items():
-                planes = np.random.default_rng([SEED, dim]).standard_normal((dim, bits * tables))
-                side = (_unit(part["vec"].iloc[at]) @ planes >= 0).reshape(len(at), tables, bits)
-                keys[at] = side @ (1 << np.arange(bits, dtype=np.int64))
+            for _, at in part.groupby(part["vec"].map(len), sort=False).indices.items():
+                keys[at] = _keys(_unit(part["vec"].iloc[at]), bits, tables)
             yield part.assign(keys=list(keys))
 
     return sides
@@ -85,7 +93,7 @@ def collisions(projected: np.ndarray, width: float) -> np.ndarray:
     return count
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, bits: int, tables: int):
     width, least = WIDTHS * math.sqrt(2 - 2 * cosine), least_collisions()
 
     def compare(batches):
@@ -100,14 +108,13 @@ def _compare(cosine: float):
                 a, b = np.nonzero(np.triu(collisions(x @ directions, width) >= least, 1))
                 role = group["role"].to_numpy()
                 a, b = (z[(role[a] == 0) | (role[a] != role[b])] for z in (a, b))
-                if table and len(a):  # an earlier table has found the pair
-                    keys = np.array(list(group["keys"]))[:, :table]
-                    new = np.ones(len(a), bool)
-                    for k in range(table):
-                        new &= keys[a, k] != keys[b, k]
-                    a, b = a[new], b[new]
                 alike = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)]) >= cosine
                 a, b = a[alike], b[alike]
+                if table and len(a):  # pairs that an earlier table has found
+                    rows, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+                    keys = _keys(x[rows], bits, tables)[:, :table]
+                    new = (keys[at[: len(a)]] != keys[at[len(a) :]]).all(axis=1)
+                    a, b = a[new], b[new]
                 if not len(a):
                     continue
                 cid, copies = group["cid"].to_numpy(), group["copies"].to_numpy()
@@ -139,15 +146,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     kind = classes.schema["vec"].dataType.simpleString()
     keyed = classes.select("cid", "copies", "vec").mapInPandas(_sides(bits, tables), f"cid long, copies long, vec {kind}, keys array<long>")
     keyed = keyed.withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))))
-    keyed = keyed.withColumn("key", F.col("table").cast("long") * (1 << 24) + F.get("keys", F.col("table"))).withColumn("dim", F.size("vec")).drop("table")
+    keyed = keyed.withColumn("key", F.col("table").cast("long") * (1 << 24) + F.get("keys", F.col("table"))).withColumn("dim", F.size("vec")).drop("table", "keys")
     cells = in_cells(keyed, "key", F.xxhash64("cid"), MOST)
-    found = cells.repartition("key", "dim", "cell").sortWithinPartitions("key", "dim", "cell").mapInPandas(_compare(cosine), "kind long, a long, b long")
+    found = cells.repartition("key", "dim", "cell").sortWithinPartitions("key", "dim", "cell").mapInPandas(_compare(cosine, bits, tables), "kind long, a long, b long")
     found = cut(found)
     links = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("links"))
     label = connected_components(found.where("kind = 1").select("a", "b")).withColumnRenamed("node", "cid")
-    member = label.join(classes.select("cid", "least"), "cid")
-    of_all = member.groupBy("root").agg(F.min("least").alias("of_all"))
-    linked = member.join(of_all, "root").join(links, "cid", "left").select("cid", "of_all", "links")
+    member = cut(label.join(classes.select("cid", "least"), "cid"))
+    of_all = cut(member.groupBy("root").agg(F.min("least").alias("of_all")))
+    linked = by_key(member, of_all, "root").join(links, "cid", "left").select("cid", "of_all", "links")
     classes = cut(
         classes.join(linked, "cid", "left").select(
             F.xxhash64("vec").alias("hash"),
