@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows up to which a table of a few numbers a row is broadcast (some MB).
+FEW = 100_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset: a temporary one in local mode, an error on a
+    cluster, on which no machine's own folder is shared."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shardloom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="shardloom-"))
     return sc.getCheckpointDir()
 
 
@@ -35,13 +41,19 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def by_key(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per ``key``: broadcast if it has FEW rows at most, so that the rows of a
+    frequent key stay where they are; else both are shuffled, and adaptive execution splits the partition of a frequent key."""
+    return rows.join(F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table, key, how)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows ``(node, root)`` for every node of the ``(a, b)`` edges; root is the least node of its component.
 
     Every round points each node at its least neighbour, follows the pointers until they end at local minima, and
     contracts the edges to those minima; the contracted graphs shrink until no edge is left. Only joins and ``min``
-    aggregates are used, so a node with very many edges needs no task of its own. No edges give no rows. Null ends
-    and loops are ignored.
+    aggregates are used, so a node with very many edges needs no task of its own: what is joined by ``root`` is the table of
+    the roots that move, see ``by_key``. No edges give no rows. Null ends and loops are ignored.
     """
     ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     live = cut(edges.where("a <> b").select(*ends(F.col("a"), F.col("b"))).distinct())
@@ -50,11 +62,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
         while True:
-            top = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            hop = cut(up.join(top, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-            up = hop.select("node", "root")
-            if hop.where("moved").isEmpty():
+            used = up.select("root").distinct()
+            hop = cut(used.join(up.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").where("next <> root"))
+            if hop.isEmpty():
                 break
+            up = cut(by_key(up, hop, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
         rounds.append(up)
         left = up.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
@@ -63,8 +75,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     label = rounds.pop()
     while rounds:
-        later = label.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        label = rounds.pop().join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        later = cut(label.select(F.col("node").alias("root"), F.col("root").alias("last")))
+        label = by_key(rounds.pop(), later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
     return cut(label)
 
 
@@ -89,21 +101,24 @@ def in_cells(rows: DataFrame, key: str, spread: Column, most: int) -> DataFrame:
 
 
 def runs(batches, columns: list[str]):
-    """Of pandas frames sorted by ``columns``: frames that hold whole runs of equal ``columns`` only, at least one run each."""
+    """Of pandas frames sorted by ``columns``: frames that hold whole runs of equal ``columns`` only, at least one run each.
+    A run over many frames is put together once."""
     import pandas as pd
 
-    held = None
+    held: list = []
     for frame in batches:
         if not len(frame):
             continue
-        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
         last = (frame[columns] == frame[columns].iloc[-1]).all(axis=1).to_numpy()
         start = len(frame) - int(last[::-1].argmin()) if not last.all() else 0
-        if start:
+        if held and (start or not (held[0][columns].iloc[-1] == frame[columns].iloc[-1]).all()):
+            yield pd.concat([*held, frame.iloc[:start]], ignore_index=True)
+            held = []
+        elif start:
             yield frame.iloc[:start]
-        held = frame.iloc[start:]
-    if held is not None and len(held):
-        yield held
+        held.append(frame.iloc[start:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 class Links:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shardloom.llm.common import Links, connected_components, cut, in_cells, runs
+from shardloom.llm.common import Links, by_key, connected_components, cut, in_cells, runs
 
 SEED, BITS = 42, 64
 
@@ -129,8 +129,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = cut(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")))
     fps = cut(own.groupBy("fp").agg(F.min("id").alias("least")))
     label = connected_components(fingerprint_links(fps, radius)).withColumnRenamed("node", "fp")
-    member = label.join(fps, "fp")
-    linked = member.join(member.groupBy("root").agg(F.min("least").alias("of_all")), "root").select("fp", "of_all")
+    member = cut(label.join(fps, "fp"))
+    linked = by_key(member, cut(member.groupBy("root").agg(F.min("least").alias("of_all"))), "root").select("fp", "of_all")
     component = cut(fps.join(linked, "fp", "left").select("fp", F.coalesce("of_all", "least").alias("component_id")))
     return own.join(component, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
@@ -139,7 +139,8 @@ def keep_one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest ``doc_id`` stays.
 
     Of a component without any id, one row for each fingerprint stays. Of rows that repeat the id that stays, one
-    stays. Columns are those of ``docs``.
+    stays. Texts that are null or have no word are near-duplicates of each other. Columns are those of ``docs``, whatever
+    their names. An empty table gives no rows.
     """
     found = cut(simhash_components(docs, radius=radius))
     keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
@@ -150,7 +151,7 @@ def keep_one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
         kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
     nameless = docs.where("doc_id is null")
     if not nameless.isEmpty():
-        known = found.where("component_id is not null").select("fp").distinct()
-        nameless = nameless.withColumn("fp", fingerprint_udf("text")).dropDuplicates(["fp"]).join(known, "fp", "left_anti")
+        known = found.where("component_id is not null").select(F.col("fp").alias("__fp")).distinct()
+        nameless = nameless.withColumn("__fp", fingerprint_udf("text")).dropDuplicates(["__fp"]).join(known, "__fp", "left_anti")
         kept = kept.unionByName(nameless.select(*docs.columns))
     return kept.select(*docs.columns)

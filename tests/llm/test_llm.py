@@ -449,6 +449,65 @@ def test_store(spark, docs, tmp_path):
     assert rows(store.read()) == want
 
 
+def test_store_of_no_rows_and_odd_columns(spark, docs, tmp_path):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/store")
+    with pytest.raises(ValueError):
+        store.read()
+    store.append(empty(spark))
+    assert store.read().columns == docs.columns and store.read().count() == 0 and store.compact() == 1
+    store.append(docs.withColumns({"__run": F.lit(1), "__file": F.lit("x")}))
+    store.append(docs)
+    assert store.read().columns == [*docs.columns, "__run", "__file"] and store.read().count() == 2 * docs.count()
+    assert store.read().where("__run is null").count() == docs.count()
+    for wrong in (docs.withColumn("text", F.lit(1)), docs.withColumn(compaction.RUN, F.lit(1))):
+        with pytest.raises(ValueError):
+            store.append(wrong)
+
+
+def test_no_shard_is_over_the_target(spark, tmp_path):
+    rng = random.Random(0)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.choice([10, 3000])))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/store")
+    store.append(df, target=100_000)
+    store.compact(target=100_000)
+    assert all(s.bytes <= 100_000 for s in store.shards()) and len(store.shards()) > 10
+    assert sorted(map(tuple, store.read().collect())) == rows
+
+
+def test_appends_during_a_merge_stand_and_orphans_go(spark, docs, tmp_path, monkeypatch):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/store")
+    for _ in range(3):
+        store.append(docs.repartition(3))
+    merge = compaction.ShardStore._merge
+
+    def slow(self, runs, target):
+        out = merge(self, runs, target)
+        if not hasattr(slow, "once"):
+            slow.once = store.append(docs.repartition(3))
+        return out
+
+    monkeypatch.setattr(compaction.ShardStore, "_merge", slow)
+    store.compact(fanout=4)
+    assert store.read().count() == 4 * docs.count() and sum(s.rows for s in store.shards()) == 4 * docs.count()
+    docs.write.parquet(f"file://{tmp_path}/store/data/orphan")
+    store.vacuum(grace=3600)
+    assert (tmp_path / "store/data/orphan").exists()
+    store.vacuum(grace=-5)
+    assert {str(p.relative_to(tmp_path / "store")) for p in tmp_path.glob("store/data/**/*.parquet")} == {s.path for s in store.shards()}
+    assert store.read().count() == 4 * docs.count()
+
+
+def test_versions_build_on_complete_lists(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "SNAPSHOT", 3)
+    store, few = compaction.ShardStore(spark, f"file://{tmp_path}/store"), docs.limit(2).coalesce(1)
+    for _ in range(8):
+        store.append(few)
+    assert [len(store.shards(v)) for v in store.versions()] == list(range(1, 9))
+    store.vacuum(keep=2)
+    assert store.versions() == [7, 8] and store.read(7).count() == 14
+
+
 # op 9
 
 
