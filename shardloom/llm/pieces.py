@@ -2,9 +2,9 @@
 
 Of a BPE model every prefix of a text has exactly one encoding, and two pieces may follow each other exactly if
 encoding their joined string gives them again. So the best path to a position has one backpointer: the last piece of the
-prefix's encoding, found among the pieces that end there. As the backpointers that can still matter lie in a window of
-the longest piece's length, pieces are committed as soon as all paths from the window pass one boundary. A unigram
-model has scores instead: the best path to a position is the one with the largest sum.
+prefix's encoding, found among the pieces that end there. A unigram model has scores instead: the best path to a position is
+the one with the largest sum. Backpointers that can still matter lie in a window of the longest piece's length; pieces are
+committed as soon as all paths from the window pass one boundary. Many units of text go through the stream at once.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words of which a Python worker keeps the ids, and characters of text that it encodes at once (or one longer text).
 CACHED, AT_ONCE = 250_000, 1 << 19
+#: Characters of a word up to which its ids are remembered.
+SHORT = 64
 NORMAL, BYTE, BPE = 1, 6, 2
 
 
@@ -125,163 +127,151 @@ class Pieces:
             self.pairs.put(new.tolist(), may)
         return out > 0
 
-    def _candidates(self, text: np.ndarray, ends: np.ndarray):
-        """The pieces in a text of code points: where they start, their lengths and ids. None goes over ``ends`` (of the
-        unit that each character is in). Single characters without a piece have the id n."""
-        code = self.chars[text]
-        start, node, found = np.arange(len(text)), np.zeros(len(text), np.int64), []
-        for length in range(1, self.longest + 1):
-            node = self.moves.get(node * self.n_chars + code[start + length - 1]).astype(np.int64)
-            ids = np.where(node < 0, -1, self.piece_at[node])
-            if length == 1:
-                ids = np.where(ids < 0, len(self.names), ids)
-            here = ids >= 0
-            found.append((start[here], np.full(here.sum(), length), ids[here]))
-            go = (node >= 0) & (start + length < ends[start])
-            start, node = start[go], node[go]
-        return (np.concatenate(x) for x in zip(*found, strict=True))
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids (int32) of many short words at once, each with a space mark put before it: at step k the backpointers of
-        all positions k characters from their word's start."""
-        marked = [SPACE + w.replace(" ", SPACE) for w in words]
-        text = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
-        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
-        word_end = np.cumsum(sizes)
-        word_start = word_end - sizes
-        begins, ends = np.repeat(word_start, sizes), np.repeat(word_end, sizes)
-        start, length, piece = self._candidates(text, ends)
-        step = start + length - begins[start]
-        order = np.argsort(step, kind="stable")
-        start, length, piece, step = start[order], length[order], piece[order], step[order]
-        bounds = np.searchsorted(step, np.arange(1, int(sizes.max()) + 2))
-        last, sums = np.full(len(text) + len(words) + 1, -1, np.int64), None
-        room = np.repeat(np.arange(len(words)), sizes)  # each word has a position more than characters
-        if not self.bpe:
-            sums = np.zeros(len(last))
-            gain = np.array([*self.scores, self.unknown])
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            s, p = start[a:b] + room[start[a:b]], piece[a:b]
-            e, first = s + length[a:b], start[a:b] == begins[start[a:b]]
-            if self.bpe:
-                ok = (last[s] >= 0) | first
-                ok[ok] = first[ok] | self.may_follow(np.where(first[ok], 0, last[s[ok]]), p[ok])
-                last[e[ok]] = p[ok]
-            else:
-                total = sums[s] + gain[p]
-                best = np.lexsort((total, e))
-                last[e[best]], sums[e[best]] = p[best], total[best]  # of equal positions the last assignment stays
-        at, rows, who = word_end + np.arange(len(words)), [], np.arange(len(words))
-        low = word_start + np.arange(len(words))
-        while len(who):
-            rows.append((who, last[at]))
-            at = at - self.size[last[at]]
-            go = at > low[who]
-            at, who = at[go], who[go]
-        who, ids = np.concatenate([r[0] for r in rows[::-1]]), np.concatenate([r[1] for r in rows[::-1]])
-        order = np.argsort(who, kind="stable")
-        ids, cuts = ids[order], np.searchsorted(who[order], np.arange(len(words) + 1)).tolist()
-        rare = set(who[order][ids == len(self.names)].tolist())
-        raw = ids.astype(np.int32).tobytes()
-        return [self._in_bytes(marked[i], ids[a:b].tolist()) if i in rare else raw[4 * a : 4 * b] for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-
-    def _in_bytes(self, text: str, ids: list[int]) -> bytes:
-        """The ids of a text's pieces, with the byte pieces of the characters that have the id n."""
-        out, at = [], 0
-        for i in ids:
-            out += [i] if i < len(self.names) else [self.bytes[b] for b in text[at].encode()]
-            at += len(self.names[i]) if i < len(self.names) else 1
-        return np.array(out, np.int32).tobytes()
+    def stream(self, units: list[str]) -> list[np.ndarray]:
+        """Ids of units of text in which blanks are space marks, all taken character by character at once; characters without a
+        piece have the id n.
 
-    def segments(self, text: str) -> list[str]:
-        """The pieces of a text in which blanks are space marks; single characters where the vocabulary has none.
-
-        ``last`` has the backpointers of the positions after ``start``, up to which the pieces are committed.
+        Of each unit the backpointers (and, of unigram models, sums) of the positions after its last commit are kept. As
+        soon as that window is twice the longest piece, the paths back from all positions at which a later piece can begin
+        are compared, and what they share is committed; a unit's end commits the rest.
         """
-        ids, scores, longest, out = self.ids, self.scores, self.longest, []
-        start, last, sums = 0, {0: ""}, {0: 0.0}
-        for end in range(1, len(text) + 1):
-            best = None
-            for at in range(max(start, end - longest), end):
-                piece = text[at:end]
-                if (piece in ids or at == end - 1) and (before := last.get(at)) is not None:
-                    if not self.bpe:
-                        score = sums[at] + (scores[ids[piece]] if piece in ids else self.unknown)
-                        if best is None or score > sums[end]:
-                            best, sums[end] = piece, score
-                    elif not before or self._fits(before, piece):
-                        best = piece
-                        break
-            if best is not None:
-                last[end] = best
-            if end - start >= 2 * longest and (common := self._common(last, start, end)):
-                out += common
-                start += sum(map(len, common))
-                for at in [x for x in last if x < start]:
-                    last.pop(at), sums.pop(at, None)
-        return out + self._path(last, start, len(text))
-
-    def _fits(self, a: str, b: str) -> bool:
-        n = len(self.names)
-        return bool(self.may_follow(np.array([self.ids.get(a, n)]), np.array([self.ids.get(b, n)]))[0])
-
-    @staticmethod
-    def _path(last: dict[int, str], start: int, end: int) -> list[str]:
+        n, longest, big = len(units), self.longest, len(self.names)
+        sizes = np.fromiter(map(len, units), np.int64, n)
+        order = np.argsort(-sizes, kind="stable")  # units that have ended are at the end
+        ends = sizes[order]
+        text = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        begin = (np.cumsum(sizes) - sizes)[order]
+        width, base = min(int(ends[0]) if n else 0, 3 * longest) + 1, 0  # columns are the positions from ``base`` on
+        last, sums = np.full((n, width), -1, np.int32), None if self.bpe else np.zeros((n, width))
+        done, out = np.zeros(n, np.int64), [[] for _ in range(n)]
+        gain = None if self.bpe else np.array([*self.scores, self.unknown])
+        who, start, node = (np.zeros(0, np.int64) for _ in range(3))
+        live = n
+        for k in range(int(ends[0]) if n else 0):
+            while live and ends[live - 1] <= k:
+                live -= 1
+            code = self.chars[text[begin[:live] + k]].astype(np.int64)
+            keep = who < live
+            who = np.concatenate([who[keep], np.arange(live)])
+            start = np.concatenate([start[keep], np.full(live, k)])
+            node = np.concatenate([node[keep], np.zeros(live, np.int64)])
+            node = self.moves.get(node * self.n_chars + code[who]).astype(np.int64)
+            piece = np.where(node < 0, -1, self.piece_at[node])
+            piece = np.where((piece < 0) & (start == k), big, piece)
+            if k + 1 - base >= width:  # the columns move on, or grow where a unit's paths have not met
+                low = int(done[:live].min())
+                if low - base < width // 2:
+                    last = np.pad(last, ((0, 0), (0, width)), constant_values=-1)
+                    sums = sums if sums is None else np.pad(sums, ((0, 0), (0, width)))
+                    width *= 2
+                else:
+                    for table, fill in ((last, -1), (sums, 0)):
+                        if table is not None:
+                            table[:live, : width - (low - base)] = table[:live, low - base :]
+                            table[:live, width - (low - base) :] = fill
+                    base = low
+            hit = np.flatnonzero(piece >= 0)
+            w, s, p = who[hit], start[hit], piece[hit]
+            if self.bpe:
+                before = last[w, s - base]
+                first = s == 0
+                ok = first | (before >= 0)
+                ok[ok] = first[ok] | self.may_follow(np.where(first[ok], 0, before[ok]), p[ok])
+                last[w[ok], k + 1 - base] = p[ok]
+            else:
+                total = sums[w, s - base] + gain[p]
+                best = np.lexsort((total, w))
+                last[w[best], k + 1 - base], sums[w[best], k + 1 - base] = p[best], total[best]  # of equal units the last assignment stays
+            go = (node >= 0) & (start > k + 1 - longest)
+            who, start, node = who[go], start[go], node[go]
+            for u in np.flatnonzero(k + 1 - done[:live] >= 2 * longest).tolist():
+                shared = self._shared(last[u], base, int(done[u]), k + 1)
+                out[u] += shared
+                done[u] += sum(self.size[shared].tolist())
+            for u in range(live - 1, -1, -1):
+                if ends[u] > k + 1:
+                    break
+                out[u] += self._path(last[u], base, int(done[u]), k + 1)
+        found: list = [None] * n
+        for u, at in enumerate(order.tolist()):
+            found[at] = np.array(out[u], np.int32)
+        return found
+
+    def _path(self, last: np.ndarray, base: int, start: int, end: int) -> list[int]:
+        """The ids on the way from ``start`` to ``end``, read from the end."""
         out = []
         while end > start:
-            out.append(last[end])
-            end -= len(out[-1])
+            out.append(int(last[end - base]))
+            end -= int(self.size[out[-1]])
         return out[::-1]
 
-    def _common(self, last: dict[int, str], start: int, end: int) -> list[str]:
-        """The pieces from ``start`` to the last boundary that is on the path to every position that a later piece can begin at."""
-        paths = [self._path(last, start, x) for x in range(max(start + 1, end - self.longest + 1), end + 1) if x in last]
-        common: list[str] = []
+    def _shared(self, last: np.ndarray, base: int, start: int, end: int) -> list[int]:
+        """The ids from ``start`` to the last boundary that is on the path to every position at which a later piece can begin."""
+        paths = [self._path(last, base, start, x) for x in range(max(start + 1, end - self.longest + 1), end + 1) if last[x - base] >= 0]
+        shared: list[int] = []
         for step in zip(*paths, strict=False):
             if len(set(step)) > 1:
                 break
-            common.append(step[0])
-        return common
+            shared.append(step[0])
+        return shared
+
+    def segments(self, text: str) -> list[str]:
+        """The pieces of a text in which blanks are space marks; single characters where the vocabulary has none."""
+        out, at = [], 0
+        for i in self.stream([text])[0].tolist():
+            out.append(text[at : at + int(self.size[i])])
+            at += len(out[-1])
+        return out
 
-    def _encoded(self, marked: str, stands_for_mark: str = "") -> bytes:
-        ids: list[int] = []
-        for piece in self.segments(marked):
-            i = self.ids.get(piece)
-            ids += [i] if i is not None else [self.bytes[b] for b in (SPACE if piece == stands_for_mark else piece).encode()]
-        return np.array(ids, np.int32).tobytes()
+    def _encoded(self, units: list[str], stand: str = "") -> list[bytes]:
+        """Ids (int32) of units, with the byte pieces of the characters that have no piece; ``stand`` stands for a space mark of the text itself."""
+        out, n = [], len(self.names)
+        for unit, ids in zip(units, self.stream(units), strict=True):
+            if (ids == n).any():
+                own, at = [], 0
+                for i in ids.tolist():
+                    own += [i] if i < n else [self.bytes[b] for b in (SPACE if unit[at] == stand else unit[at]).encode()]
+                    at += int(self.size[i])
+                ids = np.array(own, np.int32)
+            out.append(ids.tobytes())
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of texts. No piece goes over a blank that follows another character, so all paths meet there: words, each
-        with the blanks before it, are encoded by themselves and remembered; a long word is a text of its own."""
+        """The ids of texts. No piece of such a vocabulary goes over a blank that follows another character, so all paths meet
+        there: a text's units are its words, each with the blanks before it, and the ids of shorter ones are remembered."""
         known, parted, out = self.known, [], []
         for text in texts:
-            if SPACE in text or not self.starts_words:
-                parted.append(None)
-                continue
-            parts = text.split(" ")
-            if "" in parts and text:
-                words, blanks = [], 0
-                for part in parts[:-1]:
-                    if part:
-                        words.append(" " * blanks + part)
-                    blanks = 0 if part else blanks + 1
-                parts = [*words, " " * blanks + parts[-1]]
-            parted.append(parts if text else [])
-        new = {w for parts in parted if parts for w in parts}.difference(known)
+            mark = ""
+            if SPACE in text:  # a character that neither text nor vocabulary has stands for a mark in the text
+                mark = next(c for c in map(chr, range(0x10FFFF, 0, -1)) if c not in text and c not in self.ids)
+                text = text.replace(SPACE, mark)
+            if not self.starts_words:
+                parts = [text] if text else []
+            else:
+                parts = text.split(" ") if text else []
+                if "" in parts:
+                    words, blanks = [], 0
+                    for part in parts[:-1]:
+                        if part:
+                            words.append(" " * blanks + part)
+                        blanks = 0 if part else blanks + 1
+                    parts = [*words, " " * blanks + parts[-1]]
+            parted.append((parts, mark))
+        new = {w for parts, _ in parted for w in parts}.difference(known)
         if len(known) + len(new) > CACHED:
             known.clear()
-            new = {w for parts in parted if parts for w in parts}
-        short = [w for w in new if len(w) < 2 * self.longest]
-        if short:
-            known.update(zip(short, self.encode_words(short), strict=True))
-        long = {w: self._encoded(SPACE + w.replace(" ", SPACE)) for w in new if len(w) >= 2 * self.longest}
-        for text, parts in zip(texts, parted, strict=True):
-            if parts is not None:
-                ids = b"".join([known[w] if w in known else long[w] for w in parts]) if long else b"".join(map(known.__getitem__, parts))
-            else:  # a character that neither text nor vocabulary has stands for a mark in the text
-                stand = next(c for c in map(chr, range(0x10FFFF, 0, -1)) if c not in text and c not in self.ids)
-                ids = self._encoded(SPACE + text.replace(SPACE, stand).replace(" ", SPACE), stand)
-            out.append(np.frombuffer(ids, np.int32))
+            new = {w for parts, _ in parted for w in parts}
+        marked = [*new]
+        ids = dict(zip(marked, self._encoded([SPACE + w.replace(" ", SPACE) for w in marked]), strict=True))
+        known.update((w, x) for w, x in ids.items() if len(w) <= SHORT)
+        long = {w: x for w, x in ids.items() if len(w) > SHORT}
+        for parts, mark in parted:
+            meant = long
+            if mark:
+                own = [w for w in set(parts) if mark in w]
+                meant = long | dict(zip(own, self._encoded([SPACE + w.replace(" ", SPACE) for w in own], mark), strict=True))
+            found = [meant[w] if w in meant else known[w] for w in parts] if meant else map(known.__getitem__, parts)
+            out.append(np.frombuffer(b"".join(found), np.int32))
         return out
 
     def decode(self, ids) -> str:
@@ -331,3 +321,23 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", tex
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(batches, f"id {kind}, ids array<int>, n_ids long, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
+
+
+def decode(encoded: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """Per row of ``encoded``: its id and ``text``, decoded from its ids; null ids give a null text, no ids an empty one.
+
+    An id that the model lacks is an error. Repeated rows and null ids of documents are rows like any other. An empty table
+    gives no rows.
+    """
+    import pyarrow as pa
+
+    model = encoded.sparkSession.sparkContext.broadcast(read_model(encoded, model_path))
+
+    def batches(parts):
+        pieces = _pieces(model.value)
+        for part in parts:
+            texts = [None if ids is None else pieces.decode(ids) for ids in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["id", "text"])
+
+    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return rows.mapInArrow(batches, f"id {rows.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)

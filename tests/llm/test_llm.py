@@ -588,7 +588,7 @@ def test_pieces_equal_the_library_and_round_trip(model):
             assert ids.tolist() == own.encode(text)
     for text in texts:  # word by word, and as one stream
         if "▁" not in text and text:
-            assert model._encoded("▁" + text.replace(" ", "▁")) == model.encode([text])[0].tobytes()
+            assert model._encoded(["▁" + text.replace(" ", "▁")])[0] == model.encode([text])[0].tobytes()
 
 
 def test_pieces_while_the_pair_table_overflows(model):
@@ -609,22 +609,41 @@ def test_pieces_while_the_pair_table_overflows(model):
     assert [ids.tolist() for ids in small.encode(texts)] == own.encode(texts)
 
 
-def test_unigram_viterbi_finds_the_best_path(model):
-    import copy
+def test_unigram_viterbi_finds_the_best_path():
+    from sentencepiece import sentencepiece_model_pb2
 
-    small = copy.copy(model)
-    small.ids = {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}
-    small.scores, small.longest, small.bpe, small.unknown = [-1.0, -1.1, -1.5, -1.7, -2.4], 3, False, -9.0
-    rng = random.Random(0)
-    for _ in range(40):
-        text = "".join(rng.choice("aab?") for _ in range(rng.randint(1, 60)))
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.trainer_spec.model_type, proto.normalizer_spec.name, proto.normalizer_spec.remove_extra_whitespaces = 1, "identity", False
+    for piece, score in (("a", -1.0), ("b", -1.1), ("ab", -1.5), ("ba", -1.7), ("aba", -2.4)):
+        proto.pieces.add(piece=piece, score=score, type=pieces.NORMAL)
+    small = pieces.Pieces(proto.SerializeToString())
+    scores, rng = {p.piece: p.score for p in proto.pieces}, random.Random(0)
+    texts = ["".join(rng.choice("aab?") for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["ab" * 500]
+    together = small.stream(texts)
+    for text, ids in zip(texts, together, strict=True):
         best = [0.0] + [-math.inf] * len(text)
         for end in range(1, len(text) + 1):
             for at in range(max(0, end - 3), end):
-                s = small.scores[small.ids[text[at:end]]] if text[at:end] in small.ids else (-9.0 if end - at == 1 else -math.inf)
-                best[end] = max(best[end], best[at] + s)
+                best[end] = max(best[end], best[at] + scores.get(text[at:end], small.unknown if end - at == 1 else -math.inf))
         got = small.segments(text)
-        assert "".join(got) == text and sum(small.scores[small.ids[p]] if p in small.ids else -9.0 for p in got) == pytest.approx(best[-1])
+        assert "".join(got) == text and sum(scores.get(p, small.unknown) for p in got) == pytest.approx(best[-1])
+        assert small.stream([text])[0].tolist() == ids.tolist()
+
+
+def test_pieces_of_long_words_and_the_window(model):
+    import sentencepiece
+
+    own, rng = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), random.Random(3)
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "a" * 5000, "=" * 3000 + "-=" * 999, " " * 4000, "日本" * 2000):
+        assert model.encode([text])[0].tolist() == own.encode(text)
+    marked = "▁".join(prose(rng, 3) for _ in range(2000))
+    assert model.decode(model.encode([marked])[0].tolist()) == marked
+
+
+def test_decode_table(spark, docs):
+    got = pieces.decode(pieces.encode(docs.withColumn("id", F.lit(1))))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, docs.select("doc_id", "text").collect()), key=repr)
+    assert pieces.decode(pieces.encode(empty(spark))).count() == 0
 
 
 def test_encode_table(spark, docs):
