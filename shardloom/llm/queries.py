@@ -68,6 +68,18 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_near_vecto
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+# A run: of the documents after the last run's end that fit the rest, those of which the sum down the keys stays within it.
+_RUNS = "".join(
+    f"""f{r} AS (SELECT *, after AND size <= rest AS fits FROM t{r - 1}),
+r{r} AS (SELECT *, CASE WHEN fits THEN sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key DESC, doc_id DESC, size DESC) END AS total FROM f{r}),
+c{r} AS (SELECT source, coalesce(max(CASE WHEN total <= rest THEN total END), 0) AS had, min(CASE WHEN total > rest THEN total END) AS over FROM r{r} GROUP BY source),
+l{r} AS (SELECT r{r}.source, max(key) AS last FROM r{r} JOIN c{r} ON r{r}.source IS NOT DISTINCT FROM c{r}.source WHERE total = over GROUP BY r{r}.source),
+t{r} AS (SELECT r{r}.doc_id, r{r}.source, size, key, CAST(rest - had AS BIGINT) AS rest, taken OR coalesce(total <= rest AND (over IS NULL OR total < over), FALSE) AS taken, coalesce(key <= last, FALSE) AS after
+  FROM r{r} JOIN c{r} ON r{r}.source IS NOT DISTINCT FROM c{r}.source LEFT JOIN l{r} ON r{r}.source IS NOT DISTINCT FROM l{r}.source),
+"""
+    for r in (1, 2, 3)
+)
+
 ORACLE = {
     "op3_near_vectors": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -79,26 +91,25 @@ walk AS (WITH RECURSIVE r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.
 SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links, walk.c AS component_id, walk.c = v.vec_id AS kept
 FROM v JOIN walk ON walk.a = v.vec_id""",
     "op7_mixing": f"""
-WITH d AS (SELECT doc_id, source, text, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
-k AS (SELECT *, CASE WHEN size >= 20 AND (length(text) - length(translate(text, '#*$%&|<>', ''))) * 10 < size THEN 2 ELSE 1 END AS w,
+WITH d AS (SELECT doc_id, source, text, CAST(len({_WORDS}) AS BIGINT) AS size, length(text) - length(translate(text, '#*$%&|<>', '')) AS symbols FROM documents),
+k AS (SELECT *, 1 + CASE WHEN size >= 20 THEN 1 ELSE 0 END + CASE WHEN symbols * 10 < size THEN 1 ELSE 0 END + CASE WHEN symbols * 50 < size THEN 1 ELSE 0 END
+    + CASE WHEN length(text) > size * 3 AND length(text) < size * 12 THEN 1 ELSE 0 END AS w,
   (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d),
-doc AS (SELECT doc_id, source, size, CASE WHEN w = 2 THEN sqrt(u) ELSE u END AS key FROM k),
+doc AS (SELECT doc_id, source, size, CASE WHEN w = 1 THEN u ELSE pow(u, 1::DOUBLE / w) END AS key FROM k),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM doc GROUP BY source),
 s1 AS (SELECT *, ([5, 2, 1])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, source_size * 3 AS most FROM s0),
 s2 AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
   / sum(weight) OVER (ORDER BY most::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
 s3 AS (SELECT source, source_size, coalesce(least(CAST(most AS DOUBLE), weight * (SELECT level FROM s2 WHERE level * weight <= most ORDER BY most::DOUBLE / weight, source NULLS LAST LIMIT 1)), 0) AS target FROM s2),
-s AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs,
-  CASE WHEN source_size > 0 THEN CAST(round(target - floor(target / source_size) * source_size) AS BIGINT) ELSE 0 END AS goal FROM s3),
-run AS (SELECT doc.*, s.goal, sum(size) OVER (PARTITION BY doc.source ORDER BY key DESC, doc_id DESC, size DESC) AS total
-  FROM doc JOIN s ON doc.source IS NOT DISTINCT FROM s.source WHERE size > 0),
-cutoff AS (SELECT source, min(goal) - coalesce(max(CASE WHEN total <= goal THEN total END), 0) AS rest, min(CASE WHEN total > goal THEN total END) AS over FROM run GROUP BY source),
-extra AS (SELECT run.source, run.doc_id, row_number() OVER (PARTITION BY run.source ORDER BY abs(run.size - rest), key, run.doc_id) AS n
-  FROM run JOIN cutoff ON run.source IS NOT DISTINCT FROM cutoff.source WHERE total >= over AND abs(run.size - rest) < rest)
+s4 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS e,
+  CASE WHEN source_size > 0 THEN CAST(round(target - floor(target / source_size) * source_size) AS BIGINT) ELSE 0 END AS g FROM s3),
+s AS (SELECT source, source_size, target, CASE WHEN source_size > 0 AND g >= source_size THEN e + 1 ELSE e END AS epochs, CASE WHEN g >= source_size THEN 0 ELSE g END AS goal FROM s4),
+t0 AS (SELECT doc.*, goal AS rest, FALSE AS taken, TRUE AS after FROM doc JOIN s ON doc.source IS NOT DISTINCT FROM s.source WHERE size > 0),
+{_RUNS}
+extra AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY abs(size - rest), key, doc_id) AS n FROM t3 WHERE NOT taken AND abs(size - rest) < rest)
 SELECT doc.doc_id, doc.size, s.source_size, s.target,
-  CAST(doc.size * CASE WHEN doc.size = 0 THEN 0 ELSE s.epochs + CASE WHEN run.total < cutoff.over OR extra.doc_id IS NOT NULL THEN 1 ELSE 0 END END AS BIGINT) AS taken
-FROM doc JOIN s ON doc.source IS NOT DISTINCT FROM s.source LEFT JOIN run ON run.doc_id = doc.doc_id
-LEFT JOIN cutoff ON cutoff.source IS NOT DISTINCT FROM doc.source LEFT JOIN extra ON extra.doc_id = doc.doc_id AND extra.n = 1""",
+  CAST(doc.size * CASE WHEN doc.size = 0 THEN 0 ELSE s.epochs + CASE WHEN t3.taken OR extra.doc_id IS NOT NULL THEN 1 ELSE 0 END END AS BIGINT) AS taken
+FROM doc JOIN s ON doc.source IS NOT DISTINCT FROM s.source LEFT JOIN t3 ON t3.doc_id = doc.doc_id LEFT JOIN extra ON extra.doc_id = doc.doc_id AND extra.n = 1""",
     "op8_compaction": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5, TRUE AS shard_bound FROM documents",
     "op9_line_templates": r"""
 WITH RECURSIVE part AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
