@@ -11,25 +11,20 @@ from pyspark.sql import functions as F
 from shardloom.functions.expressions import md5_order
 from shardloom.operators.grouped import by_runs
 
-NEIGHBOURS = tuple((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1))
-
-
-def _dilate(cells: DataFrame, group: str) -> DataFrame:
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in NEIGHBOURS])).alias("o")
-    at = lambda c, o: F.greatest(F.col(c) + F.col(f"o.{o}"), F.lit(0)).cast("long").alias(c)
-    return cells.select(group, "x", "y", near).select(group, at("x", "i"), at("y", "j")).distinct()
-
-
 def grow(rows: DataFrame, from_stride: int, to_stride: int, rounds: int, group: str = "event_idx") -> DataFrame:
     """Distinct cells (x, y) of width ``to_stride`` grown from the occupied cells of width ``from_stride``: halve the width
-    and add the eight neighbours until the width is reached, then ``rounds`` - 1 more dilations; no coordinate under 0."""
+    and add the eight neighbours until the width is reached, then ``rounds`` - 1 more dilations; no coordinate under 0.
+
+    Halving and dilating turn a cell into a square of cells, so every occupied cell is spread out once, to its last square.
+    """
     stages = (from_stride // to_stride).bit_length() - 1
-    cells = rows.select(group, F.floor(F.col("x") / from_stride).alias("x"), F.floor(F.col("y") / from_stride).alias("y")).distinct()
+    low = high = 0
     for step in range(stages + rounds - 1):
-        if step < stages:
-            cells = cells.withColumns({"x": F.col("x") * 2, "y": F.col("y") * 2})
-        cells = _dilate(cells, group)
-    return cells
+        double = 2 if step < stages else 1
+        low, high = double * low - 1, double * high + 1
+    span = lambda c: F.explode(F.sequence(F.greatest(F.col(c) * 2**stages + low, F.lit(0)), F.col(c) * 2**stages + high)).alias(c)
+    cells = rows.select(group, F.floor(F.col("x") / from_stride).alias("x"), F.floor(F.col("y") / from_stride).alias("y")).distinct()
+    return cells.select(group, span("x"), "y").distinct().select(group, "x", span("y")).distinct()
 
 
 def wipe_cells(rows: DataFrame, width: int, height: int, most: float, seed: int, key: str, group: str = "event_idx") -> DataFrame:
@@ -140,10 +135,11 @@ def crops(rows: DataFrame, width: int, height: int, n: int, scale: tuple[float,
     return by_runs(rows, group, ["id"], crop, f"{group} {kinds[group]}, crop bigint, id {kinds['id']}")
 
 
-def views(crop_rows: DataFrame, masks: int, ratio: float, seed: int, group: str = "event_idx") -> DataFrame:
-    """Views = crops x masks: (event, view, id, masked); truth joins by id."""
+def views(crop_rows: DataFrame, masks: int, ratio: float, seed: int, group: str = "event_idx", truth: DataFrame | None = None) -> DataFrame:
+    """Views = crops x masks: (event, view, id, masked), and the columns of ``truth`` (event, id, ..) of each row, null without any."""
     from shardloom.operators.sampling import random_mask
 
     rows = crop_rows.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(masks - 1)))).withColumn("view", F.col("crop") * masks + F.col("mask"))
     rows = rows.withColumn("__g", F.concat_ws(":", F.col(group).cast("string"), F.col("view").cast("string"))).withColumn("__k", F.concat_ws(":", F.col("__g"), F.col("id").cast("string")))
-    return random_mask(rows, "__g", ratio, seed, "__k", keep_one=True).select(group, "view", "id", "masked")
+    out = random_mask(rows, "__g", ratio, seed, "__k", keep_one=True).select(group, "view", "id", "masked")
+    return out if truth is None else out.join(truth, [group, "id"], "left")

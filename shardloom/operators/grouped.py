@@ -1,4 +1,4 @@
-"""Sequential steps over small groups, many groups to an Arrow batch."""
+"""Sequential steps over small groups, many groups to an Arrow batch; and joins whose small side is counted first."""
 
 from __future__ import annotations
 
@@ -7,34 +7,58 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows up to which a table of a few columns is broadcast (some MB).
+FEW = 100_000
+
+
+def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``most`` rows; beyond that a join shuffles it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def by_runs(rows: DataFrame, group: str, sort: list[str], body: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """``body`` for the rows of each group, in the order of ``sort``: columns in, columns of ``schema`` out.
 
     Groups are dealt out and sorted by Spark; a task cuts its sorted batches into groups, so that a group costs no frame
-    of its own. A group that goes over batches is put together first.
+    of its own. A group that goes over batches is put together once. Rows with a null group are one group, for which
+    ``body`` sees the type's zero and the result has null again.
     """
     names = [part.split()[0] for part in schema.split(", ")]
+    kind = dict(rows.dtypes)[group]
+    zero = F.lit("" if kind == "string" else 0).cast(kind)
+    keyed = rows.withColumn("__null", F.col(group).isNull()).withColumn(group, F.coalesce(F.col(group), zero))
 
     def run(batches):
-        held = None
+        held: list[pd.DataFrame] = []
         for frame in batches:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            keys = frame[group].to_numpy()
-            other = np.flatnonzero(keys != keys[-1]) if len(keys) else []
-            last = int(other[-1]) + 1 if len(other) else 0
-            held = frame.iloc[last:]
-            if last:
-                yield pack(frame.iloc[:last])
-        if held is not None and len(held):
-            yield pack(held)
+            if not len(frame):
+                continue
+            at = cuts(frame)
+            same = bool(held) and all(held[-1][c].iloc[-1] == frame[c].iloc[0] for c in (group, "__null"))
+            if held and (len(at) > 2 or not same):
+                to = at[1] if same else 0
+                yield pack(pd.concat([*held, frame.iloc[:to]], ignore_index=True))
+                held, frame, at = [], frame.iloc[to:], [x - to for x in (at[1:] if same else at)]
+            if len(at) > 2:
+                yield pack(frame.iloc[: at[-2]])
+            held.append(frame.iloc[at[-2] :])
+        if held:
+            yield pack(pd.concat(held, ignore_index=True))
+
+    def cuts(frame: pd.DataFrame) -> list[int]:
+        keys, null = frame[group].to_numpy(), frame["__null"].to_numpy()
+        return np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (null[1:] != null[:-1]), [True]))).tolist()
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        columns = {c: frame[c].to_numpy() for c in frame.columns}
-        keys = columns[group]
-        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))).tolist()
-        parts = [body({c: v[a:b] for c, v in columns.items()}) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pd.DataFrame({n: np.concatenate([np.asarray(p[n]) for p in parts]) for n in names})
+        columns, at = {c: frame[c].to_numpy() for c in frame.columns if c != "__null"}, cuts(frame)
+        parts = [body({c: v[a:b] for c, v in columns.items()}) for a, b in zip(at, at[1:], strict=False)]
+        out = pd.DataFrame({n: np.concatenate([np.asarray(p[n]) for p in parts]) for n in names})
+        null = frame["__null"].to_numpy()[at[:-1]]
+        if group in names and null.any():
+            sizes = [len(p[names[0]]) for p in parts]
+            out[group] = out[group].astype(object).where(~np.repeat(null, sizes), None)
+        return out
 
-    return rows.repartition(group).sortWithinPartitions(group, *sort).mapInPandas(run, schema)
+    return keyed.repartition(group, "__null").sortWithinPartitions(group, "__null", *sort).mapInPandas(run, schema)

@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.functions.expressions import norm, ratio
+from shardloom.operators.grouped import if_few
+from shardloom.sources.tables import cut
+
+
+def mean_vector(vec: str = "vec") -> Column:
+    """Aggregate: the element-wise mean of vectors, without a row for every element."""
+    return vector_to_array(Summarizer.mean(array_to_vector(F.col(vec).cast("array<double>"))))
 
 
 def mean_pool(vectors: DataFrame, events: DataFrame, group: str = "event_idx") -> DataFrame:
     """Per event the element-wise mean of its vectors ``vec``, null for an event without any."""
-    parts = vectors.select(group, F.posexplode("vec").alias("pos", "v")).groupBy(group, "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    means = parts.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("mean"))
-    return events.select(group).join(means, group, "left")
+    return events.select(group).join(vectors.groupBy(group).agg(mean_vector().alias("mean")), group, "left")
 
 
 def offsets(counts: DataFrame, order: str, n: str = "n") -> DataFrame:
@@ -29,9 +38,23 @@ def offsets(counts: DataFrame, order: str, n: str = "n") -> DataFrame:
 
 
 def key_digest(keys: DataFrame, key: str) -> DataFrame:
-    """One row: SHA-256 over the sorted keys, each followed by a newline. For sets of keys that one row can hold."""
-    joined = F.concat(F.concat_ws("\n", F.sort_array(F.collect_list(key))), F.when(F.count(key) > 0, "\n").otherwise(""))
-    return keys.agg(F.sha2(joined, 256).alias("digest"), F.count(key).alias("n"))
+    """One row: SHA-256 over the sorted keys, each followed by a newline, and their number; null keys don't count.
+
+    A SHA-256 of a sequence can only be taken from its beginning to its end, so one task reads the sorted keys; it sorts on
+    disk if need be, holds a batch of them, and nothing of them comes to the driver.
+    """
+
+    def digest(batches):
+        import hashlib
+
+        h, n = hashlib.sha256(), 0
+        for part in batches:
+            h.update("".join(f"{k}\n" for k in part["k"]).encode())
+            n += len(part)
+        yield pd.DataFrame({"digest": [h.hexdigest()], "n": [n]})
+
+    rows = keys.select(F.col(key).cast("string").alias("k")).where("k is not null")
+    return rows.repartition(1).sortWithinPartitions("k").mapInPandas(digest, "digest string, n long")
 
 
 def confusion(pairs: DataFrame, truth: str = "truth", predicted: str = "predicted", by: list[str] | None = None) -> DataFrame:
@@ -88,10 +111,42 @@ def sweep(rows: DataFrame, value: str, predicted: Column, thresholds: list[float
     return at.groupBy("threshold").agg(F.avg(truth.cast("double")).alias("prevalence"), *binary_scores(truth, predicted))
 
 
-def order_statistics(value: str) -> list[Column]:
-    """Aggregates min, p05, median, p95, max (linear interpolation) and mean."""
-    shares = {"min": 0.0, "p05": 0.05, "median": 0.5, "p95": 0.95, "max": 1.0}
-    return [*[F.percentile(value, p).alias(k) for k, p in shares.items()], F.avg(value).alias("mean")]
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Per group ``by`` (all rows without): exact percentiles with linear interpolation, a column for each name of ``shares``;
+    null values don't count.
+
+    Distinct values with their counts are dealt out by ranges, counted by range, and only the values at the wanted ranks are
+    kept: no task holds a group's values.
+    """
+    by = by or []
+    values = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = cut(values.repartitionByRange(*by, "__v").withColumn("__part", F.spark_partition_id()))
+    parts = dealt.groupBy(*by, "__part").agg(F.sum("__n").alias("__of"))
+    order = Window.partitionBy(*by).orderBy("__part")
+    parts = parts.select(*by, "__part", (F.sum("__of").over(order) - F.col("__of")).alias("__before"), F.sum("__of").over(Window.partitionBy(*by)).alias("__all"))
+    own = F.sum("__n").over(Window.partitionBy("__part", *by).orderBy("__v"))
+    ranked = dealt.join(if_few(cut(parts)).select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__part").alias("__p"), "__before", "__all"), _null_safe(by) & (F.col("__part") == F.col("__p")))
+    ranked = ranked.withColumn("__to", F.col("__before") + own)
+    at = lambda q: (F.col("__all") - 1) * F.lit(q)
+    holds = lambda rank: (rank >= F.col("__to") - F.col("__n")) & (rank < F.col("__to"))
+    low = lambda q: F.max(F.when(holds(F.floor(at(q))), F.col("__v")))
+    high = lambda q: F.max(F.when(holds(F.ceil(at(q))), F.col("__v")))
+    share = lambda q: F.max(at(q) - F.floor(at(q)))
+    return ranked.groupBy(*by).agg(*[(low(q) + share(q) * (high(q) - low(q))).alias(k) for k, q in shares.items()])
+
+
+def _null_safe(by: list[str]) -> Column:
+    out = F.lit(True)
+    for c in by:
+        out = out & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return out
+
+
+def order_statistics(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Per group min, p05, median, p95, max (linear interpolation) and mean."""
+    found = percentiles(rows, value, {"p05": 0.05, "median": 0.5, "p95": 0.95}, by)
+    plain = rows.groupBy(*by).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    return plain.join(found, by)
 
 
 def two_stage_mean(rows: DataFrame, value: Column, group: str) -> DataFrame:
@@ -100,16 +155,38 @@ def two_stage_mean(rows: DataFrame, value: Column, group: str) -> DataFrame:
 
 
 def covariance(vectors: DataFrame, id_col: str = "id", vec: str = "vec") -> DataFrame:
-    """Sample covariance of the dimensions of ``vec``, rows (i, j, cov) for i <= j. Sums over pairs of dimensions are made within each row, so nothing is joined."""
-    dims = F.size(vec)
-    pairs = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), dims - 1), lambda i: F.transform(F.sequence(i, dims - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), F.get(vec, i).cast("double").alias("x"), F.get(vec, j).cast("double").alias("y"))))))
-    return vectors.select(pairs.alias("p")).groupBy("p.i", "p.j").agg(F.covar_samp("p.x", "p.y").alias("cov"))
+    """Sample covariance of the dimensions of ``vec``, rows (i, j, cov) for i <= j; null vectors don't count.
+
+    A task sums its vectors and their products about its own mean; what is shuffled is one matrix a task, put together by
+    the means' differences.
+    """
+
+    def sums(batches):
+        n, mean, square = 0, None, None
+        for part in batches:
+            if not len(part):
+                continue
+            x = np.array(list(part["v"]), np.float64)
+            m, own = x.mean(axis=0), len(x)
+            s = (x - m).T @ (x - m)
+            if mean is None:
+                n, mean, square = own, m, s
+                continue
+            gap, both = m - mean, n + own
+            square += s + np.outer(gap, gap) * (n * own / both)
+            n, mean = both, mean + gap * (own / both)
+        if mean is not None:
+            i, j = np.triu_indices(len(mean))
+            yield pd.DataFrame({"i": i, "j": j, "n": n, "x": mean[i], "y": mean[j], "s": square[i, j]})
+
+    parts = vectors.where(F.col(vec).isNotNull()).select(F.col(vec).alias("v")).mapInPandas(sums, "i int, j int, n long, x double, y double, s double")
+    n = F.sum("n")
+    between = F.sum(F.col("n") * F.col("x") * F.col("y")) - F.sum(F.col("n") * F.col("x")) * F.sum(F.col("n") * F.col("y")) / n
+    return parts.groupBy("i", "j").agg((F.try_divide(F.sum("s") + between, n - 1)).alias("cov"))
 
 
 def eigenvalues(cov: DataFrame) -> list[float]:
     """Eigenvalues of a covariance (i, j, cov), largest first; the matrix has as many rows as a vector has dimensions."""
-    import numpy as np
-
     rows = cov.collect()
     n = max((r["j"] for r in rows), default=-1) + 1
     m = np.zeros((n, n))
@@ -122,7 +199,7 @@ def spectrum(vectors: DataFrame, id_col: str = "id", vec: str = "vec") -> DataFr
     """One row: participation ratio, RankMe, condition number (NaN if the smallest clipped eigenvalue is 0), dimensions that hold 90 and 99 % of the variance, and the share of squared covariance off the diagonal."""
     from shardloom.functions.expressions import participation_ratio, rank_me
 
-    cov = covariance(vectors, id_col, vec)
+    cov = cut(covariance(vectors, id_col, vec))
     values = [max(v, 0.0) for v in eigenvalues(cov)]
     squares = cov.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("cov") ** 2)).alias("on"), F.sum(F.when(F.col("i") != F.col("j"), 2 * F.col("cov") ** 2).otherwise(0.0)).alias("off"))
     own = F.array(*map(F.lit, values)) if values else F.array().cast("array<double>")
@@ -145,17 +222,18 @@ def pair_cosine(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
     rows = pairs.select(dot(F.col(a), F.col(b)).alias("d"), norm(F.col(a)).alias("na"), norm(F.col(b)).alias("nb")).where("na > 0 and nb > 0")
     rows = rows.select((F.col("d") / (F.col("na") * F.col("nb"))).alias("c"), (F.col("na") / F.col("nb")).alias("r"))
-    return rows.agg(F.avg("c").alias("mean"), F.stddev_pop("c").alias("std"), *[F.percentile("c", p).alias(k) for k, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))], F.avg("r").alias("norm_ratio"), F.count(F.lit(1)).alias("n"))
+    rows = cut(rows)
+    plain = rows.agg(F.avg("c").alias("mean"), F.stddev_pop("c").alias("std"), F.avg("r").alias("norm_ratio"), F.count(F.lit(1)).alias("n"))
+    return plain.join(percentiles(rows, "c", {"p05": 0.05, "p50": 0.5, "p95": 0.95}), how="left").select("mean", "std", "p05", "p50", "p95", "norm_ratio", "n")
 
 
 def class_separation(vectors: DataFrame) -> DataFrame:
     """One row over (label, vec): mean distance to the own class's centroid, mean distance between centroids, their ratio and the closest pair; classes with two rows or more."""
-    big = vectors.groupBy("label").count().where("count >= 2").select("label")
-    rows = vectors.join(big, "label", "left_semi")
-    parts = rows.select("label", F.posexplode("vec").alias("pos", "v")).groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    centres = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centre"))
+    counts = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n"), mean_vector().alias("centre"))
+    centres = if_few(cut(counts.where("n >= 2").select("label", "centre")), 10_000)  # a row per class
+    rows = vectors.join(centres, "label")
     away = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y, 2)), F.lit(0.0), lambda s, x: s + x))
-    within = rows.join(centres, "label").groupBy("label").agg(F.avg(away(F.col("vec"), F.col("centre"))).alias("d")).agg(F.avg("d").alias("within"))
+    within = rows.groupBy("label").agg(F.avg(away(F.col("vec"), F.col("centre"))).alias("d")).agg(F.avg("d").alias("within"))
     pairs = centres.alias("a").join(centres.alias("b"), F.col("a.label") < F.col("b.label")).select(F.col("a.label").alias("first"), F.col("b.label").alias("second"), away(F.col("a.centre"), F.col("b.centre")).alias("d"))
     between = pairs.agg(F.avg("d").alias("between"), F.min(F.struct("d", "first", "second")).alias("c"))
     return within.crossJoin(between).select("within", "between", ratio(F.col("between"), F.col("within")).alias("separation"), F.col("c.first").alias("closest_a"), F.col("c.second").alias("closest_b"))
@@ -203,9 +281,11 @@ def pairwise_cosine(parts: DataFrame, name: str = "term", coordinate: str = "coo
 
 
 def longest_prefix(names: DataFrame, groups: DataFrame, name: str = "name") -> DataFrame:
-    """``names`` with the group of the longest prefix (prefix, grp) that fits, 'other' without; groups are a small fixed table."""
-    found = names.join(F.broadcast(groups), F.col(name).startswith(F.col("prefix")), "left").groupBy(name)
-    return found.agg(F.coalesce(F.max_by("grp", F.length("prefix")), F.lit("other")).alias("grp"))
+    """``names`` with the group of the longest prefix (prefix, grp) that fits, 'other' without. Beginnings of the prefixes' lengths are looked up."""
+    lengths = sorted(r[0] for r in groups.select(F.length("prefix")).distinct().collect())  # as many as the longest prefix has characters at most
+    begins = F.explode_outer(F.array_distinct(F.array(*[F.substring(name, 1, k) for k in lengths]))) if lengths else F.lit(None).cast("string")
+    found = names.select(name, begins.alias("prefix")).join(groups, "prefix", "left").groupBy(name)
+    return found.agg(F.coalesce(F.max_by("grp", F.when(F.col("grp").isNotNull(), F.length("prefix"))), F.lit("other")).alias("grp"))
 
 
 def single_valued(rows: DataFrame, hard: list[str], soft: list[str]) -> DataFrame:
@@ -220,3 +300,23 @@ def require_comparable(rows: DataFrame, hard: list[str], soft: list[str]) -> lis
     if bad := [r["axis"] for r in found if r["action"] == "refuse"]:
         raise ValueError(f"not comparable: several values of {', '.join(bad)}")
     return [f"{r['n_values']} values of {r['axis']}" for r in found]
+
+
+def masked_norm(rows: DataFrame, value: str, group: list[str] | None = None, epsilon: float = 0.0) -> DataFrame:
+    """``rows`` with ``z``: the value less the mean of the values that are not null, over their population deviation; null stays null.
+    Over all rows, or over each group. The sums of all rows are one row, those of groups are joined as a counted table."""
+    stats = rows.groupBy(*(group or [])).agg(F.avg(value).alias("__m"), F.var_pop(value).alias("__s"))
+    joined = rows.join(if_few(stats), group) if group else rows.crossJoin(F.broadcast(stats))
+    return joined.withColumn("z", F.try_divide(F.col(value) - F.col("__m"), F.sqrt(F.col("__s") + epsilon))).drop("__m", "__s")
+
+
+def row_norm(vec: Column, epsilon: float = 1e-5) -> Column:
+    """A vector less its mean, over its population deviation: the normalisation of each row by itself; null stays null."""
+    n = F.size(vec)
+    mean = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double")) / n
+    return F.transform(F.array(F.struct(vec.alias("v"), mean.alias("m"))), lambda s: _scaled(s, n, epsilon))[0]
+
+
+def _scaled(s: Column, n: Column, epsilon: float) -> Column:
+    var = F.aggregate(s["v"], F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") - s["m"], 2)) / n
+    return F.transform(s["v"], lambda x: (x.cast("double") - s["m"]) / F.sqrt(var + epsilon))

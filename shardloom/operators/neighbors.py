@@ -2,70 +2,97 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardloom.operators.grouped import by_runs
+from shardloom.operators.grouped import by_runs, if_few
 
-#: Rows of a block; two blocks meet in one task.
-BLOCK = 4096
+#: Rows of a block, two of which meet in one task, at most, and at least where that gives all cores work; scores that a task holds at once.
+BLOCK, LEAST, SCORES = 32768, 1024, 1 << 23
 
 
 def _vectors(column) -> np.ndarray:
     return np.array(list(column), np.float64)
 
 
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rank from 0) of the k largest finite scores of each row; equal ones in the order of columns."""
+    if score.shape[1] > k:
+        least = np.partition(score, -k, axis=1)[:, -k, None]
+        row, col = np.nonzero((score >= least) & (score > -np.inf))
+    else:
+        row, col = np.nonzero(score > -np.inf)
+    order = np.lexsort((col, -score[row, col], row))
+    row, col = row[order], col[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], col[rank < k], rank[rank < k]
+
+
+def _blocks(rows: DataFrame, within: list[str], block: int, name: str) -> DataFrame:
+    """(within, name): the number of blocks of each group's rows."""
+    n, cores = F.count(F.lit(1)), math.ceil(math.sqrt(rows.sparkSession.sparkContext.defaultParallelism))
+    return rows.groupBy(*within).agg(F.greatest(F.lit(1), F.ceil(n / block), F.least(F.lit(cores), F.ceil(n / LEAST))).cast("int").alias(name))
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", within: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """The k nearest ``rows`` of every query: (query, neighbour, score, rank from 1), and the columns ``within``.
 
     Both sides have ``id`` and ``vec``; equal ids are not neighbours. ``score`` is the cosine (lengths count as 1e-8 at
     least) or the negative squared distance ('l2'), rounded to 6 digits; ties go to the smaller id. ``within``: only rows
-    with equal values are compared. Exact: every pair of blocks is compared in a task, so memory is bounded by the
-    block and the partial results by k for each query and block.
+    with equal values are compared. Exact: every pair of blocks of a group is compared in a task, which holds the two
+    blocks and some rows of scores, and leaves k rows for each query and block. Groups of one block are sent to one task only.
     """
     within = within or []
-    n_rows, n_queries = (max(1, -(-df.count() // block)) for df in (rows, queries))
-    side = lambda df, n, role: df.select(*within, "id", "vec", F.lit(role).alias("role"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
-    q = side(queries, n_queries, 0).withColumn("q_block", F.col("own")).withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
-    r = side(rows, n_rows, 1).withColumn("r_block", F.col("own")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+    kinds = dict(rows.dtypes)
+    counts = _blocks(queries, within, block, "n_q"), _blocks(rows, within, block, "n_r")
+    sizes = counts[0].join(counts[1], within) if within else counts[0].crossJoin(counts[1])  # without groups one row each
+    sized = lambda df: df.join(if_few(sizes), within) if within else df.crossJoin(F.broadcast(sizes))
+
+    def side(df: DataFrame, own: str, other: str, role: int) -> DataFrame:
+        at = F.pmod(F.xxhash64("id"), F.col(f"n_{own}").cast("long")).cast("int").alias(f"{own}_block")
+        return sized(df.select(*within, "id", "vec")).select(*within, "id", "vec", F.lit(role).alias("role"), at, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(f"{other}_block"))
 
     def nearest(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id", kind="stable")
         a, b = part[part.role == 0], part[part.role == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({**{c: part[c].iloc[:0] for c in within}, "query": part.id.iloc[:0], "neighbour": part.id.iloc[:0], "score": pd.Series(dtype=float)})
-        x, y = _vectors(a.vec), _vectors(b.vec)
-        if metric == "cosine":
+        x, y, ids, found = _vectors(a.vec), _vectors(b.vec), b.id.to_numpy(), []
+        if metric == "cosine" and len(a) and len(b):
             x, y = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-8) for z in (x, y))
-            score = x @ y.T
-        else:
-            score = -np.stack([((row - y) ** 2).sum(axis=1) for row in x])
-        score = np.where(a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :], -np.inf, np.round(score, 6) + 0.0)
-        ids = b.id.to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-        at = np.repeat(np.arange(len(a)), order.shape[1])
-        out = pd.DataFrame({**{c: a[c].to_numpy()[at] for c in within}, "query": a.id.to_numpy()[at], "neighbour": ids[order.ravel()], "score": np.take_along_axis(score, order, 1).ravel()})
-        return out[np.isfinite(out.score)]
+        step = max(1, SCORES // max(1, len(b)))
+        for low in range(0, len(a) if len(b) else 0, step):
+            some = x[low : low + step]
+            score = some @ y.T if metric == "cosine" else -sum((some[:, None, j] - y[None, :, j]) ** 2 for j in range(x.shape[1]))
+            score = np.where(a.id.to_numpy()[low : low + step, None] == ids[None, :], -np.inf, np.round(score, 6) + 0.0)
+            row, col, _ = _best(score, k)
+            found.append((row + low, col, score[row, col]))
+        at, col, score = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, int) for i in range(3))
+        return pd.DataFrame({**{c: a[c].to_numpy()[at] for c in within}, "query": a.id.to_numpy()[at], "neighbour": ids[col], "score": np.asarray(score, float)})
 
-    kinds = dict(rows.dtypes)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in within], f"query {dict(queries.dtypes)['id']}", f"neighbour {kinds['id']}", "score double"])
-    part = q.unionByName(r).groupBy(*within, "q_block", "r_block").applyInPandas(nearest, schema)
+    part = side(queries, "q", "r", 0).unionByName(side(rows, "r", "q", 1)).groupBy(*within, "q_block", "r_block").applyInPandas(nearest, schema)
     best = Window.partitionBy(*within, "query").orderBy(F.desc("score"), "neighbour")
     return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def near_in_group(rows: DataFrame, k: int, group: str) -> DataFrame:
     """The k nearest others of each row among its group's rows (id, vec), by squared distance: (group, query, neighbour, score,
-    rank). For groups of which the pairs fit in one task; ``top_k(within=)`` cuts larger ones into blocks."""
+    rank). A task holds a group and some rows of its scores; ``top_k(within=)`` cuts groups into blocks."""
 
     def nearest(c: dict) -> dict:
-        x, n = _vectors(c["vec"]), len(c["id"])
-        score = np.round(-((x[:, None] - x[None]) ** 2).sum(axis=2), 6) + 0.0
-        score[np.arange(n), np.arange(n)] = -np.inf
-        order = np.argsort(-score, axis=1, kind="stable")[:, : min(k, n - 1)]
-        at = np.repeat(np.arange(n), order.shape[1])
-        return {group: c[group][at], "query": c["id"][at], "neighbour": c["id"][order.ravel()], "score": np.take_along_axis(score, order, 1).ravel(), "rank": np.tile(np.arange(1, order.shape[1] + 1), n)}
+        x, n, found = _vectors(c["vec"]), len(c["id"]), []
+        step = max(1, SCORES // n)
+        for low in range(0, n, step):
+            some = x[low : low + step]
+            score = np.round(-sum((some[:, None, j] - x[None, :, j]) ** 2 for j in range(x.shape[1])), 6) + 0.0
+            score[np.arange(len(some)), np.arange(low, low + len(some))] = -np.inf
+            row, col, rank = _best(score, k)
+            found.append((row + low, col, score[row, col], rank + 1))
+        at, col, score, rank = (np.concatenate([f[i] for f in found]) for i in range(4))
+        return {group: c[group][at], "query": c["id"][at], "neighbour": c["id"][col], "score": score, "rank": rank}
 
     kinds = dict(rows.dtypes)
     schema = f"{group} {kinds[group]}, query {kinds['id']}, neighbour {kinds['id']}, score double, rank bigint"
@@ -119,16 +146,26 @@ def ball(queries: DataFrame, rows: DataFrame, radius: float, group: list[str], m
     return (found if most is None else found.where(F.col("slot") < most)).select(*group, "query", "neighbour", "slot")
 
 
+def _nearest2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distance of each point of x to the nearest of y, some rows of distances at a time."""
+    step = max(1, SCORES // max(1, len(y)))
+    return np.concatenate([((x[i : i + step, None, 0] - y[None, :, 0]) ** 2 + (x[i : i + step, None, 1] - y[None, :, 1]) ** 2).min(axis=1) for i in range(0, len(x), step)])
+
+
 def chamfer(a: DataFrame, b: DataFrame, group: str = "event_idx") -> DataFrame:
-    """One row: mean over events of the sum of both mean squared distances to the nearest point of the other cloud."""
+    """One row: mean over events of the sum of both mean squared distances to the nearest point of the other cloud. Of an event
+    that lacks one of both clouds the distance doesn't count. An event's points are compared in its task, no pairs are rows."""
 
-    def one_way(p: DataFrame, q: DataFrame) -> DataFrame:
-        other = q.select(group, F.col("x").alias("ox"), F.col("y").alias("oy"))
-        d2 = F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2)
-        return p.join(other, group).groupBy(group, "id").agg(F.min(d2).alias("d2")).groupBy(group).agg(F.avg("d2").alias("mean"))
+    def both(c: dict) -> dict:
+        xy = np.stack([c["x"], c["y"]], axis=1).astype(float)
+        p, q = xy[c["__side"] == 0], xy[c["__side"] == 1]
+        if not len(p) or not len(q):
+            return {group: c[group][:0], "d": np.zeros(0)}
+        return {group: c[group][:1], "d": np.array([_nearest2(p, q).mean() + _nearest2(q, p).mean()])}
 
-    both = one_way(a, b).unionByName(one_way(b, a))
-    return both.groupBy(group).agg(F.sum("mean").alias("d")).agg(F.avg("d").alias("chamfer"))
+    side = lambda df, k: df.select(group, "x", "y", F.lit(k).alias("__side"))
+    per = by_runs(side(a, 0).unionByName(side(b, 1)), group, ["__side"], both, f"{group} {dict(a.dtypes)[group]}, d double")
+    return per.agg(F.avg("d").alias("chamfer"))
 
 
 def interpolate(neighbours: DataFrame, values: DataFrame, by: list[str], epsilon: float = 1e-8) -> DataFrame:
@@ -156,31 +193,41 @@ def farthest_points(points: DataFrame, k: int, group: str = "event_idx") -> Data
 def suppress(points: DataFrame, radius: float, group: str = "event_idx") -> DataFrame:
     """Non-maximum suppression by centrality: a point with the most others within ``radius`` is kept, those within it go, and so on.
 
-    Equal counts in the order of ids. Returns event, id, n_near (the point itself included) and kept. The counting is
-    done by event in one task each; an event's points must fit there.
+    Equal counts in the order of ids. Returns event, id, n_near (the point itself included) and kept. Sequential within an
+    event, whose points are in one task; that holds some rows of distances and no lists of neighbours.
     """
 
+    limit = np.float32(radius * radius)
+
     def greedy(c: dict) -> dict:
         x, y, n = c["x"].astype(np.float32), c["y"].astype(np.float32), len(c["x"])
-        near = [np.flatnonzero((x - x[i]) ** 2 + (y - y[i]) ** 2 < np.float32(radius * radius)) for i in range(n)]
-        count, gone, kept = np.array([len(m) for m in near]), np.zeros(n, bool), np.zeros(n, bool)
+        step, gone, kept = max(1, SCORES // n), np.zeros(n, bool), np.zeros(n, bool)
+        count = np.concatenate([((x[i : i + step, None] - x) ** 2 + (y[i : i + step, None] - y) ** 2 < limit).sum(axis=1) for i in range(0, n, step)])
         for i in np.argsort(-count, kind="stable"):
             if not gone[i]:
                 kept[i] = True
-                gone[near[i]] = True
+                gone |= (x - x[i]) ** 2 + (y - y[i]) ** 2 < limit
         return {group: c[group], "id": c["id"], "n_near": count, "kept": kept}
 
     kinds = dict(points.dtypes)
     return by_runs(points, group, ["id"], greedy, f"{group} {kinds[group]}, id {kinds['id']}, n_near bigint, kept boolean")
 
 
-def tokens(points: DataFrame, radius: float, most: int, group: str = "event_idx", by_charge: bool = True) -> DataFrame:
+def tokens(points: DataFrame, radius: float, most: int, group: str = "event_idx", reduce: str = "charge") -> DataFrame:
     """Groups of an event's points (id, x, y, q): the suppression's centres, up to ``most`` points of each ball, in relative
-    coordinates: (event, centre, slot, id, dx, dy). Of more points the most charged stay, else the first."""
+    coordinates: (event, centre, slot, id, dx, dy). Of more points the most charged stay ('charge'), the first ('first'), or those
+    that farthest point sampling picks from the first on ('farthest')."""
     centres = suppress(points, radius, group).where("kept").select(group, "id").join(points, [group, "id"])
     members = ball(centres, points, radius, [group])
     members = members.join(points.select(group, F.col("id").alias("neighbour"), "x", "y", "q"), [group, "neighbour"])
     members = members.join(centres.select(group, F.col("id").alias("query"), F.col("x").alias("cx"), F.col("y").alias("cy")), [group, "query"])
-    order = [F.desc("q"), "neighbour"] if by_charge else ["neighbour"]
-    members = members.withColumn("slot", F.row_number().over(Window.partitionBy(group, "query").orderBy(*order)) - 1).where(F.col("slot") < most)
+    if reduce == "farthest":
+        balls = members.withColumn("__ball", F.concat_ws(":", F.col(group).cast("string"), F.col("query").cast("string")))
+        picked = farthest_points(balls.select("__ball", F.col("neighbour").alias("id"), "x", "y"), most, "__ball")
+        members = balls.drop("slot").join(picked.select("__ball", F.col("id").alias("neighbour"), F.col("pick").alias("slot")), ["__ball", "neighbour"])
+    elif reduce in ("charge", "first"):
+        order = [F.desc("q"), "neighbour"] if reduce == "charge" else ["neighbour"]
+        members = members.withColumn("slot", F.row_number().over(Window.partitionBy(group, "query").orderBy(*order)) - 1).where(F.col("slot") < most)
+    else:
+        raise ValueError(f"reduce is 'charge', 'first' or 'farthest', not {reduce!r}")
     return members.select(group, F.col("query").alias("centre"), "slot", F.col("neighbour").alias("id"), (F.col("x") - F.col("cx")).alias("dx"), (F.col("y") - F.col("cy")).alias("dy"))

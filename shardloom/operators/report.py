@@ -18,13 +18,14 @@ SEED_KEYS = ("seed", "run.seed", "data.seed")
 
 def merge_results(files: DataFrame) -> DataFrame:
     """(label, metric, body VARIANT) of result files (ord, text): a later file replaces a whole metric of a label; text that is no JSON object is skipped."""
-    files.select("ord", F.try_parse_json("text").alias("v")).where("v is not null").createOrReplaceTempView("__shardloom_results")
+    parsed = files.select("ord", F.try_parse_json("text").alias("v")).where("v is not null")
     rows = files.sparkSession.sql(
-        "SELECT f.ord, l.key AS label, m.key AS metric, m.value AS body FROM __shardloom_results f, LATERAL variant_explode(f.v) l, LATERAL variant_explode(l.value) m "
-        "WHERE schema_of_variant(f.v) LIKE 'OBJECT%' AND schema_of_variant(l.value) LIKE 'OBJECT%'"
+        "SELECT f.ord, l.key AS label, m.key AS metric, to_json(m.value) AS body FROM {f} f, LATERAL variant_explode(f.v) l, LATERAL variant_explode(l.value) m "
+        "WHERE schema_of_variant(f.v) LIKE 'OBJECT%' AND schema_of_variant(l.value) LIKE 'OBJECT%'",
+        f=parsed,
     )
-    last = rows.groupBy("label", "metric").agg(F.max("ord").alias("ord"))
-    return rows.join(last, ["label", "metric", "ord"]).select("label", "metric", "body")
+    last = rows.groupBy("label", "metric").agg(F.max_by("body", "ord").alias("body"))
+    return last.select("label", "metric", F.parse_json("body").alias("body"))
 
 
 def dig(variant: Column, *paths: list[str] | str) -> Column:

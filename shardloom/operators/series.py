@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 def long_form(records: DataFrame, keep: list[str], rec: str = "rec") -> DataFrame:
     """Rows (keep.., key, value) of every finite number in a VARIANT record; booleans, text and absent keys are no rows."""
-    records.createOrReplaceTempView("__shardloom_records")
     kept = ", ".join(f"r.{c}" for c in keep)
     rows = records.sparkSession.sql(
-        f"SELECT {kept}, e.key, try_variant_get(e.value, '$', 'double') AS value FROM __shardloom_records r, LATERAL variant_explode(r.{rec}) e "
-        "WHERE schema_of_variant(e.value) NOT IN ('BOOLEAN', 'STRING')"
+        f"SELECT {kept}, e.key, try_variant_get(e.value, '$', 'double') AS value FROM {{records}} r, LATERAL variant_explode(r.{rec}) e "
+        "WHERE schema_of_variant(e.value) NOT IN ('BOOLEAN', 'STRING')",
+        records=records,
     )
     return rows.where("value is not null and not isnan(value) and abs(value) < double('infinity')")
 

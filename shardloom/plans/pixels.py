@@ -137,9 +137,9 @@ def full_difference(spark, d):
     return relational.full_difference(a, b, "key", "v")
 
 
-@query(f"""WITH {EVENTS}, {PIXELS}, v AS (SELECT event_idx, CAST(floor(nu_energy) AS BIGINT) % 2000 AS vc, (nu_energy % 97) * 1.0 AS vt FROM ev)
-SELECT px.pixel_idx, px.line, round(least(coalesce(min(sqrt((channel - vc) * (channel - vc) + (tick - round_even(vt, 0)) * (tick - round_even(vt, 0)))), 200), 200), 6) AS distance
-FROM px LEFT JOIN v USING (event_idx) GROUP BY px.pixel_idx, px.line, px.channel, px.tick""")
+@query(f"""WITH {EVENTS}, {PIXELS}, v AS (SELECT event_idx, CAST(floor(nu_energy) AS BIGINT) % 2000 AS vc, (nu_energy % 97) * 1.0 AS vt FROM ev), k AS (SELECT row_number() OVER () AS k, * FROM px)
+SELECT any_value(pixel_idx) AS pixel_idx, any_value(line) AS line, round(least(coalesce(min(sqrt((channel - vc) * (channel - vc) + (tick - round_even(vt, 0)) * (tick - round_even(vt, 0)))), 200), 200), 6) AS distance
+FROM k LEFT JOIN v USING (event_idx) GROUP BY k""")
 def vertex_distance(spark, d):
     v = S.events(spark, d).selectExpr("event_idx", "cast(floor(nu_energy) AS bigint) % 2000 AS v_channel", "(nu_energy % 97) * 1.0 AS v_tick")
     return relational.vertex_distance(S.pixels(spark, d), v).select("pixel_idx", "line", F.round("distance", 6).alias("distance"))
@@ -299,9 +299,9 @@ def wipe_cells(spark, d):
     return augment.wipe_cells(S.pixels(spark, d).withColumnsRenamed({"channel": "x", "tick": "y"}), 200, 20, 0.5, 2, "pixel_idx").select("event_idx", "pixel_idx", "masked", "dense")
 
 
-@query(f"""WITH {PIXELS}, c AS (SELECT DISTINCT channel // 4 AS cx, tick // 4 AS cy FROM px WHERE event_idx < 50) SELECT cx * 4 + a.i AS x, cy * 4 + b.i AS y FROM c, range(4) a(i), range(4) b(i)""")
+@query(f"""WITH {PIXELS}, c AS (SELECT DISTINCT channel // 4 AS cx, tick // 4 AS cy FROM px) SELECT cx * 4 + a.i AS x, cy * 4 + b.i AS y FROM c, range(4) a(i), range(4) b(i)""")
 def densify_cells(spark, d):
-    cells = S.pixels(spark, d).where("event_idx < 50").select(F.floor(F.col("channel") / 4).alias("cx"), F.floor(F.col("tick") / 4).alias("cy")).distinct()
+    cells = S.pixels(spark, d).select(F.floor(F.col("channel") / 4).alias("cx"), F.floor(F.col("tick") / 4).alias("cy")).distinct()
     return augment.densify(cells, 4, 4)
 
 

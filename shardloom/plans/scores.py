@@ -114,12 +114,12 @@ def trivial_scores(spark, d):
     return out.select("majority", "tied", F.round("majority_accuracy", 9).alias("majority_accuracy"), F.round("uniform_accuracy", 9).alias("uniform_accuracy"), "n_classes")
 
 
-@query(f"""WITH {FEATURES}, ex AS (SELECT label, unnest(vec) AS v, generate_subscripts(vec, 1) AS pos FROM ft WHERE id % 3 <> 0), m AS (SELECT label, pos, avg(v) AS m FROM ex GROUP BY 1, 2),
+@query(f"""WITH {FEATURES}, ex AS (SELECT label, unnest(vec) AS v, generate_subscripts(vec, 1) AS pos FROM ft), m AS (SELECT label, pos, avg(v) AS m FROM ex GROUP BY 1, 2),
 ev2 AS (SELECT DISTINCT label FROM ft UNION SELECT -1) SELECT ev2.label, round(list_sum(list(m.m ORDER BY pos)) FILTER (WHERE m.m IS NOT NULL), 6) AS total, count(m.m) AS dims FROM ev2 LEFT JOIN m USING (label) GROUP BY 1""".replace("round(list_sum(list(m.m ORDER BY pos)) FILTER (WHERE m.m IS NOT NULL), 6)", "round(sum(m.m), 6)"))
 def mean_pool(spark, d):
     rows = S.features(spark, d)
     groups = rows.select("label").distinct().unionByName(spark.createDataFrame([(-1,)], "label int"))
-    out = metrics.mean_pool(rows.where("id % 3 <> 0").select("label", "vec"), groups, "label")
+    out = metrics.mean_pool(rows.select("label", "vec"), groups, "label")
     return out.select("label", F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.coalesce(F.size("mean"), F.lit(0)).cast("long").alias("dims"))
 
 
@@ -182,13 +182,13 @@ def spread_penalties(spark, d):
     return cov.agg(F.round(var, 9).alias("var_penalty"), F.round(off, 9).alias("cov_penalty"))
 
 
-_SINK = "".join(f", k{r} AS (SELECT id, p, q / greatest(sum(q) OVER (PARTITION BY p), 1e-30) / 6 AS q FROM r{r - 1}), r{r} AS (SELECT id, p, q / sum(q) OVER (PARTITION BY id) / n AS q FROM k{r}, (SELECT count(*) AS n FROM ft))" for r in (1, 2, 3))
+_SINK = "".join(f", k{r} AS (SELECT id, p, q / greatest(sum(q) OVER (PARTITION BY p), 1e-30) / 64 AS q FROM r{r - 1}), r{r} AS (SELECT id, p, q / sum(q) OVER (PARTITION BY id) / n AS q FROM k{r}, (SELECT count(*) AS n FROM ft))" for r in (1, 2, 3))
 
 
-@query(f"""WITH {FEATURES}, e0 AS (SELECT id, unnest(vec[1:6]) AS v, generate_subscripts(vec[1:6], 1) - 1 AS p FROM ft), r0 AS (SELECT id, p, exp((v - (SELECT max(v) FROM e0)) / 0.5) AS q FROM e0){_SINK}
+@query(f"""WITH {FEATURES}, e0 AS (SELECT id, unnest(vec) AS v, generate_subscripts(vec, 1) - 1 AS p FROM ft), r0 AS (SELECT id, p, exp((v - (SELECT max(v) FROM e0)) / 0.5) AS q FROM e0){_SINK}
 SELECT id AS "row", p AS col, round(q * (SELECT count(*) FROM ft), 9) AS p FROM r3""")
 def sinkhorn(spark, d):
-    logits = S.features(spark, d).select(F.col("id").alias("row"), F.posexplode(F.slice("vec", 1, 6)).alias("col", "v")).select("row", "col", F.col("v").cast("double").alias("logit"))
+    logits = S.features(spark, d).select(F.col("id").alias("row"), F.posexplode("vec").alias("col", "v")).select("row", "col", F.col("v").cast("double").alias("logit"))
     return metrics.sinkhorn(logits, 0.5, 3).select("row", F.col("col").cast("long").alias("col"), F.round("p", 9).alias("p"))
 
 
@@ -212,7 +212,7 @@ def gradient_groups(spark, d):
 
 @query(f"WITH {LOG} SELECT key, min(value) AS min, round(quantile_cont(value, 0.05), 9) AS p05, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.95), 9) AS p95, max(value) AS max, round(avg(value), 9) AS mean FROM lg GROUP BY 1")
 def order_statistics(spark, d):
-    out = S.log(spark, d).groupBy("key").agg(*metrics.order_statistics("value"))
+    out = metrics.order_statistics(S.log(spark, d), "value", ["key"])
     return out.select("key", "min", "max", *[F.round(c, 9).alias(c) for c in ("p05", "median", "p95", "mean")])
 
 
@@ -256,9 +256,9 @@ def log_summary(spark, d):
     return series.summary(rows, ["key"], "step", F.length("props")).join(rows.groupBy("key").agg(series.smallest_magnitude("value").alias("floor")), "key")
 
 
-@query(f"""WITH {LOG}, r AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY step) AS i, count(*) OVER (PARTITION BY key) AS n FROM lg WHERE step < 400) SELECT key, max(n) AS n, round(sum(pow(0.9, n - i) * CASE WHEN i = 1 THEN 1.0 ELSE 0.1 END * value), 6) AS mean FROM r GROUP BY 1""")
+@query(f"""WITH {LOG}, r AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY step) AS i, count(*) OVER (PARTITION BY key) AS n FROM lg) SELECT key, max(n) AS n, round(sum(pow(0.9, n - i) * CASE WHEN i = 1 THEN 1.0 ELSE 0.1 END * value), 6) AS mean FROM r GROUP BY 1""")
 def moving_mean(spark, d):
-    out = logs.moving_mean_batch(S.log(spark, d).where("step < 400"), 0.9)
+    out = logs.moving_mean_batch(S.log(spark, d), 0.9)
     return out.select("key", "n", F.round("mean", 6).alias("mean"))
 
 
@@ -336,8 +336,7 @@ def curves_agree(spark, d):
 SELECT coord, count(*) AS n, round(avg((v - m) / sqrt(s)), 6) AS z FROM p, m GROUP BY 1""")
 def masked_norm(spark, d):
     rows = S.table(spark, d, "lineitem").select(F.floor(F.col("l_suppkey") / 10).alias("coord"), F.when(F.col("l_quantity") < 10, F.col("l_extendedprice")).alias("v"))
-    stats = rows.agg(F.avg("v").alias("m"), F.var_pop("v").alias("s"))
-    return rows.where("v is not null").crossJoin(F.broadcast(stats)).groupBy("coord").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("v") - F.col("m")) / F.sqrt("s")), 6).alias("z"))
+    return metrics.masked_norm(rows, "v").where("v is not null").groupBy("coord").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("z"), 6).alias("z"))
 
 
 @query("""WITH s AS (SELECT event_id // 100 AS step, value AS wait, CAST(json_extract(props, '$.k') AS BIGINT) AS n FROM events) SELECT step, round(sum(n) / sum(wait), 6) AS samples_per_s, round(coalesce(sum(CASE WHEN n % 2 = 0 THEN wait ELSE 0 END) / nullif(sum(wait), 0), 0), 6) AS wait_share FROM s GROUP BY 1""")

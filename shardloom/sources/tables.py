@@ -96,9 +96,12 @@ def log_schema(log: DataFrame) -> DataFrame:
 
 def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(ord, text) of whole result files, numbered in the order of ``paths``."""
-    order = spark.createDataFrame(list(enumerate(paths)), "ord int, want string")
-    text = spark.read.option("wholetext", True).text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    return text.join(F.broadcast(order), F.expr("endswith(file, want)")).select("ord", F.col("value").alias("text"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    whole = lambda p: jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).makeQualified(jvm.org.apache.hadoop.fs.Path(p)).toUri().getPath()
+    order = spark.createDataFrame([(i, whole(p)) for i, p in enumerate(paths)], "ord int, file string")
+    plain = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    text = spark.read.option("wholetext", True).text(paths).select("value", plain.alias("file"))
+    return text.join(order, "file").select("ord", F.col("value").alias("text"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:
@@ -167,10 +170,20 @@ def build(spark: SparkSession, backend: str, path: str, **tiers: bool) -> DataFr
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset: a temporary one in local mode,
+    an error on a cluster."""
     import tempfile
 
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shardloom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="shardloom-"))
     return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, for what is used several times."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
