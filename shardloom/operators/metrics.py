@@ -54,7 +54,8 @@ def key_digest(keys: DataFrame, key: str) -> DataFrame:
         yield pd.DataFrame({"digest": [h.hexdigest()], "n": [n]})
 
     rows = keys.select(F.col(key).cast("string").alias("k")).where("k is not null")
-    return rows.repartition(1).sortWithinPartitions("k").mapInPandas(digest, "digest string, n long")
+    found = rows.repartition(1).sortWithinPartitions("k").mapInPandas(digest, "digest string, n long")  # no row at all without keys
+    return found.agg(F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("digest"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
 
 
 def confusion(pairs: DataFrame, truth: str = "truth", predicted: str = "predicted", by: list[str] | None = None) -> DataFrame:
@@ -257,16 +258,25 @@ def distribution_loss(rows: DataFrame, group: str = "event_idx") -> DataFrame:
     return means.agg(F.avg("loss").alias("loss"), F.avg("te").alias("teacher_entropy"), F.avg("se").alias("student_entropy"), F.avg(F.col("loss") - F.col("te")).alias("kl"), F.avg("lm").alias("loss_masked"), F.avg("lu").alias("loss_unmasked"))
 
 
-def sinkhorn(logits: DataFrame, temperature: float, rounds: int, row: str = "row", col: str = "col", value: str = "logit") -> DataFrame:
-    """(row, col, p): ``rounds`` times every column, then every row, is brought to equal mass, from exp(logit / temperature); rows sum to 1."""
-    peak = logits.agg(F.max(value).alias("peak"), F.count_distinct(row).alias("rows"), F.count_distinct(col).alias("cols"))
-    q = logits.crossJoin(F.broadcast(peak)).withColumn("q", F.exp((F.col(value) - F.col("peak")) / temperature))
+def sinkhorn(logits: DataFrame, temperature: float, rounds: int, row: str = "row", vec: str = "vec") -> DataFrame:
+    """(row, col, p): ``rounds`` times every column, then every row, is brought to equal mass, from exp(logit / temperature); rows sum to 1.
+
+    As a row can be brought to its mass where it is, a round only has to know the factors of the columns: one sum of vectors
+    over all rows, of which as many numbers as a row has come to the driver.
+    """
+    peak = logits.agg(F.max(F.array_max(vec)).cast("double").alias("peak"), F.max(F.size(vec)).alias("cols")).first()
+    if peak["peak"] is None:
+        return logits.select(row, F.posexplode(F.col(vec).cast("array<double>")).alias("col", "p"))
+    kernel = F.transform(vec, lambda x: F.exp((x.cast("double") - peak["peak"]) / temperature))
+    n, factors, mass = logits.count(), [1.0] * peak["cols"], kernel
+    scaled = lambda f: F.zip_with(kernel, F.array(*map(F.lit, f)), lambda k, c: k * c)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    shares = lambda f: F.transform(F.array(scaled(f)), lambda v: F.transform(v, lambda x: x / total(v)))[0]
     for _ in range(rounds):
-        sums = q.groupBy(col).agg(F.greatest(F.sum("q"), F.lit(1e-30)).alias("s"))
-        q = q.join(sums, col).withColumn("q", F.col("q") / F.col("s") / F.col("cols")).drop("s")
-        sums = q.groupBy(row).agg(F.sum("q").alias("s"))
-        q = q.join(sums, row).withColumn("q", F.col("q") / F.col("s") / F.col("rows")).drop("s")
-    return q.select(row, col, (F.col("q") * F.col("rows")).alias("p"))
+        sums = logits.agg(vector_to_array(Summarizer.sum(array_to_vector(mass))).alias("s")).first()["s"]
+        factors = [f / max(s, 1e-30) / len(sums) for f, s in zip(factors, sums, strict=True)]
+        mass = F.transform(shares(factors), lambda x: x / n)
+    return logits.select(row, F.posexplode(shares(factors)).alias("col", "p"))
 
 
 def pairwise_cosine(parts: DataFrame, name: str = "term", coordinate: str = "coord", value: str = "g") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardloom.operators.grouped import FEW
+
 
 def last_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Of rows with equal keys the last in ``order``: what building a dictionary row by row keeps."""
@@ -101,15 +104,54 @@ def full_difference(a: DataFrame, b: DataFrame, key: str, value: str, absent: st
     return both.select(key, F.coalesce("left", F.lit(absent)).alias("left"), F.coalesce("right", F.lit(absent)).alias("right"))
 
 
-def nearest(points: DataFrame, segments: DataFrame, point: list[str], x: str, y: str, order: str, value: str) -> DataFrame:
-    """Per point the ``value`` of the nearest segment (ay, az, by, bz), ties to the lowest ``order``; and the squared distance.
+def nearest(points: DataFrame, segments: DataFrame, point: list[str], x: str, y: str, order: str, value: str, within: list[str] | None = None, most: int = FEW) -> DataFrame:
+    """Per point (columns ``point``, which tell points apart) the ``value`` of the nearest segment (ay, az, by, bz), ties to the
+    lowest ``order``, among those with equal columns ``within``; and the squared distance. No segment gives nulls.
 
-    ``segments`` is one detector plane, a table of fixed size, so it is broadcast.
+    Segments go to the tasks in blocks of ``most``; points stay where they are, and some of them meet a block's segments at a time.
     """
-    seg = F.broadcast(segments)
-    joined = points.crossJoin(seg).withColumn("d2", segment_distance2(F.col(x), F.col(y), *[F.col(c) for c in ("ay", "az", "by", "bz")]))
-    best = joined.groupBy(*point).agg(F.min(F.struct("d2", order, value)).alias("best"))
-    return best.select(*point, F.col(f"best.{value}").alias(value), F.col("best.d2").alias("d2"))
+    within = within or []
+    rows = points.select(*point, *[c for c in within if c not in point], F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    wanted = segments.select(*within, *[F.col(c).cast("double").alias(c) for c in ("ay", "az", "by", "bz")], F.col(order).alias("__order"), F.col(value).alias("__value"))
+    blocks = max(1, -(-wanted.count() // most))
+    wanted = wanted.withColumn("__block", F.pmod(F.xxhash64("__order", *within), F.lit(blocks)))
+    kinds = dict(points.dtypes) | {"__value": dict(wanted.dtypes)["__value"], "__order": dict(wanted.dtypes)["__order"]}
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in point], "d2 double", f"__order {kinds['__order']}", f"__value {kinds['__value']}"])
+    found = None
+    for block in range(blocks):
+        held = wanted.where(F.col("__block") == block).toPandas().sort_values("__order", kind="stable")  # ``most`` rows or about as many
+        part = rows.mapInPandas(_nearest(rows.sparkSession.sparkContext.broadcast(held), point, within), schema)
+        found = part if found is None else found.unionByName(part)
+    if blocks > 1:
+        found = found.groupBy(*point).agg(F.min(F.when(F.col("d2").isNotNull(), F.struct("d2", "__order", "__value"))).alias("b")).select(*point, "b.*")
+    return found.select(*point, F.col("__value").alias(value), "d2")
+
+
+def _nearest(segments, point: list[str], within: list[str]):
+    def run(batches):
+        held = segments.value
+        groups = {k: g for k, g in held.groupby(within, sort=False)} if within else {(): held}
+        for part in batches:
+            for key, own in part.groupby(within, sort=False) if within else [((), part)]:
+                seg = groups.get(key)
+                out = own[point].copy()
+                if seg is None or not len(seg):
+                    yield out.assign(d2=None, __order=None, __value=None)
+                    continue
+                best, least, step = [], [], max(1, (1 << 21) // len(seg))
+                ay, az, by, bz = (seg[c].to_numpy()[None, :] for c in ("ay", "az", "by", "bz"))
+                length2 = (by - ay) ** 2 + (bz - az) ** 2
+                for i in range(0, len(own), step):
+                    px, py = (own[c].to_numpy()[i : i + step, None] for c in ("__x", "__y"))
+                    t = ((px - ay) * (by - ay) + (py - az) * (bz - az)) / np.where(length2 > 0, length2, 1)
+                    t = np.where(length2 > 0, t, 0).clip(0, 1)
+                    d2 = (px - (ay + t * (by - ay))) ** 2 + (py - (az + t * (bz - az))) ** 2
+                    best.append(d2.argmin(axis=1))
+                    least.append(d2.min(axis=1))
+                at = np.concatenate(best)
+                yield out.assign(d2=np.concatenate(least), __order=seg["__order"].to_numpy()[at], __value=seg["__value"].to_numpy()[at])
+
+    return run
 
 
 def segment_distance2(y: Column, z: Column, ay: Column, az: Column, by: Column, bz: Column) -> Column:

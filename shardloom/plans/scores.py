@@ -188,8 +188,7 @@ _SINK = "".join(f", k{r} AS (SELECT id, p, q / greatest(sum(q) OVER (PARTITION B
 @query(f"""WITH {FEATURES}, e0 AS (SELECT id, unnest(vec) AS v, generate_subscripts(vec, 1) - 1 AS p FROM ft), r0 AS (SELECT id, p, exp((v - (SELECT max(v) FROM e0)) / 0.5) AS q FROM e0){_SINK}
 SELECT id AS "row", p AS col, round(q * (SELECT count(*) FROM ft), 9) AS p FROM r3""")
 def sinkhorn(spark, d):
-    logits = S.features(spark, d).select(F.col("id").alias("row"), F.posexplode("vec").alias("col", "v")).select("row", "col", F.col("v").cast("double").alias("logit"))
-    return metrics.sinkhorn(logits, 0.5, 3).select("row", F.col("col").cast("long").alias("col"), F.round("p", 9).alias("p"))
+    return metrics.sinkhorn(S.features(spark, d).select(F.col("id").alias("row"), "vec"), 0.5, 3).select("row", F.col("col").cast("long").alias("col"), F.round("p", 9).alias("p"))
 
 
 @query(f"""WITH {LOG}, g AS (SELECT key AS term, run AS coord, sum(value * CASE WHEN step % 2 = 0 THEN 1 ELSE -1 END) AS g FROM lg GROUP BY 1, 2), n AS (SELECT term, sqrt(sum(g * g)) AS n FROM g GROUP BY 1)

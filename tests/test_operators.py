@@ -1,6 +1,8 @@
 """Operators on small hand-made tables, against plain Python."""
 
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -205,10 +207,95 @@ def test_vertices_of_a_decay(spark):
     assert got == [(0, 0.0, 0, 0), (1, 10.0, 5, 1)]
 
 
-def test_merge_is_greedy(spark):
-    v = lambda x, t: {"xyz": np.array([x, 0, 0]), "type": t, "parent": 0}
-    got = vertices.merged([v(0, 2), v(0.9, 1), v(1.8, 0)])
-    assert [(k["xyz"][0], k["type"]) for k in got] == [(0, 1), (1.8, 0)]
+def test_merge_is_greedy():
+    place, identity = vertices.merged(np.array([[0.0, 0, 0], [0.9, 0, 0], [1.8, 0, 0]]), np.array([2, 1, 0]))
+    assert place.tolist() == [0, 2] and identity.tolist() == [1, 2]
+    assert vertices.apart(np.array([[0.0, 0, 0], [4, 0, 0], [8, 0, 0]])).tolist() == [True, False, True]
+
+
+def slow_vertices(parts, vertex, pixels):
+    """The rules one by one, over lists of dicts; starts, ends and energies in single precision."""
+    f, dist = (lambda x: float(np.float32(x))), (lambda a, b: math.dist(a, b))
+    start, end = (lambda p: [f(p[f"start_{a}"]) for a in "xyz"]), (lambda p: [f(p[f"end_{a}"]) for a in "xyz"])
+    shown = Counter(abs(t) for t in pixels if t)
+    primary = [start(p) for p in parts if p["proc"] == 0]
+    found = [([float(np.median(x)) for x in zip(*primary, strict=True)] if primary else list(vertex), 0, 0)]
+    for p in parts:
+        kind = vertices.END_PROCESS.get(p["endproc"])
+        near = [d for d in parts if p["trackid"] and d["motherid"] == p["trackid"] and dist(start(d), end(p)) <= 1.0]
+        if kind in vertices.LISTED and near and len({abs(q["trackid"]) for q in [p, *near]} & set(shown)) >= 2:
+            if kind != 2 or sum(f(d["start_ke"]) for d in near if abs(d["pid"]) in vertices.CHARGED) >= 0.02:
+                found.append((end(p), kind, p["trackid"]))
+    found += [(end(p), 5, p["trackid"]) for p in parts if abs(p["pid"]) in vertices.STOPPING and f(p["end_ke"]) <= 0.002 and dist(end(p), start(p)) >= 3 and abs(p["trackid"]) in shown]
+    seeds = []
+    for p in parts:
+        n = shown[abs(p["trackid"])] + sum(shown[abs(d["trackid"])] for d in parts if d["motherid"] == p["trackid"])
+        if p["pid"] == 22 and f(p["start_ke"]) >= f(0.01) and dist(end(p), vertex) > 2 and n >= 50:
+            seeds.append((-n, p["pos"], end(p), p["trackid"]))
+    far = []
+    for _, _, at, parent in sorted(seeds):
+        if all(dist(at, x[0]) > 5 for x in far):
+            far.append((at, 3, parent))
+    out = []
+    for at, kind, parent in found + far:
+        near = [i for i, x in enumerate(out) if dist(x[0], at) <= 1.0]
+        if not near:
+            out.append((at, kind, parent))
+        elif kind < out[near[0]][1]:
+            out[near[0]] = (out[near[0]][0], kind, parent)
+    return [(round(at[0], 4), kind, parent) for at, kind, parent in out]
+
+
+def test_vertices_against_the_rules(spark):
+    rng, parts, pixels = random.Random(4), [], []
+    for e in range(60):
+        for k in range(rng.choice([0, 1, 4, 9])):
+            at = [rng.randrange(12) for _ in range(6)]
+            parts.append({"event_idx": e, "pos": k, "trackid": k + 1, "pid": rng.choice([13, 22, 22, 211, 11, 2212]), "motherid": rng.randint(0, k), "proc": rng.choice([0, 1, 2]), "endproc": rng.choice([1, 15, 9, 7, 0]),
+                          **{f"{s}_{a}": float(at[i]) for i, (s, a) in enumerate((s, a) for s in ("start", "end") for a in "xyz")}, "start_ke": rng.choice([0.001, 0.015, 0.1]), "end_ke": rng.choice([0.0, 0.01])})
+            if k and rng.random() < 0.6:
+                parts[-1] |= {f"start_{a}": parts[-1 - k + parts[-1]["motherid"] - 1][f"end_{a}"] for a in "xyz"} if parts[-1]["motherid"] else {}
+            pixels += [(e, rng.choice([1, -1]) * (k + 1))] * rng.choice([0, 3, 40, 70])
+    ev = [(e, 1.0, 2.0, 3.0) for e in range(61)]
+    cols = ", ".join(f"{c} {'long' if c == 'event_idx' else 'double' if '_' in c else 'int'}" for c in parts[0])
+    got = vertices.derive_vertices(spark.createDataFrame([tuple(p.values()) for p in parts], cols), spark.createDataFrame(ev, "event_idx long, vertex_x double, vertex_y double, vertex_z double"), spark.createDataFrame(pixels, "event_idx long, trackid int"))
+    found = {}
+    for r in got.orderBy("event_idx", "pos").collect():
+        found.setdefault(r["event_idx"], []).append((round(r["x"], 4), r["type"], r["parent"]))
+    assert found == {e: slow_vertices([p for p in parts if p["event_idx"] == e], (1.0, 2.0, 3.0), [t for x, t in pixels if x == e]) for e in range(61)}
+    assert {k for v in found.values() for _, k, _ in v} == {0, 1, 2, 3, 4, 5}
+
+
+def test_null_groups_are_one(spark):
+    pts = spark.createDataFrame([(None, i, float(i), 0.0) for i in range(4)] + [(0, 9, 1.0, 1.0), (2**53 + 1, 7, 1.0, 1.0), (2**53, 8, 1.0, 1.0)], "event_idx long, id long, x double, y double")
+    got = sorted(map(tuple, neighbors.farthest_points(pts, 2).collect()), key=repr)
+    assert got == sorted([(None, 0, 0), (None, 3, 1), (0, 9, 0), (2**53 + 1, 7, 0), (2**53, 8, 0)], key=repr)
+
+
+def test_percentiles_of_ties_and_groups(spark):
+    rng = random.Random(1)
+    values = [(rng.choice(["a", "b", None]), float(rng.choice([1, 1, 1, 2, 5, 9.5, rng.random()]))) for _ in range(400)] + [("c", 4.0), ("d", None)]
+    got = {r["k"]: (r["p"], r["q"]) for r in metrics.percentiles(spark.createDataFrame(values, "k string, v double"), "v", {"p": 0.05, "q": 0.5}, ["k"]).collect()}
+    want = {k: tuple(np.percentile([v for x, v in values if x == k], [5, 50])) for k in ("a", "b", None, "c")}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_nearest_in_blocks(spark):
+    rng = random.Random(2)
+    segs = [(i, i % 3, *[rng.uniform(0, 9) for _ in range(4)]) for i in range(50)]
+    pts = [(i, i % 3, rng.uniform(0, 9), rng.uniform(0, 9)) for i in range(40)] + [(99, 7, 1.0, 1.0)]
+    s = spark.createDataFrame(segs, "pos int, g int, ay double, az double, by double, bz double").withColumn("channel", F.col("pos") + 100)
+    p = spark.createDataFrame(pts, "id int, g int, y double, z double")
+    found = [sorted(map(tuple, relational.nearest(p, s, ["id"], "y", "z", "pos", "channel", ["g"], most).collect())) for most in (1000, 7)]
+    assert found[0] == found[1] and found[0][-1] == (99, None, None)
+    joined = p.join(s, "g").withColumn("d2", relational.segment_distance2(*[F.col(c) for c in ("y", "z", "ay", "az", "by", "bz")])).groupBy("id").agg(F.min(F.struct("d2", "pos")).alias("b"))
+    assert {r["id"]: (r["b"]["pos"] + 100, pytest.approx(r["b"]["d2"])) for r in joined.collect()} == {i: (c, d) for i, c, d in found[0] if c is not None}
+
+
+def test_row_norm(spark):
+    got = one(spark.createDataFrame([([1.0, 2.0, 6.0],)], "v array<double>").select(metrics.row_norm(F.col("v"), 0.0).alias("n"), metrics.row_norm(F.lit(None).cast("array<double>")).alias("none")))
+    x = np.array([1.0, 2.0, 6.0])
+    assert got["n"] == pytest.approx(((x - x.mean()) / x.std()).tolist()) and got["none"] is None
 
 
 def test_projection(spark):
