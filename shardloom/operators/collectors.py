@@ -7,9 +7,15 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _KNOWN: dict[str, type[Collector]] = {}
 
+#: A row of what a step hands to collectors.
+STEP = T.StructType(
+    [T.StructField("step", T.LongType(), False), T.StructField("epoch", T.LongType(), False), T.StructField("end_of_epoch", T.BooleanType(), False), T.StructField("key", T.StringType(), False), T.StructField("value", T.DoubleType())]
+)
+
 
 @dataclass
 class Collector:
@@ -41,6 +47,21 @@ def register(name: str):
     return add
 
 
+def load_plugins(group: str = "shardloom.collectors") -> list[str]:
+    """Registers the collectors that installed packages offer as entry points of ``group``; returns their names. A name that is
+    known already for another class is an error."""
+    from importlib.metadata import entry_points
+
+    names = []
+    for point in entry_points(group=group):
+        kind = point.load()
+        if _KNOWN.get(point.name, kind) is not kind:
+            raise ValueError(f"two collectors are called {point.name!r}")
+        _KNOWN[point.name] = kind
+        names.append(point.name)
+    return names
+
+
 def build(config: dict[str, dict]) -> dict[str, Collector]:
     """Collectors by name from their settings; an unknown one is an error."""
     if unknown := set(config) - set(_KNOWN):

@@ -179,3 +179,17 @@ def view_pairs(views: DataFrame) -> DataFrame:
     teacher = views.where("is_global").select("event_idx", F.col("view").alias("teacher"), "n_views")
     pairs = views.drop("n_views").join(teacher, "event_idx")
     return pairs.where("view <> teacher or (injected and masked) or n_views = 1").select("event_idx", F.col("view").alias("student"), "teacher")
+
+
+def composed(outer: DataFrame, inner: DataFrame, group: str = "event_idx") -> DataFrame:
+    """Two selections one after the other: ``inner`` (group, pos, of: places in ``outer``) and ``outer`` (group, pos, of: rows) give
+    (group, pos, of: rows)."""
+    places = outer.select(group, F.col("pos").alias("__at"), F.col("of").alias("__of"))
+    asked = inner.select(group, "pos", F.col("of").alias("__at"))
+    return gather(asked, places, [group, "__at"]).select(group, "pos", F.col("__of").alias("of"))
+
+
+def concatenated(rows: DataFrame, lists: str, group: str = "event_idx") -> DataFrame:
+    """(group, pos, value) of a column of lists, or of lists of lists, put one after the other in their order."""
+    nested = rows.schema[lists].dataType.elementType.typeName() == "array"
+    return rows.select(group, F.posexplode(F.flatten(lists) if nested else F.col(lists)).alias("pos", "value"))

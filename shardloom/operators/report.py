@@ -126,3 +126,133 @@ def render(header: list[str], rows: list[list[str]], markdown: bool = False) ->
 def requested(asked: DataFrame, present: DataFrame, key: str = "epoch") -> tuple[DataFrame, DataFrame]:
     """(found in order, missing) of what is asked for."""
     return asked.join(present.select(key).distinct(), key, "left_semi").orderBy(key), asked.select(key).exceptAll(present.select(key).distinct().join(asked.select(key), key, "left_semi"))
+
+
+def run_label(store: Column, source: Column, tap: Column) -> Column:
+    """``<run>:ep<N>:<source>``, and ``:<tap>`` for taps but 'out', of a store's path ``<run>/features/epoch<N>``."""
+    parts = F.filter(F.split(store, "/"), lambda x: x != "")
+    name = F.try_element_at(parts, F.lit(-1))
+    run = F.coalesce(F.try_element_at(parts, F.lit(-3)), F.try_element_at(parts, F.lit(-2)), F.lit(""))
+    epoch = F.when(name.startswith("epoch"), F.concat(F.lit("ep"), F.substr(name, F.lit(6)))).otherwise(name)
+    return F.concat_ws(":", run, epoch, source, F.when(tap != "out", tap))
+
+
+def flat_provenance(prov: Column, sample: Column) -> Column:
+    """What a probe reads of an extraction's provenance, a struct; ``prov`` has the fields named here, ``params`` (kind, min_val,
+    max_val) of a log transform and ``extra`` (epoch, module.backbone)."""
+    log = prov["params"]["kind"] == "log"
+    plain = ("apa", "view", "rows", "eval_set_id", "event_key_hash", "checkpoint", "checkpoint_sha256", "git_sha", "charge_transform", "extract_seconds", "events_per_second")
+    return F.struct(
+        F.coalesce(prov["extra"]["epoch"].cast("string"), F.lit("?")).alias("epoch"), F.coalesce(prov["extra"]["module"]["backbone"], F.lit("?")).alias("backbone_name"), *[prov[c].alias(c) for c in plain], sample.alias("sample"),
+        F.when(log, True).alias("use_log_transform"), F.when(log, prov["params"]["min_val"].cast("double")).alias("feat_min_val"), F.when(log, prov["params"]["max_val"].cast("double")).alias("feat_max_val"),
+    )
+
+
+def run_header(features: DataFrame, provenance: dict, source: str, tap: str, truth: list[str], seed: int, per_class: int, group: str = "event_idx") -> DataFrame:
+    """One row beside every metric: sizes of the features (group, vec), what they were made of, and how pools are drawn."""
+    fixed = {"feature_source": source, "tap": tap, "truth_channels": ",".join(sorted(truth)), "seed": seed, "pool_per_class": per_class,
+             "raw_charge_transform": "trained" if provenance.get("use_log_transform") else "log10_1p", "rows": provenance.get("rows") or "all",
+             **{k: provenance.get(k) or "" for k in ("eval_set_id", "event_key_hash", "checkpoint_sha256")}, "sample": provenance.get("sample") or "in-sample"}
+    sizes = features.agg(F.count_distinct(group).alias("n_events"), F.count(F.lit(1)).alias("n_pixels"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("feature_dim"))
+    return sizes.select("*", *[F.lit(v).alias(k) for k, v in fixed.items()])
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Results (label, metric, body as JSON text) as one nested JSON object per file; the committer renames whole files into place,
+    so that readers see all of a write or nothing. One label's metrics make a line."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^.(.*).$", 1)
+    parts = F.array_join(F.array_sort(F.collect_list(F.concat(quoted(F.col("metric")), F.lit(":"), F.col("body")))), ",")
+    line = F.concat(F.lit("{"), quoted(F.col("label")), F.lit(":{"), parts, F.lit("}}"))
+    results.groupBy("label").agg(line.alias("value")).select("value").write.mode("error").text(path)
+
+
+def write_manifest(points: DataFrame, path: str) -> None:
+    """A campaign's points (of ``manifest``) as JSON lines in one file; a manifest that is there is replaced as a whole."""
+    points.orderBy("point").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The points of a campaign (sweep_id, point, overrides, hash, replica_group); a folder without a manifest is an error."""
+    try:
+        return spark.read.schema("sweep_id string, point long, overrides array<string>, hash string, replica_group string").json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise FileNotFoundError(f"{path} has no manifest; a sweep writes one") from e
+
+
+def config_columns(results: DataFrame, configs: DataFrame) -> DataFrame:
+    """(label, key, value) of the config keys that differ between the runs of the results' labels (``<run>:..``); '-' where a run
+    with a config lacks the key. A run without config has no rows."""
+    from shardloom.functions.expressions import run_of
+
+    runs = results.select("label").distinct().withColumn("run", run_of(F.col("label")))
+    own = configs.join(runs.select("run").distinct(), "run", "left_semi")
+    keys = differing_keys(own).select("key")
+    rows = runs.join(own.select("run").distinct(), "run").crossJoin(F.broadcast(keys))  # a table of runs and config keys is small
+    return rows.join(own.select("run", "key", "value"), ["run", "key"], "left").select("label", "key", F.coalesce("value", F.lit("-")).alias("value"))
+
+
+def result_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(root, path) of the probe results below run folders: JSON files in a folder ``probes``, which may be a root itself."""
+    from shardloom.sources.tables import list_files
+
+    return list_files(spark, roots, "*.json").where(F.element_at(F.split("path", "/"), -2) == "probes")
+
+
+def file_digest(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of files."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def uniform_chance(classes: Column) -> Column:
+    """The accuracy of guessing among the classes of a list at random; null without any."""
+    return F.try_divide(F.lit(1.0), F.nullif(F.size(classes), F.lit(0)))
+
+
+def charge_spec(config: dict | None) -> tuple[str, dict]:
+    """('log[low,high]', parameters) of a normalisation's settings; 'none' if it is off or incomplete."""
+    if not config or not config.get("enabled", True) or any(config.get(k) is None for k in ("min_val", "max_val")):
+        return "none", {}
+    low, high = float(config["min_val"]), float(config["max_val"])
+    return f"log[{low:g},{high:g}]", {"kind": "log", "min_val": low, "max_val": high}
+
+
+def take_option(args: list[str], name: str, default: str | None = None) -> tuple[str | None, list[str]]:
+    """(value, other arguments) of ``name=value`` or ``name value``; of several the last counts."""
+    value, rest, at = default, [], 0
+    while at < len(args):
+        key, eq, own = args[at].partition("=")
+        if key == name and eq:
+            value = own
+        elif key == name and at + 1 < len(args):
+            at += 1
+            value = args[at]
+        else:
+            rest.append(args[at])
+        at += 1
+    return value, rest
+
+
+def environment(spark: SparkSession) -> dict[str, str]:
+    """Versions that a result depends on, and where it ran."""
+    import platform
+
+    import numpy
+    import pandas
+    import pyarrow
+
+    sc = spark.sparkContext
+    return {"python": platform.python_version(), "spark": spark.version, "java": sc._jvm.System.getProperty("java.version"), "numpy": numpy.__version__, "pandas": pandas.__version__,
+            "pyarrow": pyarrow.__version__, "master": sc.master, "application": sc.applicationId, "parallelism": str(sc.defaultParallelism)}
+
+
+def run_metadata(spark: SparkSession, config: dict, args: list[str], derived: dict | None = None, module: str = "") -> DataFrame:
+    """(section, key, value): what a run was started with, its environment and what follows from both."""
+    parts = {"config": flatten(config), "launch": {"args": " ".join(args), "module": module}, "environment": environment(spark), "derived": flatten(derived or {})}
+    return spark.createDataFrame([(name, k, str(v)) for name, values in parts.items() for k, v in values.items()], "section string, key string, value string")
+
+
+def write_run(metadata: DataFrame, folder: str) -> None:
+    """A run's metadata below its folder; a run that is there already is an error."""
+    metadata.coalesce(1).write.mode("error").json(f"{folder}/metadata")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from shardloom.plans import more, pixels, scores
+from shardloom.plans import evaluation, more, pixels, scores
 
 
 def queries() -> dict:
-    return {**pixels.QUERIES, **scores.QUERIES, **more.QUERIES}
+    return {**pixels.QUERIES, **scores.QUERIES, **more.QUERIES, **evaluation.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**pixels.ORACLE, **scores.ORACLE, **more.ORACLE}
+    return {**pixels.ORACLE, **scores.ORACLE, **more.ORACLE, **evaluation.ORACLE}

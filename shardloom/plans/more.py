@@ -101,15 +101,6 @@ def crop_sizes(spark, d):
     return S.events(spark, d).select("event_idx", w.alias("width"), h.alias("height"))
 
 
-@query()
-def project_points(spark, d):
-    """Suppliers as 3-D points onto the wires that nations span."""
-    end = lambda k: F.named_struct(F.lit("x"), F.when(F.col("n_regionkey") % 2 == 0, 10.0).otherwise(-10.0), F.lit("y"), F.lit(1000.0 * k), F.lit("z"), F.col("n_nationkey") * 40.0 + k * 3)
-    wires = S.table(spark, d, "nation").select(F.lit(0).alias("anode"), F.explode(F.array(F.lit(0), F.lit(1))).alias("face"), (F.col("n_regionkey") % 3).alias("plane"), F.col("n_nationkey").alias("seg_pos"), (F.col("n_nationkey") + 100).alias("channel"), end(1).alias("head"), end(0).alias("tail"))
-    points = S.table(spark, d, "supplier").selectExpr("s_suppkey AS id", "0 AS anode", "s_acctbal / 100 - 40 AS x", "s_suppkey % 100 AS y", "s_nationkey * 4.0d AS z")
-    return vertices.project(points, vertices.wire_segments(wires))
-
-
 @query()
 def derive_vertices(spark, d):
     """Line items of an order as its particles."""

@@ -312,21 +312,6 @@ def crop_box(spark, d):
     return S.pixels(spark, d).join(box, "event_idx").where(inside).select("event_idx", "pixel_idx")
 
 
-@query()
-def farthest_points(spark, d):
-    return neighbors.farthest_points(S.pixels(spark, d).selectExpr("event_idx", "pixel_idx AS id", "channel AS x", "tick AS y"), 3)
-
-
-@query()
-def suppress_points(spark, d):
-    return neighbors.suppress(S.pixels(spark, d).selectExpr("event_idx", "pixel_idx AS id", "channel AS x", "tick AS y"), 150.0)
-
-
-@query()
-def group_tokens(spark, d):
-    return neighbors.tokens(S.pixels(spark, d).selectExpr("event_idx", "pixel_idx AS id", "channel AS x", "tick AS y", "charge AS q"), 150.0, 4)
-
-
 @query()
 def block_mask(spark, d):
     rows = S.pixels(spark, d).selectExpr("event_idx % 64 AS batch", "event_idx", "pixel_idx AS id", "channel AS x", "tick AS y")

@@ -255,7 +255,10 @@ def log_summary(spark, d):
     return series.summary(rows, ["key"], "step", F.length("props")).join(rows.groupBy("key").agg(series.smallest_magnitude("value").alias("floor")), "key")
 
 
-@query(f"""WITH {LOG}, r AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY step) AS i, count(*) OVER (PARTITION BY key) AS n FROM lg) SELECT key, max(n) AS n, round(sum(pow(0.9, n - i) * CASE WHEN i = 1 THEN 1.0 ELSE 0.1 END * value), 6) AS mean FROM r GROUP BY 1""")
+_MOVING = f"""WITH {LOG}, r AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY step) AS i, count(*) OVER (PARTITION BY key) AS n FROM lg) SELECT key, max(n) AS n, round(sum(pow(0.9, n - i) * CASE WHEN i = 1 THEN 1.0 ELSE 0.1 END * value), 6) AS mean FROM r GROUP BY 1"""
+
+
+@query(_MOVING)
 def moving_mean(spark, d):
     out = logs.moving_mean_batch(S.log(spark, d), 0.9)
     return out.select("key", "n", F.round("mean", 6).alias("mean"))
@@ -345,7 +348,7 @@ def throughput(spark, d):
     return rows.groupBy("step").agg(F.round(X.ratio(F.sum("n"), F.sum("wait")), 6).alias("samples_per_s"), F.round(X.ratio(waits, F.sum("wait")), 6).alias("wait_share"))
 
 
-@query()
+@query(_MOVING)
 def stream_moving_mean(spark, d):
     """The moving mean as a stream over the events table, step by step, equal to the batch answer."""
     import uuid

@@ -120,10 +120,11 @@ class FeatureStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def write_features(self, df: DataFrame, source: str, tap: str) -> None:
-        """``df``: row_idx, vec; stored as float32, partitioned by source and tap."""
-        rows = df.select("row_idx", F.col("vec").cast("array<float>").alias("vec"), F.lit(source).alias("source"), F.lit(tap).alias("tap"))
-        rows.write.mode("append").partitionBy("source", "tap").parquet(f"{self.root}/features")
+    def write_features(self, df: DataFrame, source: str, tap: str, block: int = 0) -> None:
+        """``df``: row_idx, vec; stored as float32, partitioned by source, tap and block. A block that is written again is replaced,
+        so a job that runs twice leaves its rows once."""
+        rows = df.select("row_idx", F.col("vec").cast("array<float>").alias("vec"), F.lit(source).alias("source"), F.lit(tap).alias("tap"), F.lit(block).alias("block"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "tap", "block").parquet(f"{self.root}/features")
 
     def features(self, source: str, tap: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/features").where((F.col("source") == source) & (F.col("tap") == tap)).select("row_idx", "vec")
@@ -158,15 +159,54 @@ class FeatureStore:
         return joined.where(F.when(F.col("event_idx").isNotNull(), True).otherwise(F.raise_error(F.lit("a feature row has no pixel")).cast("boolean")))
 
 
-#: Sources by name: (spark, path, tiers) to a table.
-BACKENDS: dict[str, Callable[..., DataFrame]] = {"packed": read_pixels, "sharded": read_pixels, "direct": read_pixels}
+def read_direct(spark: SparkSession, path: str, groups: list[str] | None = None, events: str | None = None, **tiers: bool) -> DataFrame:
+    """Pixels of a folder with a table per tier (``pixels``, ``truth``, ``extra``, ``rich``), joined by event_idx, channel and tick
+    for the asked tiers only. ``groups``: only these values of a partition column ``group``, which the scan prunes; asking for one
+    that is not there is an error. ``events``: a filter on event_idx, pushed to every tier."""
+    def table(name: str) -> DataFrame:
+        df = spark.read.parquet(f"{path}/{name}")
+        if groups is not None:
+            df = df.where(F.col("group").isin(groups))
+        return df if events is None else df.where(events)
 
+    rows = table("pixels")
+    if groups is not None and (missing := sorted(set(groups) - {r[0] for r in rows.select(F.col("group").cast("string")).distinct().collect()})):
+        raise ValueError(f"{path} has no groups {missing}")
+    keys = ["event_idx", "channel", "tick"]
+    for name, columns, asked in (("truth", PIXEL, True), ("extra", EXTRA, tiers.get("extra") or tiers.get("rich")), ("rich", RICH, tiers.get("rich"))):
+        if asked and any(tiers.values()):
+            rows = rows.join(table(name).select(*keys, *columns), keys, "left")
+    return rows.select(*keys, "charge", *tier_columns(**tiers))
 
-def build(spark: SparkSession, backend: str, path: str, **tiers: bool) -> DataFrame:
-    """The table of a backend; an unknown name is an error."""
+
+def read_packed(spark: SparkSession, path: str, events: str | None = None, **tiers: bool) -> DataFrame:
+    """Pixels of one table that has all its tiers."""
+    rows = read_pixels(spark, path, **tiers)
+    return rows if events is None else rows.where(events)
+
+
+def read_sharded(spark: SparkSession, path: str, shards: list[int] | None = None, events: str | None = None, **tiers: bool) -> DataFrame:
+    """Pixels of a table in partitions ``shard``; ``shards``: only these, which the scan prunes; one that is not there is an error."""
+    df = spark.read.parquet(path)
+    if missing := [c for c in tier_columns(**tiers) if c not in df.columns]:
+        raise ValueError(f"{path} lacks {', '.join(missing)}; write it with these tiers")
+    if shards is not None:
+        df = df.where(F.col("shard").isin(shards))
+        if lost := sorted(set(shards) - {r[0] for r in df.select("shard").distinct().collect()}):
+            raise ValueError(f"{path} has no shards {lost}")
+    df = df if events is None else df.where(events)
+    return df.select("shard", "event_idx", "channel", "tick", "charge", *tier_columns(**tiers))
+
+
+#: Sources by name: (spark, path, options, tiers) to a table.
+BACKENDS: dict[str, Callable[..., DataFrame]] = {"packed": read_packed, "sharded": read_sharded, "direct": read_direct}
+
+
+def build(spark: SparkSession, backend: str, path: str, **options) -> DataFrame:
+    """The table of a backend, with its options and the tiers asked for; an unknown name is an error."""
     if backend not in BACKENDS:
         raise ValueError(f"unknown backend {backend!r}; known: {', '.join(BACKENDS)}")
-    return BACKENDS[backend](spark, path, **tiers)
+    return BACKENDS[backend](spark, path, **options)
 
 
 def shared_dir(spark: SparkSession) -> str:
