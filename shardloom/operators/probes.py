@@ -19,10 +19,10 @@ COST, HIDDEN, ROUNDS = 1.0, 128, 100
 
 def standardised(train: DataFrame, *others: DataFrame, vec: str = "vec") -> list[DataFrame]:
     """The tables with ``vec`` less the training mean, over the training rows' population deviation; a constant dimension is only shifted."""
+    if train.where(F.col(vec).isNotNull()).isEmpty():
+        raise ValueError("no training rows")
     x = array_to_vector(F.col(vec).cast("array<double>"))
     stats = train.agg(vector_to_array(Summarizer.mean(x)).alias("m"), vector_to_array(Summarizer.variance(x)).alias("v"), F.count(vec).alias("n")).first()
-    if not stats["n"]:
-        raise ValueError("no training rows")
     scale = [(v * (stats["n"] - 1) / stats["n"]) ** 0.5 for v in stats["v"]]  # as many numbers as a vector has
     parts = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s or 1.0).alias("s")) for m, s in zip(stats["m"], scale, strict=True)])
     new = F.zip_with(F.col(vec), parts, lambda a, p: (a.cast("double") - p["m"]) / p["s"])
