@@ -142,8 +142,8 @@ def test_simhash_components(spark, docs):
 
 
 def test_one_of_each_stays(spark, docs):
-    kept = simhash.keep_one_of_each(docs.withColumn("id", F.lit(1)))
-    assert kept.columns == [*docs.columns, "id"]
+    kept = simhash.keep_one_of_each(docs.withColumns({"id": F.lit(1), "fp": F.lit("x")}))
+    assert kept.columns == [*docs.columns, "id", "fp"]
     rows, own = docs.collect(), slow_components(docs.collect())[1]
     groups = defaultdict(list)
     for r, c in zip(rows, own, strict=True):
@@ -176,6 +176,13 @@ def test_histogram(spark, docs):
     assert lengths.histogram(lengths.token_counts(empty(spark))).count() == 0
 
 
+def test_quantiles_are_looked_up(spark):
+    counts = spark.createDataFrame([(n,) for n in [0, 0, 3, 3, 3, 9, 4000]], "n_tokens int")
+    hist = lengths.histogram(counts)
+    assert [tuple(r) for r in lengths.quantile(hist, [0.0, 0.5, 0.8, 1.0]).collect()] == [(0.0, 0), (0.5, 3), (0.8, 9), (1.0, 4000)]
+    assert lengths.quantile(hist.limit(0), [0.5]).first()["n_tokens"] is None and lengths.at_limit(hist.limit(0), 5).first()["kept_tokens"] == 0
+
+
 def test_pattern_is_that_of_the_public_tokenizer():
     import public_tokenizers
 
@@ -217,6 +224,19 @@ def test_repeated_vectors_and_null_ids(spark):
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (None, 0, None, True)], key=repr)
 
 
+def test_recall_of_planted_pairs(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((1500, 64))
+    side -= (side * x[:1500]).sum(axis=1, keepdims=True) * x[:1500]
+    c = rng.uniform(0.9505, 0.97, (1500, 1))
+    x = np.concatenate([x, c * x[:1500] + np.sqrt(1 - c * c) * side / np.linalg.norm(side, axis=1, keepdims=True)])
+    want = np.argwhere(np.triu(x @ x.T >= 0.95, 1))
+    got = embeddings.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert sum(r["n_links"] for r in got) // 2 >= 0.99 * len(want) and len(want) >= 1500 and sum(r["n_links"] for r in got) // 2 <= len(want)
+
+
 def test_recall_of_tables_and_counts():
     for n in (10**3, 10**5, 10**8):
         bits, tables = embeddings.tables_for(n)
@@ -268,6 +288,68 @@ def test_url_model_tells_rejected_hosts(spark):
     assert len(wrong) <= 0.02 * len(got)
 
 
+def slow_probability(counts, context, symbol):
+    """Witten-Bell by its definition: a context seen n times with t symbols leaves t / (n + t) to the context without its first symbol."""
+    if context is None:
+        return 1 / 32
+    seen = {g[-1]: n for g, n in counts[len(context)].items() if g[:-1] == context}
+    shorter = slow_probability(counts, context[1:] if context else None, symbol)
+    n, t = sum(seen.values()), len(seen)
+    return (seen.get(symbol, 0) + t * shorter) / (n + t) if n else shorter
+
+
+def test_markov_model_against_its_definition():
+    texts = ["abc.com/x", "abd.org/y1", "abcabc", "zzz", "Ab-9"]
+    code = lambda c: ord(c.lower()) - 96 if c.isalpha() else {".": 28, "-": 29, "/": 30}.get(c, 27 if c.isdigit() else 31)
+    chains = [(0, 0, 0, *map(code, t), 0) for t in texts]
+    grams = Counter(c[i - 3 : i + 1] for c in chains for i in range(3, len(c)))
+    counts = [Counter() for _ in range(4)]
+    for g, n in grams.items():
+        for k in range(4):
+            counts[k][g[3 - k :]] += n
+    table = np.zeros(32**4)
+    for t in texts:
+        np.add.at(table, urls.grams(t), 1)
+    found = np.exp(urls.log_probabilities(table))
+    for g in [*grams, (0, 0, 0, 31), (1, 2, 3, 9), (9, 1, 2, 3), (26, 26, 26, 26), (7, 7, 7, 7)]:
+        assert found[((g[0] * 32 + g[1]) * 32 + g[2]) * 32 + g[3]] == pytest.approx(slow_probability(counts, g[:3], g[3]))
+    ratio = np.log(found) - np.log(1 / 32)
+    assert urls._scored(ratio, "abc") == pytest.approx(np.mean([math.log(slow_probability(counts, g[:3], g[3]) * 32) for g in ((0, 0, 0, 1), (0, 0, 1, 2), (0, 1, 2, 3), (1, 2, 3, 0))]))
+    assert urls._scored(ratio, "") == 0.0
+
+
+def test_url_model_without_one_of_the_words(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet".replace("sf0.001", "sf0.1"))
+    rows = [r["url"] for r in pages.select("url").collect()]
+    good = good_blocked = bad = bad_blocked = 0
+    for word in ("casino", "pills", "spam"):
+        ratio, threshold = urls.fit_ratio(pages.where(~urls.host_and_path(F.col("url"))[0].contains(word)))
+        for url in rows:
+            text, host = url.split("://", 1)[-1], url.split("://", 1)[-1].split("/")[0]
+            blocked = urls._scored(ratio, text) < threshold
+            if word in host:
+                bad, bad_blocked = bad + 1, bad_blocked + blocked
+            elif not any(w in host for w in urls.REJECTED):
+                good, good_blocked = good + 1, good_blocked + blocked
+    assert bad > 60 and bad_blocked >= 0.9 * bad and good_blocked <= 0.02 * good  # of 'adult', the one left out, none is found
+
+
+def test_url_labels_and_empty_lists(spark):
+    made = [(i, f"http://{'evil' if i % 4 == 0 else 'fine'}{chr(97 + i % 26)}{i % 7}.org/x") for i in range(400)]
+    pages = spark.createDataFrame(made, "page_id long, url string")
+    labels = pages.select("url", F.col("url").contains("evil").alias("rejected")).unionByName(spark.createDataFrame([(None, True), ("http://x", None)], "url string, rejected boolean"))
+    got = urls.judge(pages, rules=(), labels=labels).collect()
+    assert all((r["verdict"] == "block") == ("evil" in r["host"]) and r["rule"] is None for r in got)
+    assert {r["verdict"] for r in urls.judge(pages, rules=(), rejected=()).collect()} == {"allow"}
+    assert {r["verdict"] for r in urls.judge(pages, rules=(), labels=labels.limit(0)).collect()} == {"allow"}
+
+
+def test_threshold_is_in_the_middle_of_the_gap():
+    hist = np.zeros((2, urls.STEPS + 1))
+    hist[0, 1200:1210], hist[1, 800:810] = 5, 3
+    assert urls.least_error(hist) == pytest.approx((809 + 1 + 1200) / 2 * 2 * urls.SPAN / urls.STEPS - urls.SPAN)
+
+
 def test_markov_probabilities_sum_to_one():
     counts = np.zeros(32**4)
     for u in ("abc.com/x", "abd.org/y1", "zzz"):
@@ -307,6 +389,27 @@ def test_quality_of_labelled_documents(spark):
     assert sum((r["label"] == 1) == r["kept"] for r in got) >= 0.97 * len(got)
 
 
+def test_em_against_documents_one_by_one(spark):
+    """EM over documents, not patterns, with arrays: the posterior, kept and the fit of the table's documents."""
+    table = spark.read.parquet(f"{DATA}/documents.parquet").unionByName(spark.createDataFrame([(10**6 + i, t, "en", "a", 1) for i, t in enumerate([None, "", "### $$$ %% ||| " * 9, "W " * 40])], SCHEMA))
+    rows = quality.statistics(table).withColumns(quality.votes()).orderBy("doc_id").collect()
+    names = [r[0] for r in quality.RULES]
+    v = np.array([[r[n] for n in names] for r in rows], float)
+    share, a, b = quality.GOOD, np.full(len(names), quality.FALSE_ALARM), np.full(len(names), quality.HIT)
+    weight, voted = quality.PSEUDO * len(v), v != 0
+    for step in range(quality.ROUNDS + 1):
+        like = [np.where(v < 0, rate, np.where(v > 0, 1 - rate, 1.0)).prod(axis=1) for rate in (a, b)]
+        p = share * like[0] / (share * like[0] + (1 - share) * like[1])
+        if step == quality.ROUNDS:
+            break
+        share = (p.sum() + weight * quality.GOOD) / (len(v) + weight)
+        a = (((v < 0) * p[:, None]).sum(axis=0) + weight * quality.FALSE_ALARM) / ((voted * p[:, None]).sum(axis=0) + weight)
+        b = (((v < 0) * (1 - p)[:, None]).sum(axis=0) + weight * quality.HIT) / ((voted * (1 - p)[:, None]).sum(axis=0) + weight)
+    got = {r["doc_id"]: r for r in quality.quality(table).collect()}
+    for r, x in zip(rows, p, strict=True):
+        assert got[r["doc_id"]]["quality"] == pytest.approx(x, abs=1e-6) and got[r["doc_id"]]["kept"] == (not got[r["doc_id"]]["base_failed"] and x >= 0.5)
+
+
 def test_em_recovers_accuracies():
     rng, n = random.Random(0), len(quality.RULES)
     rates = [(0.02, 0.6)] * 4 + [(0.1, 0.4)] * (n - 4)
@@ -337,6 +440,31 @@ def test_toxicity_of_odd_rows(spark, docs):
     assert toxicity.toxicity(empty(spark), labels).count() == 0 and toxicity.toxicity(docs, labels.limit(0)).where("score <> 0.5").count() == 0
 
 
+def test_toxicity_against_brute_force(spark):
+    """Features, their z, and scores, of the labelled documents that are not held out, by plain counts."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    odd = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).unionByName(spark.createDataFrame([(0, 2), (1, 7), (None, 1)], "doc_id long, toxic int"))
+    own = docs.unionByName(spark.createDataFrame([(10**6, "nasty\n" * 30_000, "en", "a", 1), (10**6 + 1, None, "en", "a", 1), (10**6 + 2, "", "en", "a", 1)], SCHEMA))
+    model = toxicity._model(own, odd)
+    texts, marks = {r["doc_id"]: r["text"] for r in own.collect()}, {}
+    for r in labels.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["toxic"] in (0, 1) and texts.get(r["doc_id"]) is not None:
+            marks[r["doc_id"]] = max(marks.get(r["doc_id"], 0), r["toxic"])
+    def parts(text):
+        words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        return {w + "$" for w in words} | {w[:n] for w in words for n in toxicity.BEGINNINGS if len(w) >= n}
+
+    bad, good = (Counter(x for d, y in marks.items() if y == k for x in parts(texts[d])) for k in (1, 0))
+    n_bad, n_good = sum(marks.values()), sum(1 - y for y in marks.values())
+    odds = lambda c, n: math.log((c + 0.5) / (n - c + 1))
+    z = {x: abs(odds(bad[x], n_bad) - odds(good[x], n_good)) / math.sqrt(1 / (bad[x] + 0.5) + 1 / (good[x] + 0.5)) for x in {*bad, *good} if bad[x] + good[x] >= toxicity.LEAST}
+    want = {x for x, v in z.items() if v >= toxicity.LEAST_Z} | {t + "$" for t in toxicity.IDENTITY}
+    assert set(model.known) == want and len(want) <= toxicity.FEATURES
+    for r in toxicity.toxicity(own, odd).collect():
+        total = model.bias + sum(model.weights[model.known[x]] for x in parts(texts[r["doc_id"]]) & set(model.known))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, total))))) and r["predicted"] == (r["score"] >= 0.7)
+
+
 def test_swaps_reduce_the_gap_between_groups():
     rng, texts, labels = random.Random(0), [], []
     for k in range(400):
@@ -407,6 +535,14 @@ def test_targets(spark, sizes):
     assert {r["source"]: r["target"] for r in mixing.targets(df).collect()} == pytest.approx(slow_targets(sizes))
 
 
+def test_given_quality_weights_decide(spark):
+    rows = [(i, "one two three", "a" if i < 900 else "b", 50.0 if i % 2 else 0.02) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, posterior double")
+    got = mixing.mix(df, (1, 3), quality=F.col("posterior")).where("source_size = 2700 and taken > 0").collect()
+    assert len(got) >= 250 and sum(r["doc_id"] % 2 for r in got) >= 0.95 * min(len(got), 450)
+    assert mixing.mixed_documents(df, (1, 3), quality=F.col("posterior")).columns == df.columns
+
+
 def test_mixed_documents_are_the_copies(spark, docs):
     once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     want = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(once).collect() if r["taken"]}
@@ -528,6 +664,18 @@ def test_templates(spark):
     assert templates.without_recurring_lines(df.limit(0)).count() == 0
 
 
+def test_templates_with_two_word_fields(spark):
+    names, cities = ["alice", "bob", "carol", "dave", "erin", "frank", "grace", "heidi"], ["berlin", "paris", "rome", "oslo", "bern", "kyiv", "riga", "lima"]
+    lines = [f"At noon the guard says that user {a} has opened the front door in {b} for us" for a in names for b in cities]
+    short = ["logged in by alice today", "logged in by bob today", "logged in as carol now", "user said yes to all", "user said no to all", "we sat in the sun"]
+    df = spark.createDataFrame(list(enumerate(lines + short)), "doc_id long, text string").withColumns({"n_lines": F.lit("x"), "n_dropped": F.lit("y")})
+    got = templates.without_recurring_lines(df)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"] and got.schema["n_lines"].dataType.typeName() == "long"
+    assert {r["doc_id"] for r in got.where("n_dropped > 0").collect()} == {*range(1, 64), 65}
+    nameless = df.withColumn("doc_id", F.when(F.col("doc_id") < 3, None).otherwise(F.col("doc_id")))
+    assert templates.without_recurring_lines(nameless).where("n_dropped > 0").count() == 64
+
+
 def test_templates_with_recurring_field_values(spark):
     rng = random.Random(8)
     passage, lines = prose(rng, 60).split(), []

@@ -68,3 +68,19 @@ def test_stages(spark, stages):
 def test_run_is_the_stages(spark, stages):
     key = lambda df: Counter((r["doc_id"], r["n_ids"]) for r in df.select("doc_id", F.col("n_ids")).collect())
     assert key(corpus_pipeline.run(spark, DATA)) == key(stages["encoding"])
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, extra columns with the operators' own names, and no rows at all."""
+    docs, own = spark.read.parquet(f"{DATA}/documents.parquet"), ("fp", "n_lines", "n_dropped", "size", "target", "score", "sid", "ids", "key", "rid")
+    text = docs.where("n_chars > 500").first()["text"]
+    odd = spark.createDataFrame([(None, None, None, None, None), (9**9, None, "en", "src1", 0), (9**9 + 1, "", "en", None, 0), (9**9 + 1, "", "en", None, 0), (None, text, "en", "src1", 1), (9**9 + 2, "word " * 50_000, None, "src1", 1)], docs.schema)
+    rows = docs.limit(60).unionByName(odd).unionByName(docs.limit(3)).withColumns({c: F.lit("own") for c in own})
+    for k, docs in enumerate((rows, rows.limit(0))):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, DATA)
+            assert name == "encoding" or out.columns == rows.columns
+            out.write.parquet(f"{tmp_path}/{k}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}/{name}")
+            assert name == "encoding" or docs.where(" or ".join(f"{c} <> 'own'" for c in own)).count() == 0
+        assert (docs.count() > 0) == (k == 0)
