@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table of a few numbers a row is broadcast (some MB).
 FEW = 100_000
+#: Edges of a graph for each task at least.
+A_TASK = 100_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -31,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder as Parquet and read again: what ``cut`` does, in less room for wide tables of numbers."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -58,19 +68,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     live = cut(edges.where("a <> b").select(*ends(F.col("a"), F.col("b"))).distinct())
     rounds: list[DataFrame] = []
-    while not live.isEmpty():
+    while n := live.count():
+        few = lambda df: cut(df.coalesce(max(1, n // A_TASK)))  # noqa: E731, B023 - a graph that has shrunk needs fewer tasks
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+        up = few(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
         while True:
             used = up.select("root").distinct()
-            hop = cut(used.join(up.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").where("next <> root"))
+            hop = few(used.join(up.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").where("next <> root"))
             if hop.isEmpty():
                 break
-            up = cut(by_key(up, hop, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+            up = few(by_key(up, hop, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
         rounds.append(up)
         left = up.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        live = cut(live.join(left, "a").join(right, "b").where("ra <> rb").select(*ends(F.col("ra"), F.col("rb"))).distinct())
+        live = few(live.join(left, "a").join(right, "b").where("ra <> rb").select(*ends(F.col("ra"), F.col("rb"))).distinct())
     if not rounds:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     label = rounds.pop()
