@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from shardloom.operators.metrics import binary_scores, class_scores, confusion, macro_scores
 from shardloom.sources.tables import cut
 
-#: Cost of the linear head; hidden width and rounds of the other one.
-COST, HIDDEN, ROUNDS = 1.0, 128, 100
+#: Cost of the linear head; hidden width of the other one; steps of a fit; training rows of a task at least.
+COST, HIDDEN, ROUNDS, A_TASK = 1.0, 128, 100, 5_000
 
 
 def standardised(train: DataFrame, *others: DataFrame, vec: str = "vec") -> list[DataFrame]:
@@ -29,21 +29,28 @@ def standardised(train: DataFrame, *others: DataFrame, vec: str = "vec") -> list
     return [t.withColumn(vec, new) for t in (train, *others)]
 
 
+def _fitted(train: DataFrame) -> tuple[DataFrame, int]:
+    """(features, label) of the training rows, a task for some thousands of them, and their number: every step of a fit is a job."""
+    data = cut(_ready(train).select("features", "label"))
+    n = data.count()
+    return data.coalesce(max(1, n // A_TASK)), n
+
+
 def _ready(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.col("vec").cast("array<double>"))).withColumn("label", F.col("y").cast("double"))
 
 
 def svm_predictions(train: DataFrame, other: DataFrame) -> DataFrame:
     """``other`` with ``predicted`` of a linear support vector head fitted on ``train`` (vec, y from 0 on), one class against the rest."""
-    data = cut(_ready(train).select("features", "label"))
-    head = LinearSVC(regParam=1 / (COST * max(1, data.count())), maxIter=ROUNDS, standardization=False)
+    data, n = _fitted(train)
+    head = LinearSVC(regParam=1 / (COST * max(1, n)), maxIter=ROUNDS, standardization=False)
     model = OneVsRest(classifier=head).fit(data)
     return model.transform(_ready(other)).withColumn("predicted", F.col("prediction").cast("int")).select(*other.columns, "predicted")
 
 
 def mlp_predictions(train: DataFrame, other: DataFrame, classes: int, seed: int) -> DataFrame:
     """``other`` with ``predicted`` and ``probability`` (array) of a head with one hidden layer, a fixed number of rounds and no early stop."""
-    data = cut(_ready(train).select("features", "label"))
+    data, _ = _fitted(train)
     dims = data.select(F.size(vector_to_array("features"))).first()[0]
     model = MultilayerPerceptronClassifier(layers=[dims, HIDDEN, classes], maxIter=ROUNDS, seed=seed).fit(data)
     out = model.transform(_ready(other)).withColumn("predicted", F.col("prediction").cast("int"))

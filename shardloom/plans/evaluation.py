@@ -189,9 +189,10 @@ def masked_norm_by_group(spark, d):
     return metrics.masked_norm(rows, "v", ["g"]).groupBy("k", "line").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("z"), 4).alias("z"))
 
 
-@query(f"""WITH {PIXELS}, u AS (SELECT DISTINCT event_idx, channel, tick, event_idx % 4 AS g, charge, label, energyfrac FROM px) SELECT event_idx, channel, tick, charge, label AS pixel_labels FROM u WHERE g IN (1, 3) AND event_idx > 10""")
+@query(f"""WITH {PIXELS} SELECT event_idx, channel, tick, min(charge) AS charge, min(label) AS pixel_labels FROM px WHERE event_idx % 4 IN (1, 3) AND event_idx > 10 GROUP BY 1, 2, 3""")
 def direct_source(spark, d):
-    root, px = _scratch(spark, "direct"), S.pixels(spark, d).withColumn("group", (F.col("event_idx") % 4).cast("string")).dropDuplicates(["event_idx", "channel", "tick"])
+    root, px = _scratch(spark, "direct"), S.pixels(spark, d).withColumn("group", (F.col("event_idx") % 4).cast("string"))
+    px = px.groupBy("group", "event_idx", "channel", "tick").agg(F.min("charge").alias("charge"), F.min("label").alias("label"))
     keys = ["group", "event_idx", "channel", "tick"]
     px.select(*keys, "charge").write.partitionBy("group").parquet(f"{root}/pixels")
     px.select(*keys, F.col("label").alias("pixel_labels")).write.partitionBy("group").parquet(f"{root}/truth")

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from shardloom.operators.grouped import if_few
+from shardloom.sources.tables import cut
+
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     """A stream over the Parquet files of a folder."""
@@ -41,11 +44,16 @@ def moving_mean(stream: DataFrame, momentum: float, by: str = "key", step: str =
 
 
 def moving_mean_batch(rows: DataFrame, momentum: float, by: str = "key", step: str = "step", value: str = "value") -> DataFrame:
-    """The same over a finite table: mean = sum of (1 - m) m^(n - i) v_i for i > 1, and m^(n - 1) v_1. Sums need no order but the ranks."""
+    """The same over a finite table: mean = sum of (1 - m) m^(n - i) v_i for i > 1, and m^(n - 1) v_1. Sums need no order but the
+    ranks, which are counted in ranges of steps, so that no task holds a key's rows."""
     from pyspark.sql import Window
 
-    rows = rows.where(F.col(value).isNotNull())
-    own = Window.partitionBy(by)
-    ranked = rows.withColumn("__i", F.row_number().over(own.orderBy(step))).withColumn("__n", F.count(F.lit(1)).over(own))
+    rows = rows.where(F.col(value).isNotNull()).select(F.col(by), F.col(step).alias("__step"), F.col(value).alias("__value"))
+    dealt = cut(rows.repartitionByRange(by, "__step").withColumn("__part", F.spark_partition_id()))
+    order, own = Window.partitionBy(by).orderBy("__part"), Window.partitionBy(by)
+    parts = dealt.groupBy(by, "__part").agg(F.count(F.lit(1)).alias("__of"))
+    parts = parts.select(F.col(by).alias("__by"), F.col("__part").alias("__p"), (F.sum("__of").over(order) - F.col("__of")).alias("__before"), F.sum("__of").over(own).alias("__n"))
+    ranked = dealt.withColumn("__i", F.row_number().over(Window.partitionBy("__part", by).orderBy("__step")))
+    ranked = ranked.join(if_few(cut(parts)), (F.col("__part") == F.col("__p")) & F.col(by).eqNullSafe(F.col("__by"))).withColumn("__i", F.col("__before") + F.col("__i"))
     weight = F.pow(F.lit(momentum), F.col("__n") - F.col("__i")) * F.when(F.col("__i") == 1, 1.0).otherwise(1 - momentum)
-    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(weight * F.col(value)).alias("mean"))
+    return ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(weight * F.col("__value")).alias("mean"))
