@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import compaction, embeddings, lengths, mixing, pieces, quality, simhash, templates, toxicity, urls
-from shardloom.llm.common import checkpoint_dir
+from shardloom.llm import compaction, embeddings, lengths, mixing, negatives, periods, pieces, quality, simhash, templates, token_files, toxicity, urls
+from shardloom.llm.common import WORD, bind, checkpoint_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,45 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_ids", F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_near_vectors, op4_url_filter, op5_quality, op6_toxicity, op7_mixing, op8_compaction, op9_line_templates, op10_pieces)}
+def with_repetitions(docs: DataFrame) -> DataFrame:
+    """``docs``, of which a tenth repeat a part of their words to the end, as a hash of the id says; a null id changes nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+
+    def repeated(w):
+        n = F.size(w)
+        return bind(F.struct((g % n).alias("a"), (1 + F.floor((n - g % n) / (3 + g % 8))).alias("p")), lambda v: F.array_join(F.transform(w, lambda x, i: F.when(i < v["a"], x).otherwise(F.get(w, (v["a"] + (i - v["a"]) % v["p"]).cast("int")))), " "))
+
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.rlike("text", F.lit(WORD)), bind(words, repeated)).otherwise(F.col("text")))
+
+
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periods.periodic_runs(with_repetitions(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = F.col("strongest")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' ids as they are read back from the files."""
+    path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(_table(spark, sf_dir, "documents"), path)
+    found = token_files.TokenFiles(spark, path).documents()
+    return found.select("doc_id", "start", "n_tokens", token_files.crc32_of_ids("ids").alias("ids_crc32"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_near_vectors, op4_url_filter, op5_quality, op6_toxicity, op7_mixing, op8_compaction, op9_line_templates, op10_pieces, op11_periods, op12_token_files, op13_hard_negatives)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -126,4 +164,12 @@ gone AS (SELECT l.doc_id, list(l.pos) AS drops FROM l JOIN named USING (n, leaf,
 SELECT part.doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(drops), 0) AS BIGINT) AS n_dropped,
   md5(CASE WHEN drops IS NULL THEN text ELSE coalesce(array_to_string(list_filter(parts, lambda x, i: NOT list_contains(drops, i - 1)), chr(10)), '') END) AS text_md5
 FROM part LEFT JOIN gone USING (doc_id)""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS anchor_id, r.vec_id AS other, q.label = r.label AS alike, CAST(list_dot_product(q.e, r.e) AS BIGINT) AS score FROM v q JOIN v r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 10""",
 }
