@@ -154,13 +154,17 @@ WITH RECURSIVE part AS (SELECT doc_id, text, string_split(text, chr(10)) AS part
 raw AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS pos FROM part),
 tok AS (SELECT doc_id, pos, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS t FROM raw),
 l AS (SELECT doc_id, pos, len(t) AS n, array_to_string(t[1:3], ' ') AS leaf, array_to_string(t, ' ') AS line, t FROM tok WHERE len(t) >= 5),
+brief AS (SELECT doc_id, pos, array_to_string(t, ' ') AS line FROM tok WHERE len(t) BETWEEN 1 AND 4),
+often AS (SELECT line, min(doc_id) AS lo FROM brief GROUP BY line HAVING count(DISTINCT doc_id) >= 5),
 exact AS (SELECT n, leaf, line, any_value(t) AS t, min(doc_id) AS lo, max(doc_id) AS hi, min(CAST(doc_id AS HUGEINT) * 1000000000 + pos) AS ord FROM l GROUP BY n, leaf, line),
 walk AS (SELECT n, leaf, line, t, ord, first_value(line) OVER w AS leader, first_value(t) OVER w AS theirs FROM exact WINDOW w AS (PARTITION BY n, leaf ORDER BY ord)
   UNION ALL SELECT n, leaf, line, t, ord, first_value(line) OVER w, first_value(t) OVER w FROM walk
   WHERE len(list_filter(list_zip(t, theirs), lambda z: z[1] = z[2])) < ceil(round(n * 0.7, 6)) WINDOW w AS (PARTITION BY n, leaf ORDER BY ord)),
 named AS (SELECT n, leaf, line, leader FROM walk WHERE len(list_filter(list_zip(t, theirs), lambda z: z[1] = z[2])) >= ceil(round(n * 0.7, 6))),
 grp AS (SELECT n, leaf, leader, min(lo) AS lo, max(hi) AS hi FROM named JOIN exact USING (n, leaf, line) GROUP BY n, leaf, leader),
-gone AS (SELECT l.doc_id, list(l.pos) AS drops FROM l JOIN named USING (n, leaf, line) JOIN grp USING (n, leaf, leader) WHERE lo <> hi AND l.doc_id <> lo GROUP BY l.doc_id)
+dropped AS (SELECT l.doc_id, l.pos FROM l JOIN named USING (n, leaf, line) JOIN grp USING (n, leaf, leader) WHERE lo <> hi AND l.doc_id <> lo
+  UNION ALL SELECT doc_id, pos FROM brief JOIN often USING (line) WHERE doc_id <> lo),
+gone AS (SELECT doc_id, list(pos) AS drops FROM dropped GROUP BY doc_id)
 SELECT part.doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(drops), 0) AS BIGINT) AS n_dropped,
   md5(CASE WHEN drops IS NULL THEN text ELSE coalesce(array_to_string(list_filter(parts, lambda x, i: NOT list_contains(drops, i - 1)), chr(10)), '') END) AS text_md5
 FROM part LEFT JOIN gone USING (doc_id)""",

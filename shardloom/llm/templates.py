@@ -4,6 +4,7 @@ The tree has a fixed depth: a line's number of tokens, then its leading tokens,
 variable fields. In a leaf, lines are taken in the order of documents: a line belongs to the earliest leader with which it
 agrees in enough places, and the places in which the lines of a leader differ are variable fields; a line that agrees with
 no earlier leader is a leader itself. A template that occurs in several documents is dropped from all but the first.
+Lines with fewer tokens than a template needs recur only as they are (but for fields), in more documents.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from pyspark.sql import functions as F
 
 from shardloom.llm.common import WORD, bind, cut, stored
 
-#: Leading tokens in the tree; tokens of a line that may be dropped at all; share of places in which lines of a template agree.
+#: Leading tokens in the tree; tokens of a line that a template needs; share of places in which lines of a template agree.
 DEPTH, LEAST, ALIKE = 3, 5, 0.7
+#: Documents in which a line of fewer tokens recurs if it is to go.
+SHORT_DOCS = 5
+#: Lines of a key that are compared with each other; of more, a leader takes its followers or the key is made finer.
+FEW_LINES = 64
 #: Lines up to which every set of places that suffices to agree has a key of its own (15 sets for 9 tokens).
 SHORT = 9
 FIELD = "<*>"
@@ -39,11 +44,11 @@ def _parsed(line: Column, with_text: bool) -> Column:
 
 
 def _lines(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """Lines that may be dropped: id, rid, pos, n, leaf, line (see ``_parsed``). ``rid`` is a hash of id and text. Each line is
+    """Lines with tokens: id, rid, pos, n, leaf, line (see ``_parsed``). ``rid`` is a hash of id and text. Each line is
     parsed once, inside its document's array, where no filter pushed down repeats the work."""
     parsed = F.transform(F.split("text", "\n"), lambda x: _parsed(x, with_text))
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(parsed).alias("pos", "v"))
-    return rows.select("id", "rid", "pos", "v.*").where(F.col("n") >= LEAST)
+    return rows.select("id", "rid", "pos", "v.*").where("n > 0")
 
 
 def enough(n: Column | int):
@@ -51,53 +56,99 @@ def enough(n: Column | int):
     return -(-round(n * ALIKE * 10**6) // 10**6) if isinstance(n, int) else F.ceil(F.round(n * ALIKE, 6)).cast("int")
 
 
-def _keys_of(n: Column, keys: Column) -> Column:
-    """Hashes of which two lines of a leaf share one if they agree in enough places.
+def _block(b: Column, size: Column, blocks: Column) -> tuple[Column, Column]:
+    """The first and the last + 1 of the places of block ``b`` of ``size`` places."""
+    return F.floor(b * size / blocks).cast("int"), F.floor((b + 1) * size / blocks).cast("int")
 
-    Up to SHORT tokens: a hash of every set of places that is enough, so that lines share one exactly if they agree.
-    Longer lines: of blocks of places, one more than there may be differing places.
+
+def _first_keys(tokens: DataFrame) -> DataFrame:
+    """(at, key, b, places, full) such that two lines of a leaf share a key if they agree in enough places.
+
+    Up to SHORT tokens: every set of places that is enough, so that lines share a key exactly if they agree (``full``).
+    Longer lines: blocks of places, one more than there may be differing places; ``b`` is the block.
     """
+    n, keys = F.col("n"), F.col("keys")
     size = F.size(keys)
-    n_blocks = F.least(n - enough(n) + 1, size)
-    bound = lambda b, m: F.floor(b * size / m).cast("int")
-    blocks = bind(n_blocks, lambda m: F.transform(F.sequence(F.lit(0), m - 1), lambda b: F.xxhash64("leaf", b, F.slice(keys, bound(b, m) + 1, bound(b + 1, m) - bound(b, m)))))
+    part = lambda b, m: F.slice(keys, _block(b, size, m)[0] + 1, _block(b, size, m)[1] - _block(b, size, m)[0])
+    blocks = bind(F.least(n - enough(n) + 1, size), lambda m: F.transform(F.sequence(F.lit(0), m - 1), lambda b: F.xxhash64("leaf", b, part(b, m))))
     for k in range(LEAST, SHORT + 1):
         sets = list(combinations(range(k - DEPTH), enough(k) - DEPTH))
         blocks = F.when(n == k, F.array(*[F.xxhash64("leaf", F.lit(c), *[F.get(keys, F.lit(i)) for i in places]) for c, places in enumerate(sets)])).otherwise(blocks)
-    return blocks
+    out = tokens.select("at", (n <= SHORT).alias("full"), F.posexplode(blocks).alias("b", "key"))
+    return out.select("at", "key", "b", F.lit(None).cast("array<int>").alias("places"), "full")
+
+
+def _finer(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """Keys of more places for lines that share a key: of the places that the key leaves out, blocks as in ``_first_keys``."""
+    rows = rows.join(own, "at")
+    n, keys = F.col("n"), F.col("keys")
+    size, most = F.size(keys), n - enough(n) + 1
+    low, high = _block(F.col("b"), size, F.least(most, size))
+    rows = rows.withColumn("places", F.coalesce("places", F.sequence(low, high - 1)))
+    rows = rows.withColumn("rest", F.array_except(F.sequence(F.lit(0), size - 1), "places")).withColumn("m", F.least(most, F.size("rest")))
+    rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    low, high = _block(F.col("b"), F.size("rest"), F.col("m"))
+    rows = rows.withColumn("places", F.array_sort(F.concat("places", F.slice("rest", low + 1, high - low))))
+    key = F.xxhash64("leaf", "places", F.transform("places", lambda i: F.get(keys, i)))
+    return rows.select("at", key.alias("key"), "b", "places", (F.size("places") >= enough(n) - DEPTH).alias("full"), "follows").dropDuplicates(["at", "key"])
+
+
+def _agreeing(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Those of the pairs (at, head, known) that agree; ``known`` says that they do."""
+    theirs = own.select(F.col("at").alias("head"), F.col("keys").alias("theirs"), F.col("doc").alias("their_doc"))
+    agree = F.size(F.filter(F.zip_with("keys", "theirs", lambda a, b: a == b), lambda x: x)) + DEPTH
+    both = pairs.join(own, "at").join(theirs, "head")
+    return both.where(F.col("known") | (agree >= enough(F.col("n")))).drop("keys", "theirs", "n", "leaf")
 
 
 def _by_agreement(tokens: DataFrame) -> DataFrame:
-    """Rows (leaf, line, mask, first, last) of the lines that share a template: ``mask`` is their leader's ``line``.
+    """Rows (leaf, line, mask, first, last) of the lines that share a template: ``mask`` is a leader's ``line``.
     ``tokens``: leaf, line, n, keys, first (the line's first place, by which lines are ordered) and last.
 
-    A line that is the earliest of all lines it shares a key with is a leader. A line of which the earliest such line is a
-    leader is compared with it, and joins it if they agree. What has neither led nor joined goes on to the next round without
-    the leaders, until no key is shared. So the result is that of taking the lines one after the other.
+    Taken one after the other, a line leads if it agrees with no earlier leader. So a line that is the earliest in all its keys leads,
+    all others that agree with it follow, and both leave; rounds of this give the leaders. A round takes many leaders at once, in any
+    number of keys, and its keys don't shrink line by line: once a key has few lines, those that agree are a key of
+    their own and the others part, and a key of which a leader took less than half has lines that are unlike, so it is made finer, until
+    what shares it agrees. A line belongs to the earliest leader with which it agrees. That leader matters only if it is of
+    the line's own first document, which would keep the line: such a follower stays, without ever leading, until its keys are done.
     """
     tokens = tokens.groupBy("leaf", "line").agg(F.min(F.struct("first", "last", "n", "keys")).alias("t")).orderBy("t.first")
     tokens = stored(tokens.select(F.monotonically_increasing_id().alias("at"), "leaf", "line", "t.*"))  # numbers in the order of first places
-    blocks = tokens.select("at", F.explode(_keys_of(F.col("n"), F.col("keys"))).alias("block"))
-    own = tokens.select("at", "n", "keys")
+    own = tokens.select("at", "leaf", "n", "keys", F.col("first.rid").alias("doc"))
+    live = _first_keys(tokens).withColumns({"follows": F.lit(False), "before": F.lit(None).cast("long")})
     joined: list[DataFrame] = []
+    parted = True
     while True:
-        heads = blocks.groupBy("block").agg(F.min("at").alias("head"), F.max("at").alias("end")).where("head <> end").select("block", "head")
-        blocks = stored(blocks.join(heads, "block"))
-        if blocks.isEmpty():
+        heads = live.groupBy("key").agg(F.min(F.when(~F.col("follows"), F.col("at"))).alias("head"), F.max("at").alias("end"), F.count(F.lit(1)).alias("lines"))
+        live = stored(live.join(heads.where("head < end").drop("end"), "key").where("at >= head"))
+        if live.isEmpty():
             break
-        lines = cut(blocks.groupBy("at").agg(F.min("head").alias("head")))
-        leaders = lines.where("at = head").select("head")
-        pairs = lines.where("at <> head").join(leaders, "head", "left_semi").join(own, "at").join(own.select(F.col("at").alias("head"), F.col("keys").alias("theirs")), "head")
-        agree = F.size(F.filter(F.zip_with("keys", "theirs", lambda a, b: a == b), lambda x: x)) + DEPTH
-        found = cut(pairs.where(agree >= enough(F.col("n"))).select("at", "head"))
-        joined.append(found)
-        gone = leaders.select(F.col("head").alias("at")).unionByName(found.select("at"))
-        blocks = blocks.select("at", "block").join(gone, "at", "left_anti")
+        few = F.col("lines") <= FEW_LINES
+        part = ~F.col("full") & F.when(few, F.lit(len(joined) > 0)).otherwise(F.coalesce(2 * F.col("lines") > F.col("before"), F.lit(False)))
+        if not parted and not live.where(part).isEmpty():
+            some = live.where(part & few)
+            earlier = some.where(~F.col("follows")).select("key", F.col("at").alias("head"))
+            pairs = some.select("key", "at", "follows").join(earlier, "key").where("head < at").groupBy("at", "head").agg(F.first("follows").alias("follows"), F.lit(False).alias("known"))
+            ends = F.array(F.struct("at", "follows"), F.struct(F.col("head").alias("at"), F.lit(False).alias("follows")))
+            pairs = _agreeing(pairs, own).select(F.xxhash64(F.lit("pair"), "at", "head").alias("key"), F.explode(ends).alias("end")).select("end.at", "key", F.lit(0).alias("b"), F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("full"), "end.follows")
+            finer = _finer(live.where(part & ~few).select("at", "key", "b", "places", "follows"), own)
+            rest = live.where(~part).select(*pairs.columns, "before")
+            live, parted = rest.unionByName(pairs.unionByName(finer).withColumn("before", F.lit(None).cast("long"))), True
+            continue
+        leaders = cut(live.where(~F.col("follows")).groupBy("at").agg(F.min("head").alias("head")).where("at = head").select("head"))
+        pairs = live.join(leaders, "head", "left_semi").where("at <> head").groupBy("at", "head").agg(F.max("full").alias("known"))
+        found = cut(_agreeing(pairs, own).groupBy("at").agg(F.min(F.struct("head", "their_doc")).alias("h"), F.first("doc").alias("doc")).select("at", "h.head", (F.col("doc") == F.col("h.their_doc")).alias("stays")))
+        joined.append(found.select("at", "head"))
+        gone = leaders.select(F.col("head").alias("at")).unionByName(found.where(~F.col("stays")).select("at"))
+        left = live.join(gone, "at", "left_anti").join(leaders.select("head", F.lit(True).alias("led")), "head", "left").join(found.where("stays").select("at", "stays"), "at", "left")
+        follows = F.col("follows") | F.coalesce("stays", F.lit(False))
+        live, parted = left.select("at", "key", "b", "places", "full", follows.alias("follows"), F.when(F.col("led"), F.col("lines")).alias("before")), False
     if not joined:
         return tokens.limit(0).select("leaf", "line", F.col("line").alias("mask"), "first", "last")
     every = joined[0]
     for found in joined[1:]:
         every = every.unionByName(found)
+    every = every.groupBy("at").agg(F.min("head").alias("head"))
     every = every.unionByName(every.select(F.col("head").alias("at"), "head").distinct())
     every = every.join(tokens.select("at", "leaf", "line", "first", "last"), "at").join(tokens.select(F.col("at").alias("head"), F.col("line").alias("mask")), "head")
     return every.select("leaf", "line", "mask", "first", "last")
@@ -105,12 +156,12 @@ def _by_agreement(tokens: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """Rows (id, rid, drops): the positions of a document's lines of which an earlier document has the template."""
-    lines = stored(_lines(docs).select("id", "rid", "pos", "leaf", "line"))
-    owner = F.struct("id", "rid", "pos")
+    every = stored(_lines(docs).select("id", "rid", "pos", (F.col("n") < LEAST).alias("short"), "leaf", "line"))
+    lines, owner = every.where("not short"), F.struct("id", "rid", "pos")
     exact = stored(lines.groupBy("leaf", "line").agg(F.min(owner).alias("first"), F.max(F.struct("id", "rid")).alias("last")))
     mixed = exact.groupBy("leaf").count().where("count > 1").select("leaf")
     shown = exact.join(mixed, "leaf", "left_semi").select("first.rid", "first.pos", "leaf", "line", "last")
-    tokens = _lines(docs, with_text=True).join(_maybe_broadcast(cut(mixed)), "leaf", "left_semi").join(shown, ["rid", "pos", "leaf", "line"])
+    tokens = _lines(docs, with_text=True).where(F.col("n") >= LEAST).join(_maybe_broadcast(cut(mixed)), "leaf", "left_semi").join(shown, ["rid", "pos", "leaf", "line"])
     keys = F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))
     # a leaf's lines agree in the leading tokens, so only those after them are compared
     tokens = tokens.select("leaf", "line", "n", F.slice(keys, F.lit(DEPTH + 1), F.col("n") - DEPTH).alias("keys"), owner.alias("first"), "last")
@@ -118,18 +169,22 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     groups = members.groupBy("leaf", "mask").agg(F.min("first").alias("group_first"), F.max("last").alias("group_last")).where("group_first.rid <> group_last.rid")
     shared = members.join(groups, ["leaf", "mask"]).select("leaf", "line", F.col("group_first.rid").alias("keeper"))
     alone = exact.where("first.rid <> last.rid").join(members, ["leaf", "line"], "left_anti").select("leaf", "line", F.col("first.rid").alias("keeper"))
-    recurring = stored(alone.unionByName(shared))
+    # of short lines with as many places, those with as many documents
+    often = every.where("short").groupBy("leaf", "line").count().where(F.col("count") >= SHORT_DOCS).select("leaf", "line")
+    often = every.where("short").join(_maybe_broadcast(cut(often)), ["leaf", "line"], "left_semi").groupBy("leaf", "line", "id", "rid").agg(F.lit(1).alias("one"))
+    often = often.groupBy("leaf", "line").agg(F.count("one").alias("docs"), F.min(F.struct("id", "rid")).alias("first")).where(F.col("docs") >= SHORT_DOCS).select("leaf", "line", F.col("first.rid").alias("keeper"))
+    recurring = stored(alone.unionByName(shared).unionByName(often))
     # the occurrences of a very common line are one skewed partition of this join, which adaptive execution splits
-    found = lines.join(recurring, ["leaf", "line"]).where("rid <> keeper").select("id", "rid", "pos")
+    found = every.join(recurring, ["leaf", "line"]).where("rid <> keeper").select("id", "rid", "pos")
     return cut(found.groupBy("id", "rid").agg(F.sort_array(F.collect_set("pos")).alias("drops")))
 
 
 def without_recurring_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` less its recurring lines, and the columns ``n_lines`` and ``n_dropped`` (long).
 
-    Lines are parts between ``\\n``; those with fewer than LEAST tokens always stay. Recurring means in two documents or
-    more, documents being different pairs of id and text; the document with the smallest id (null before all) keeps its
-    lines. A null text stays null and has no lines, an empty one has one. Repeated rows are one document and all stay. A
+    Lines are parts between ``\\n``; those without tokens always stay. Recurring means in two documents or more (lines of fewer
+    than LEAST tokens: as they are but for fields, in SHORT_DOCS or more), documents being different pairs of id and text; the
+    document with the smallest id (null before all) keeps its lines. A null text stays null and has no lines, an empty one has one. Repeated rows are one document and all stay. A
     line's order and blanks stay as they are. An empty table gives no rows. Other columns stay as they are, but ``n_lines``
     and ``n_dropped`` of ``docs`` are replaced. Texts of any length are parsed whole.
     """

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shardloom.llm import common, compaction, embeddings, lengths, mixing, pieces, quality, simhash, templates, toxicity, urls
+from shardloom.llm.templates import enough
 from tests.conftest import DATA
 
 WORDS = [a + b for a in ("ta", "re", "mi", "so", "ul") for b in ("ka", "n", "st", "ro", "pe", "l")]
@@ -712,6 +714,69 @@ def test_agreeing_lines_against_brute_force(spark):
     assert {r["doc_id"] for r in got.where("n_dropped > 0").collect()} == want and len(leaders) > 9
 
 
+def one_after_the_other(texts):
+    """Which of documents of one line lose it."""
+    leaders, want, ids = defaultdict(list), set(), {}
+    for i, words in enumerate(map(str.split, texts)):
+        led = leaders[len(words), *words[:3]]
+        own = np.array([ids.setdefault(w, len(ids)) for w in words])
+        if led and (np.array(led) == own).sum(axis=1).max() >= math.ceil(round(0.7 * len(words), 6)):
+            want.add(i)
+        else:
+            led.append(own)
+    return want
+
+
+def test_unlike_lines_of_a_leaf_and_block_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(10)
+    words = [f"{a}{b}" for a in WORDS for b in WORDS]
+    texts = ["the best way to get " + " ".join(rng.choice(words) for _ in range(9)) for _ in range(3000)]
+    texts += [t.replace("best way to get", "best way to take") if k % 2 else t + " x" for k, t in enumerate(texts[:40])] + [" ".join([*t.split()[:-2], "one", "two"]) for t in texts[100:140]]
+    rounds, keep = [], templates.stored
+    monkeypatch.setattr(templates, "stored", lambda df: (rounds.append(df), keep(df))[1])
+    began = time.time()
+    got = templates.without_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.where("n_dropped > 0").collect()} == one_after_the_other(texts) and len(rounds) < 20
+    assert time.time() - began < 120
+
+
+def test_keys_are_made_finer_until_they_agree(spark, monkeypatch):
+    """Lines that share just too few places, in many places and lengths, with followers in the leader's own document."""
+    monkeypatch.setattr(templates, "FEW_LINES", 3)
+    rng, texts = random.Random(11), []
+    for n in (10, 13, 24):
+        base = [prose(rng, n).split() for _ in range(2)]
+        for _ in range(120):
+            words = list(rng.choice(base))
+            for i in rng.sample(range(3, n), rng.randint(0, n - enough(n) + 2)):
+                words[i] = rng.choice(WORDS[:6])
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    got = templates.without_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.where("n_dropped > 0").collect()} == one_after_the_other(texts)
+    docs = ["\n".join(texts[i : i + 3]) for i in range(0, len(texts), 3)]
+    leaders, want = [], {}
+    for i, doc in enumerate(docs):
+        for k, words in enumerate(map(str.split, doc.split("\n"))):
+            of = [d for d, x in leaders if len(x) == len(words) and x[:3] == words[:3] and sum(a == b for a, b in zip(x, words, strict=True)) >= enough(len(words))]
+            if not of:
+                leaders.append((i, words))
+            elif of[0] != i:
+                want.setdefault(i, []).append(k)
+    got = templates.dropped_lines(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert {r["id"]: r["drops"] for r in got.collect()} == want
+
+
+def test_short_lines_go_by_number_of_documents(spark):
+    texts = ["Share this"] * 4 + ["Share this\nShare this\n\nmore", "Page 3", "Page 14", "Page 15", "Page 16\nPage 17", "\n", "\n\n", "Only here\nOnly here\nOnly here\nOnly here\nOnly here"]
+    rows = [*enumerate(texts), (0, "Share this"), (None, None)]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in templates.without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == ("Share this", 0) and all(got[i] == ("", 1) for i in (1, 2, 3)) and got[4] == ("\nmore", 2)
+    assert all(got[i] == (texts[i], 0) for i in range(5, 12))  # four documents have a page's number, and blank lines always stay
+    some = spark.createDataFrame([*enumerate(texts), (12, "Page 2")], "doc_id long, text string")
+    assert {r["doc_id"] for r in templates.without_recurring_lines(some).where("n_dropped > 0").collect()} == {1, 2, 3, 4, 6, 7, 8, 12}
+
+
 # op 10
 
 
