@@ -23,11 +23,11 @@ from shardloom.llm.common import by_key
 
 VOCABULARY, END = "/opt/tokenizers/byte_bpe_50k.json", 0
 #: Bytes of a row group and rows of a page at most; bytes of a page at about.
-GROUP_BYTES, PAGE_ROWS, PAGE_BYTES = 16 << 20, 64, 1 << 16
+GROUP_BYTES, PAGE_ROWS, PAGE_BYTES = 8 << 20, 64, 1 << 16
 #: Characters of text in a shard at about.
 SHARD_CHARS = 64 << 20
 #: Units of text of which a Python worker keeps the ids; characters of text encoded at once (or one longer text).
-CACHED, AT_ONCE = 1_000_000, 1 << 23
+CACHED, AT_ONCE = 800_000, 1 << 22
 #: White space before a blank, in RE2.
 BLANK_AFTER_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\pZ] "
 SCHEMA = "doc_id {kind}, shard int, at long, n_tokens long, ids array<int>"
@@ -69,7 +69,8 @@ class Encoder:
             out.append(ids)
         return np.concatenate(counts), np.concatenate(out)
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> np.ndarray:
+        """Adds parts to the table; gives the place of each among the added ones."""
         import pyarrow as pa
 
         odd = [p for p in parts if not p[-1:].strip()]  # those that end in white space, or are a text's last blank
@@ -80,12 +81,18 @@ class Encoder:
         self.counts = np.concatenate([self.counts, counts, np.array([len(x) for x in rest], np.int64)])
         self.ids = np.concatenate([self.ids, ids, *rest])
         self.used = np.concatenate([self.used, np.zeros(len(parts), np.int64)])
+        if not odd:
+            return np.arange(len(parts))
+        last = np.array([not p[-1:].strip() for p in parts])
+        order = np.empty(len(parts), np.int64)
+        order[np.concatenate([np.flatnonzero(~last), np.flatnonzero(last)])] = np.arange(len(parts))
+        return order
 
     def _forget(self) -> None:
-        """Keeps about half of a full table, what was used last."""
+        """Keeps three quarters of a full table, what was used last."""
         import pyarrow as pa
 
-        keep = np.sort(np.argsort(self.used, kind="stable")[len(self.used) // 2 :])
+        keep = np.sort(np.argsort(self.used, kind="stable")[len(self.used) // 4 :])
         starts = np.cumsum(self.counts) - self.counts
         self.ids = self.ids[_spans(starts[keep], self.counts[keep])]
         self.parts, self.counts, self.used = self.parts.take(pa.array(keep)), self.counts[keep], self.used[keep]
@@ -110,22 +117,25 @@ class Encoder:
         head = np.zeros(len(flat), bool)
         head[first] = True
         later = flat.filter(pa.array(~head))
-        at = pc.index_in(later, value_set=self.parts)
-        if at.null_count:
-            missing = later.filter(pc.is_null(at)).unique()
-            self._learn(missing.to_pylist())
-            at = pc.index_in(later, value_set=self.parts)
-        at = at.to_numpy()
+        at, had = pc.index_in(later, value_set=self.parts), len(self.parts)
+        new = later.filter(pc.is_null(at)).dictionary_encode()
+        unknown, at = at.is_null().to_numpy(zero_copy_only=False), at.fill_null(0).to_numpy()
+        if len(new):
+            order = self._learn(new.dictionary.to_pylist())
+            at = np.where(unknown, 0, at)
+            at[unknown] = had + order[new.indices.to_numpy()]
         self.used[at] = self.batch
         heads, n = self._each(flat.take(pa.array(first)).to_pylist()), len(self.counts)
         ids = np.concatenate([self.ids, *heads, tail])
         counts = np.concatenate([self.counts, np.array([*map(len, heads), len(tail)], np.int64)])
-        which = np.full(len(flat) + len(first), n + len(heads))  # a text's first part, its later ones, the tail
+        which = np.full(len(flat) + len(first), n + len(heads), np.int32)  # a text's first part, its later ones, the tail
         place = np.arange(len(flat)) + np.repeat(np.arange(len(first)), n_parts)
         which[place[head]], which[place[~head]] = n + np.arange(len(heads)), at
         starts = np.cumsum(counts) - counts
-        found = ids[_spans(starts[which], counts[which])]
-        sums = np.add.reduceat(counts[which], first + np.arange(len(first))) if len(first) else np.zeros(0, np.int64)
+        del flat, later, at, place
+        times = counts[which]
+        found = ids[_spans(starts[which], times)]
+        sums = np.add.reduceat(times, first + np.arange(len(first))) if len(first) else np.zeros(0, np.int64)
         if len(self.counts) > CACHED:
             self._forget()
         return sums, found
@@ -133,7 +143,9 @@ class Encoder:
 
 def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for counts[0] numbers, and so on."""
-    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    out = np.arange(int(counts.sum()), dtype=np.int32)
+    out += np.repeat((starts - (np.cumsum(counts) - counts)).astype(np.int32), counts)
+    return out
 
 
 @lru_cache(1)
