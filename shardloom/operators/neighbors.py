@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.operators.grouped import by_runs, if_few
+from shardloom.operators.independent import dominated
+from shardloom.operators.lattice import nearest as nearest_points
+from shardloom.sources.tables import cut
 
 #: Rows of a block, two of which meet in one task, at most, and at least where that gives all cores work; scores that a task holds at once.
 BLOCK, LEAST, SCORES = 32768, 1024, 1 << 23
@@ -80,19 +83,12 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", w
 
 def near_in_group(rows: DataFrame, k: int, group: str) -> DataFrame:
     """The k nearest others of each row among its group's rows (id, vec), by squared distance: (group, query, neighbour, score,
-    rank). A task holds a group and some rows of its scores; ``top_k(within=)`` cuts groups into blocks."""
+    rank). A group's points are put on a lattice in its task, see ``lattice.nearest``; ``top_k(within=)`` cuts groups into blocks."""
 
     def nearest(c: dict) -> dict:
-        x, n, found = _vectors(c["vec"]), len(c["id"]), []
-        step = max(1, SCORES // n)
-        for low in range(0, n, step):
-            some = x[low : low + step]
-            score = np.round(-sum((some[:, None, j] - x[None, :, j]) ** 2 for j in range(x.shape[1])), 6) + 0.0
-            score[np.arange(len(some)), np.arange(low, low + len(some))] = -np.inf
-            row, col, rank = _best(score, k)
-            found.append((row + low, col, score[row, col], rank + 1))
-        at, col, score, rank = (np.concatenate([f[i] for f in found]) for i in range(4))
-        return {group: c[group][at], "query": c["id"][at], "neighbour": c["id"][col], "score": score, "rank": rank}
+        x = _vectors(c["vec"])
+        row, col, away, rank = nearest_points(x, x, k, skip_own=True)
+        return {group: c[group][row], "query": c["id"][row], "neighbour": c["id"][col], "score": np.round(-away, 6) + 0.0, "rank": rank + 1}
 
     kinds = dict(rows.dtypes)
     schema = f"{group} {kinds[group]}, query {kinds['id']}, neighbour {kinds['id']}, score double, rank bigint"
@@ -129,39 +125,40 @@ def random_neighbours(rows: DataFrame, k: int, seed: int, group: str = "event_id
     return draws.select(group, F.col("pos").alias("query"), "slot", "neighbour")
 
 
+def _within(queries: DataFrame, rows: DataFrame, radius: float, group: list[str], keep: list[str] | None = None) -> DataFrame:
+    """(group, query, neighbour) of the rows nearer than ``radius`` to each query, and the columns ``keep`` of both, as q_ and n_."""
+    keep = keep or []
+    cell = lambda c: F.floor(F.col(c) / radius)
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    q = queries.select(*group, F.col("id").alias("query"), F.col("x").alias("qx"), F.col("y").alias("qy"), cell("x").alias("cx"), cell("y").alias("cy"), *[F.col(c).alias(f"q_{c}") for c in keep], near.alias("o"))
+    q = q.withColumn("cx", F.col("cx") + F.col("o.i")).withColumn("cy", F.col("cy") + F.col("o.j")).drop("o")
+    r = rows.select(*group, F.col("id").alias("neighbour"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"), *[F.col(c).alias(f"n_{c}") for c in keep])
+    dx, dy = (F.col("x") - F.col("qx")).cast("float"), (F.col("y") - F.col("qy")).cast("float")
+    found = q.join(r, [*group, "cx", "cy"]).where((dx * dx + dy * dy) < F.lit(radius * radius).cast("float"))
+    return found.select(*group, "query", "neighbour", *[f"{side}_{c}" for c in keep for side in "qn"])
+
+
 def ball(queries: DataFrame, rows: DataFrame, radius: float, group: list[str], most: int | None = None) -> DataFrame:
     """Rows nearer than ``radius`` (strictly, squared distances in float32) to each query, ``most`` of them by id: (group, query, neighbour, slot).
 
     Both sides have ``group``, ``id``, ``x`` and ``y``. The rows are put into cells of the radius' width and a query meets
     the nine cells around it, so only near rows are compared.
     """
-    cell = lambda c: F.floor(F.col(c) / radius)
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    q = queries.select(*group, F.col("id").alias("query"), F.col("x").alias("qx"), F.col("y").alias("qy"), cell("x").alias("cx"), cell("y").alias("cy"), near.alias("o"))
-    q = q.withColumn("cx", F.col("cx") + F.col("o.i")).withColumn("cy", F.col("cy") + F.col("o.j")).drop("o")
-    r = rows.select(*group, F.col("id").alias("neighbour"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    dx, dy = (F.col("x") - F.col("qx")).cast("float"), (F.col("y") - F.col("qy")).cast("float")
-    found = q.join(r, [*group, "cx", "cy"]).where((dx * dx + dy * dy) < F.lit(radius * radius).cast("float"))
+    found = _within(queries, rows, radius, group)
     found = found.withColumn("slot", F.row_number().over(Window.partitionBy(*group, "query").orderBy("neighbour")) - 1)
     return (found if most is None else found.where(F.col("slot") < most)).select(*group, "query", "neighbour", "slot")
 
 
-def _nearest2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distance of each point of x to the nearest of y, some rows of distances at a time."""
-    step = max(1, SCORES // max(1, len(y)))
-    return np.concatenate([((x[i : i + step, None, 0] - y[None, :, 0]) ** 2 + (x[i : i + step, None, 1] - y[None, :, 1]) ** 2).min(axis=1) for i in range(0, len(x), step)])
-
-
 def chamfer(a: DataFrame, b: DataFrame, group: str = "event_idx") -> DataFrame:
     """One row: mean over events of the sum of both mean squared distances to the nearest point of the other cloud. Of an event
-    that lacks one of both clouds the distance doesn't count. An event's points are compared in its task, no pairs are rows."""
+    that lacks one of both clouds the distance doesn't count. An event's points are in its task, on a lattice, no pairs are rows."""
 
     def both(c: dict) -> dict:
         xy = np.stack([c["x"], c["y"]], axis=1).astype(float)
         p, q = xy[c["__side"] == 0], xy[c["__side"] == 1]
         if not len(p) or not len(q):
             return {group: c[group][:0], "d": np.zeros(0)}
-        return {group: c[group][:1], "d": np.array([_nearest2(p, q).mean() + _nearest2(q, p).mean()])}
+        return {group: c[group][:1], "d": np.array([nearest_points(p, q, 1)[2].mean() + nearest_points(q, p, 1)[2].mean()])}
 
     side = lambda df, k: df.select(group, "x", "y", F.lit(k).alias("__side"))
     per = by_runs(side(a, 0).unionByName(side(b, 1)), group, ["__side"], both, f"{group} {dict(a.dtypes)[group]}, d double")
@@ -193,24 +190,17 @@ def farthest_points(points: DataFrame, k: int, group: str = "event_idx") -> Data
 def suppress(points: DataFrame, radius: float, group: str = "event_idx") -> DataFrame:
     """Non-maximum suppression by centrality: a point with the most others within ``radius`` is kept, those within it go, and so on.
 
-    Equal counts in the order of ids. Returns event, id, n_near (the point itself included) and kept. Sequential within an
-    event, whose points are in one task; that holds some rows of distances and no lists of neighbours.
+    Equal counts in the order of ids. Returns event, id, n_near (the point itself included) and kept. Points of all events are
+    decided in common rounds over the graph of near points (``independent.dominated``), so an event's points are in many tasks.
     """
-
-    limit = np.float32(radius * radius)
-
-    def greedy(c: dict) -> dict:
-        x, y, n = c["x"].astype(np.float32), c["y"].astype(np.float32), len(c["x"])
-        step, gone, kept = max(1, SCORES // n), np.zeros(n, bool), np.zeros(n, bool)
-        count = np.concatenate([((x[i : i + step, None] - x) ** 2 + (y[i : i + step, None] - y) ** 2 < limit).sum(axis=1) for i in range(0, n, step)])
-        for i in np.argsort(-count, kind="stable"):
-            if not gone[i]:
-                kept[i] = True
-                gone |= (x - x[i]) ** 2 + (y - y[i]) ** 2 < limit
-        return {group: c[group], "id": c["id"], "n_near": count, "kept": kept}
-
-    kinds = dict(points.dtypes)
-    return by_runs(points, group, ["id"], greedy, f"{group} {kinds[group]}, id {kinds['id']}, n_near bigint, kept boolean")
+    own = points.select(F.struct(F.col(group)).alias("g"), "id", "x", "y")  # a null event is an event
+    near = _within(own, own, radius, ["g"]).groupBy("g", F.col("query").alias("id")).agg(F.count(F.lit(1)).alias("near"))
+    counted = cut(own.join(near, ["g", "id"], "left").withColumn("near", F.coalesce("near", F.lit(0))))
+    first = (F.col("n_near") > F.col("q_near")) | ((F.col("n_near") == F.col("q_near")) & (F.col("neighbour") < F.col("query")))
+    edges = _within(counted, counted, radius, ["g"], ["near"]).where(first)
+    gone, _ = dominated(edges.select(F.struct("g", F.col("neighbour").alias("id")).alias("a"), F.struct("g", F.col("query").alias("id")).alias("b")))
+    gone = gone.select("node.g", "node.id", F.lit(True).alias("gone"))
+    return counted.join(gone, ["g", "id"], "left").select(F.col(f"g.{group}").alias(group), "id", F.col("near").alias("n_near"), F.col("gone").isNull().alias("kept"))
 
 
 def tokens(points: DataFrame, radius: float, most: int, group: str = "event_idx", reduce: str = "charge") -> DataFrame:

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.functions.expressions import contamination, has_instance
+from shardloom.functions.expressions import contamination, has_instance, md5_order
 from shardloom.operators import sampling
+from shardloom.operators.grouped import if_few
+from shardloom.sources.tables import cut
 
 #: Classes of pixel labels that the particle probe tells apart.
 PID_CLASSES = (1, 2, 3, 4, 5, 6)
@@ -55,45 +57,53 @@ def draw_pools(pixels: DataFrame, events: DataFrame, spec: PoolSpec, key: str =
 
     ``pixels``: event_idx, the key, and as far as known ``label``, ``energyfrac``, ``trackid`` and ``distance`` (to the vertex, null
     where there is none). Training and validation part by event. Training pools hold as many pixels of each class,
-    validation pools follow the natural shares, except those of the particle probe.
+    validation pools follow the natural shares, except those of the particle probe. All of these are drawn together, in two passes
+    over the pixels and without sorting them, see ``sampling.draws``; the pools that take some pixels of every event rank an event's pixels.
     """
     if "label" not in pixels.columns:
         spec.notes["all"] = "no labels of pixels"
         return pixels.select(F.lit("").alias("pool"), key).limit(0)
-    out: list[DataFrame] = []
-    add = lambda name, rows: out.append(rows.select(F.lit(name).alias("pool"), key))
-    rows = pixels.join(sampling.event_split(events, spec.seed, spec.train_frac), "event_idx")
-    train, val = rows.where("is_train"), rows.where("not is_train")
+    rows = pixels.join(if_few(sampling.event_split(events, spec.seed, spec.train_frac)), "event_idx", "left")
+    train, val = F.coalesce("is_train", F.lit(False)), F.coalesce(~F.col("is_train"), F.lit(False))
+    order, labelled = md5_order(spec.seed, F.col(key)), F.col("label") != 0
     known = F.col("label").isin(*PID_CLASSES)
-    add("pid_train", sampling.per_group(train.where(known), ["label"], spec.per_class, spec.seed, key))
-    add("pid_val", sampling.per_group(val.where(known), ["label"], spec.per_class, spec.seed + 1, key))
-    cap = spec.knn_max_per_image or sampling.image_cap(spec.knn_max_per_class, events.count())
-    add("knn_pool", sampling.quota_pool(pixels, spec.knn_max_per_class, cap, spec.seed, key))
-    add("event_sample", sampling.per_group(pixels, ["event_idx"], spec.event_max_per_event, spec.seed, key))
+    wanted = [
+        sampling.Draw("pid_train", spec.per_class, order, train & known, F.col("label")),
+        sampling.Draw("pid_val", spec.per_class, md5_order(spec.seed + 1, F.col(key)), val & known, F.col("label")),
+    ]
     if "energyfrac" in pixels.columns:
         share = contamination(F.col("label"), F.col("energyfrac"))
-        add("overlap_val", sampling.lowest(val.where("label <> 0"), spec.overlap_val_pixels, spec.seed, key))
-        for i, t in enumerate(spec.overlap_thresholds):
-            add(f"overlap_train_{i}", sampling.per_group(train.where("label <> 0").withColumn("over", share > t), ["over"], spec.overlap_train_per_class, spec.seed, key))
+        wanted.append(sampling.Draw("overlap_val", spec.overlap_val_pixels, order, val & labelled))
+        wanted += [sampling.Draw(f"overlap_train_{i}", spec.overlap_train_per_class, order, train & labelled, share > t) for i, t in enumerate(spec.overlap_thresholds)]
     else:
         spec.notes["overlap"] = "no energy fractions: contamination is unknown"
     if "trackid" in pixels.columns:
-        truth = pixels.where(has_instance(F.col("label"), F.col("trackid")))
-        queries = sampling.lowest(truth, spec.instance_max_queries, spec.seed, key)
-        add("instance_queries", queries)
-        add("instance_event_rows", truth.join(queries.select("event_idx").distinct(), "event_idx", "left_semi"))
+        wanted.append(sampling.Draw("instance_queries", spec.instance_max_queries, order, has_instance(F.col("label"), F.col("trackid"))))
     else:
         spec.notes["instance"] = "no track ids"
     if "distance" in pixels.columns:
-        add("vertex_val", sampling.lowest(val.where("distance is not null"), spec.vertex_val_pixels, spec.seed, key))
-        for i, r in enumerate(spec.vertex_radii_px):
-            near = train.where("distance is not null").withColumn("near", F.col("distance") <= r)
-            add(f"vertex_train_{i}", sampling.per_group(near, ["near"], spec.vertex_train_per_class, spec.seed, key))
+        away = F.col("distance")
+        wanted.append(sampling.Draw("vertex_val", spec.vertex_val_pixels, order, val & away.isNotNull()))
+        wanted += [sampling.Draw(f"vertex_train_{i}", spec.vertex_train_per_class, order, train & away.isNotNull(), away <= r) for i, r in enumerate(spec.vertex_radii_px)]
     else:
         spec.notes["vertex"] = "no distances to the vertex"
+    drawn = cut(sampling.draws(rows, wanted, [key]).select(F.col("draw").alias("pool"), key, "event_idx"))
+    out = [drawn.select("pool", key)]
+    add = lambda name, found: out.append(found.select(F.lit(name).alias("pool"), key))
+    cap = spec.knn_max_per_image or sampling.image_cap(spec.knn_max_per_class, events.count())
+    add("knn_pool", sampling.quota_pool(pixels, spec.knn_max_per_class, cap, spec.seed, key))
+    add("event_sample", sampling.per_event(pixels, ["event_idx"], spec.event_max_per_event, spec.seed, key))
+    if "trackid" in pixels.columns:
+        asked = if_few(drawn.where("pool = 'instance_queries'").select("event_idx").distinct())
+        add("instance_event_rows", pixels.where(has_instance(F.col("label"), F.col("trackid"))).join(asked, "event_idx", "left_semi"))
     return reduce(DataFrame.unionByName, out)
 
 
+def row_space(pools: DataFrame, key: str = "pixel_idx") -> DataFrame:
+    """(row_idx, key): the rows of all pools, numbered in order, but for the event sample's, which are only pooled by event."""
+    return sampling.row_space(pools.where("pool <> 'event_sample'"), key)
+
+
 def pool(pools: DataFrame, name: str) -> DataFrame:
     """The rows of a drawn pool; one that was not drawn is an error, not a reason to draw it."""
     found = pools.where(F.col("pool") == name)

@@ -2,19 +2,61 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.functions.expressions import md5_order
+from shardloom.operators.grouped import if_few
+from shardloom.sources.tables import cut
 
 #: Events that a class's pool should spread over.
 SPREAD = 200
+#: Leading hex digits of a digest by which draws are counted: 65,536 ranges.
+DIGITS = 4
+
+
+@dataclass
+class Draw:
+    """Of the rows with ``where``, the ``n`` that come first in the order of the hex digest ``order``, of each value of ``by`` if given."""
+
+    name: str
+    n: int
+    order: Column
+    where: Column | None = None
+    by: Column | None = None
+
+
+def draws(rows: DataFrame, wanted: list[Draw], keys: list[str]) -> DataFrame:
+    """The rows of all draws, with ``draw``, the draw's name; a row that several draws take comes as often. Equal digests go by ``keys``.
+
+    Rows are never sorted or ranked as a whole: one pass counts them by draw, group and range of digests, which says in which range a
+    group's n-th row lies; the next pass takes what is in lower ranges, and ranks only the rows of that range (of a group of N
+    rows about N / 65,536). So a draw of millions of rows, or a group that holds most rows, is no single task.
+    """
+    whole = F.lit("")
+    marks = F.array(*[F.when(F.lit(True) if d.where is None else d.where, F.struct(F.lit(i).alias("i"), (whole if d.by is None else F.coalesce(F.concat(F.lit("="), d.by.cast("string")), whole)).alias("g"), d.order.alias("h"))) for i, d in enumerate(wanted)])
+    marked = rows.select(F.struct("*").alias("row"), F.filter(marks, lambda m: m.isNotNull()).alias("marks"))
+    ranges = marked.select(F.explode("marks").alias("m")).groupBy("m.i", "m.g", F.substring("m.h", 1, DIGITS).alias("head")).agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("i", "g").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = F.element_at(F.array(*[F.lit(d.n).cast("long") for d in wanted]), F.col("i") + 1)
+    # the range in which a group's rows reach n, and how many of them are still to take in it; groups that don't have n rows have none
+    ends = ranges.withColumns({"before": before, "n": n}).where("before < n and before + c >= n").select("i", "g", "head", (F.col("n") - F.col("before")).alias("left"))
+    never = [i for i, d in enumerate(wanted) if d.n <= 0]
+    taken = marked.select("row", F.explode("marks").alias("m")).select("row", "m.*").where(~F.col("i").isin(never))
+    own = F.substring("h", 1, DIGITS)
+    taken = cut(taken.join(if_few(cut(ends)), ["i", "g"], "left").where(F.col("head").isNull() | (own <= F.col("head"))))
+    tied = taken.where(own == F.col("head"))
+    tied = tied.withColumn("r", F.row_number().over(Window.partitionBy("i", "g").orderBy("h", *[F.col(f"row.{k}") for k in keys]))).where("r <= left").drop("r")
+    found = taken.where(F.col("head").isNull() | (own < F.col("head"))).unionByName(tied)
+    name = F.element_at(F.array(*[F.lit(d.name) for d in wanted]), F.col("i") + 1)
+    return found.select(name.alias("draw"), "row.*")
 
 
 def lowest(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     """The ``n`` rows that come first in the seeded order; all when there are no more."""
-    cols = [F.col(k) for k in keys]
-    return rows.orderBy(md5_order(seed, *cols), *cols).limit(n)
+    return draws(rows, [Draw("", n, md5_order(seed, *map(F.col, keys)))], list(keys)).drop("draw")
 
 
 def event_split(events: DataFrame, seed: int, share: float, key: str = "event_idx") -> DataFrame:
@@ -29,7 +71,13 @@ def event_split(events: DataFrame, seed: int, share: float, key: str = "event_id
 
 
 def per_group(rows: DataFrame, group: list[str], n: int, seed: int, *keys: str) -> DataFrame:
-    """At most ``n`` rows of each group, in seeded order."""
+    """At most ``n`` rows of each group, in seeded order. For few groups of any size, such as classes; for events see ``per_event``."""
+    by = F.to_json(F.struct(*group)) if len(group) > 1 else F.col(group[0])
+    return draws(rows, [Draw("", n, md5_order(seed, *map(F.col, keys)), by=by)], list(keys)).drop("draw")
+
+
+def per_event(rows: DataFrame, group: list[str], n: int, seed: int, *keys: str) -> DataFrame:
+    """At most ``n`` rows of each of many small groups, in seeded order: a group's rows are ranked in one task."""
     cols = [F.col(k) for k in keys]
     ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(md5_order(seed, *cols), *cols)))
     return ranked.where(F.col("__r") <= n).drop("__r")
@@ -42,14 +90,20 @@ def image_cap(per_class: int, events: int) -> int:
 
 def quota_pool(rows: DataFrame, per_class: int, cap: int, seed: int, key: str, event: str = "event_idx", label: str = "label") -> DataFrame:
     """Events in seeded order give at most ``cap`` rows of each class until the class has ``per_class``. Label 0 is left out."""
-    capped = per_group(rows.where(F.col(label) > 0), [event, label], cap, seed, key)
-    order = Window.partitionBy(label).orderBy(md5_order(seed, F.col(event)), event, md5_order(seed, F.col(key)), key)
-    return capped.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= per_class).drop("__r")
+    capped = per_event(rows.where(F.col(label) > 0), [event, label], cap, seed, key)
+    order = F.concat(md5_order(seed, F.col(event)), md5_order(seed, F.col(key)))
+    return draws(capped, [Draw("", per_class, order, by=F.col(label))], [event, key]).drop("draw")
 
 
 def row_space(pools: DataFrame, key: str = "pixel_idx") -> DataFrame:
-    """(row_idx, key): the union of the pools' rows, numbered in order. A pool is a bounded sample."""
-    return pools.select(key).distinct().withColumn("row_idx", F.row_number().over(Window.orderBy(key)) - 1)
+    """(row_idx, key): the union of the pools' rows, numbered in order. Keys are dealt out by ranges, so that a task numbers a range."""
+    ranged = pools.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
+    ranged = cut(ranged.select(key, F.spark_partition_id().alias("__p")))
+    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1
+    rows = ranged.withColumn("__r", own).join(F.broadcast(sizes.withColumn("__b", before)), "__p")  # a row for each task
+    return rows.select((F.col("__b") + F.col("__r")).alias("row_idx"), key)
 
 
 def exact_shards(events: DataFrame, size: int, seed: int, key: str = "event_key") -> DataFrame:
@@ -115,7 +169,7 @@ def random_mask(rows: DataFrame, group: str, ratio: float, seed: int, key: str,
 
 def thin(rows: DataFrame, group: str, above: Column, most: int, seed: int, key: str) -> DataFrame:
     """Rows over a threshold, at most ``most`` of a group, numbered by ``slot`` in the order of the key."""
-    kept = per_group(rows.where(above), [group], most, seed, key)
+    kept = per_event(rows.where(above), [group], most, seed, key)
     return kept.withColumn("slot", F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1)
 
 

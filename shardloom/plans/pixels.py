@@ -217,7 +217,7 @@ def natural_pool(spark, d):
 
 @query(f"""WITH {PIXELS} SELECT event_idx, pixel_idx, line FROM (SELECT *, row_number() OVER (PARTITION BY event_idx ORDER BY md5('5:' || pixel_idx || ':' || line), pixel_idx, line) AS r FROM px) WHERE r <= 3""")
 def event_sample(spark, d):
-    return sampling.per_group(S.pixels(spark, d), ["event_idx"], 3, 5, "pixel_idx", "line").select("event_idx", "pixel_idx", "line")
+    return sampling.per_event(S.pixels(spark, d), ["event_idx"], 3, 5, "pixel_idx", "line").select("event_idx", "pixel_idx", "line")
 
 
 @query(f"""WITH {PIXELS}, c AS (SELECT *, row_number() OVER (PARTITION BY event_idx, label ORDER BY md5('9:' || pixel_idx), pixel_idx, line) AS r FROM px WHERE label > 0),
