@@ -36,7 +36,10 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
 def _parsed(line: Column, with_text: bool) -> Column:
     """A struct (n, leaf, line) of a line: its tokens, and hashes of its place in the tree and of its masked text; and the
     text itself, tokens with single blanks and fields masked. Most lines have single blanks and no digit already."""
-    plain = F.when(line.rlike(r"[\x09-\x0D]|  |^ | $"), F.array_join(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), " ")).otherwise(line)
+    odd = line.startswith(" ") | line.endswith(" ")
+    for blanks in ("  ", "\t", "\r", "\x0b", "\x0c"):  # cheaper than one pattern
+        odd |= line.contains(blanks)
+    plain = F.when(odd, F.array_join(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), " ")).otherwise(line)
     masked = lambda p: F.when(p.rlike("[0-9]"), F.regexp_replace(p, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)).otherwise(p)
     count = lambda m: F.when(m == "", 0).otherwise(F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1)
     hashes = lambda m, n: [F.xxhash64(n, F.substring_index(m, " ", DEPTH)).alias("leaf"), F.xxhash64(m).alias("line"), *([m.alias("masked")] if with_text else [])]
@@ -160,8 +163,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     lines, owner = every.where("not short"), F.struct("id", "rid", "pos")
     exact = stored(lines.groupBy("leaf", "line").agg(F.min(owner).alias("first"), F.max(F.struct("id", "rid")).alias("last")))
     mixed = exact.groupBy("leaf").count().where("count > 1").select("leaf")
-    shown = exact.join(mixed, "leaf", "left_semi").select("first.rid", "first.pos", "leaf", "line", "last")
-    tokens = _lines(docs, with_text=True).where(F.col("n") >= LEAST).join(_maybe_broadcast(cut(mixed)), "leaf", "left_semi").join(shown, ["rid", "pos", "leaf", "line"])
+    shown = stored(exact.join(mixed, "leaf", "left_semi").select("first.rid", "first.pos", "leaf", "line", "last"))
+    texts, holders = docs.select("doc_id", "text"), cut(shown.select("rid").distinct())
+    if holders.limit(SMALL + 1).count() <= SMALL:  # else all documents are parsed again, with the same result
+        texts = texts.join(F.broadcast(holders), F.xxhash64("doc_id", "text") == holders["rid"], "left_semi")
+    tokens = _lines(texts, with_text=True).where(F.col("n") >= LEAST).join(_maybe_broadcast(cut(mixed)), "leaf", "left_semi").join(shown, ["rid", "pos", "leaf", "line"])
     keys = F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))
     # a leaf's lines agree in the leading tokens, so only those after them are compared
     tokens = tokens.select("leaf", "line", "n", F.slice(keys, F.lit(DEPTH + 1), F.col("n") - DEPTH).alias("keys"), owner.alias("first"), "last")
