@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardloom.functions.expressions import norm, ratio
+from shardloom.functions.expressions import bind, norm, ratio
 from shardloom.operators.grouped import if_few
 from shardloom.sources.tables import cut
 
@@ -240,10 +240,13 @@ def class_separation(vectors: DataFrame) -> DataFrame:
     return within.crossJoin(between).select("within", "between", ratio(F.col("between"), F.col("within")).alias("separation"), F.col("c.first").alias("closest_a"), F.col("c.second").alias("closest_b"))
 
 
+def _sum(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+
+
 def _softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    peaked = bind(v, lambda a: bind(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top))))
+    return bind(peaked, lambda e: bind(_sum(e), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def distribution_loss(rows: DataFrame, group: str = "event_idx") -> DataFrame:
@@ -270,8 +273,7 @@ def sinkhorn(logits: DataFrame, temperature: float, rounds: int, row: str = "row
     kernel = F.transform(vec, lambda x: F.exp((x.cast("double") - peak["peak"]) / temperature))
     n, factors, mass = logits.count(), [1.0] * peak["cols"], kernel
     scaled = lambda f: F.zip_with(kernel, F.array(*map(F.lit, f)), lambda k, c: k * c)
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    shares = lambda f: F.transform(F.array(scaled(f)), lambda v: F.transform(v, lambda x: x / total(v)))[0]
+    shares = lambda f: bind(scaled(f), lambda v: bind(_sum(v), lambda total: F.transform(v, lambda x: x / total)))
     for _ in range(rounds):
         sums = logits.agg(vector_to_array(Summarizer.sum(array_to_vector(mass))).alias("s")).first()["s"]
         factors = [f / max(s, 1e-30) / len(sums) for f, s in zip(factors, sums, strict=True)]
@@ -323,10 +325,9 @@ def masked_norm(rows: DataFrame, value: str, group: list[str] | None = None, eps
 def row_norm(vec: Column, epsilon: float = 1e-5) -> Column:
     """A vector less its mean, over its population deviation: the normalisation of each row by itself; null stays null."""
     n = F.size(vec)
-    mean = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double")) / n
-    return F.transform(F.array(F.struct(vec.alias("v"), mean.alias("m"))), lambda s: _scaled(s, n, epsilon))[0]
 
+    def scaled(v: Column, mean: Column) -> Column:
+        var = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(x - mean, 2)) / n
+        return bind(F.sqrt(var + epsilon), lambda wide: F.transform(v, lambda x: (x - mean) / wide))
 
-def _scaled(s: Column, n: Column, epsilon: float) -> Column:
-    var = F.aggregate(s["v"], F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") - s["m"], 2)) / n
-    return F.transform(s["v"], lambda x: (x.cast("double") - s["m"]) / F.sqrt(var + epsilon))
+    return bind(F.transform(vec, lambda x: x.cast("double")), lambda v: bind(_sum(v) / n, lambda mean: scaled(v, mean)))

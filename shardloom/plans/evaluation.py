@@ -12,7 +12,7 @@ from shardloom.operators import collectors, metrics, neighbors, pools, probes, r
 from shardloom.plans import standins as S
 from shardloom.plans.more import _POINTS, _points
 from shardloom.plans.standins import EVENTS, FEATURES, LOG, PIXELS
-from shardloom.sources import evalset, tables
+from shardloom.sources import evalset, npz, tables
 from shardloom.sources.tables import cut, shared_dir
 
 QUERIES, ORACLE = {}, {}
@@ -211,6 +211,28 @@ def packed_source(spark, d):
     return tables.build(spark, "packed", root, events="event_idx < 100", extra=True)
 
 
+_TIERED = "event_idx, channel, tick, CAST(CAST(charge AS FLOAT) AS DOUBLE) AS charge, label AS pixel_labels, CAST(CAST(energyfrac AS FLOAT) AS DOUBLE) AS pixel_energyfrac, trackid AS pixel_trackid"
+
+
+def _packed(spark, d):
+    """The pixels and events of the tables, packed as npz."""
+    root = _scratch(spark, "npz")
+    npz.pack(S.events(spark, d), _tiered(spark, d).drop("shard"), root)
+    return root
+
+
+@query(f"WITH {PIXELS} SELECT {_TIERED} FROM px WHERE event_idx < 100 OR event_idx % 7 = 0")
+def npz_pixels(spark, d):
+    rows = npz.read(spark, _packed(spark, d), tiers="extra").where("event_idx < 100 OR event_idx % 7 = 0")
+    return rows.selectExpr("event_idx", "cast(channel AS long) AS channel", "cast(tick AS long) AS tick", "cast(charge AS double) AS charge", "cast(pixel_labels AS int) AS pixel_labels", "cast(pixel_energyfrac AS double) AS pixel_energyfrac", "cast(pixel_trackid AS long) AS pixel_trackid")
+
+
+@query(f"WITH {EVENTS}, {PIXELS}, c AS (SELECT event_idx, count(*) AS n FROM px GROUP BY 1) SELECT ev.event_idx, event_key, coalesce(n, 0) AS n, nu_pdg, nu_ccnc, CAST(CAST(nu_energy AS FLOAT) AS DOUBLE) AS nu_energy FROM ev LEFT JOIN c USING (event_idx) WHERE ev.event_idx BETWEEN 50 AND 5000")
+def npz_events(spark, d):
+    rows = npz.read(spark, _packed(spark, d), "events", events=(50, 5000))
+    return rows.selectExpr("event_idx", "event_key", "n", "nu_pdg", "nu_ccnc", "cast(nu_energy AS double) AS nu_energy")
+
+
 @query(f"WITH {PIXELS} SELECT event_idx % 8 AS shard, event_idx, channel, tick, charge, label AS pixel_labels FROM px WHERE event_idx % 8 IN (2, 5)")
 def sharded_source(spark, d):
     root = _scratch(spark, "sharded")

@@ -70,14 +70,14 @@ def random_neighbours(spark, d):
     return neighbors.random_neighbours(rows, 2, 7)
 
 
-@query(f"""WITH {FEATURES}, z AS (SELECT id, label, unnest(vec[1:6]) * 4 AS t, unnest(vec[7:12]) * 2 AS s, generate_subscripts(vec[1:6], 1) AS p FROM ft), m AS (SELECT id, max(t) AS mt, max(s) AS ms FROM z GROUP BY 1),
+@query(f"""WITH {FEATURES}, z AS (SELECT id, label, unnest(vec) * 4 AS t, unnest(list_reverse(vec)) * 2 AS s, generate_subscripts(vec, 1) AS p FROM ft), m AS (SELECT id, max(t) AS mt, max(s) AS ms FROM z GROUP BY 1),
 e AS (SELECT z.id, z.label, exp(t - mt) AS et, s - ms AS ds, exp(s - ms) AS es FROM z JOIN m USING (id)), n AS (SELECT id, sum(et) AS zt, sum(es) AS zs FROM e GROUP BY 1),
 r AS (SELECT e.id, any_value(e.label) AS label, -sum(et / zt * (ds - ln(zs))) AS loss, -sum(et / zt * ln(et / zt)) AS te FROM e JOIN n USING (id) GROUP BY 1)
 SELECT round((SELECT avg(x) FROM (SELECT avg(loss) AS x FROM r GROUP BY id % 50)), 8) AS loss, round((SELECT avg(x) FROM (SELECT avg(te) AS x FROM r GROUP BY id % 50)), 8) AS teacher_entropy,
  round((SELECT avg(x) FROM (SELECT avg(loss - te) AS x FROM r GROUP BY id % 50)), 8) AS kl, round((SELECT avg(x) FROM (SELECT avg(loss) AS x FROM r WHERE label < 5 GROUP BY id % 50)), 8) AS loss_masked""")
 def distribution_loss(spark, d):
-    part = lambda a, k: F.transform(F.slice("vec", a, 6), lambda x: x.cast("double") * k)
-    rows = S.features(spark, d).select((F.col("id") % 50).alias("event_idx"), (F.col("label") < 5).alias("is_masked"), part(7, 2.0).alias("student"), part(1, 4.0).alias("teacher"))
+    times = lambda v, k: F.transform(v, lambda x: x.cast("double") * k)
+    rows = S.features(spark, d).select((F.col("id") % 50).alias("event_idx"), (F.col("label") < 5).alias("is_masked"), times(F.reverse("vec"), 2.0).alias("student"), times("vec", 4.0).alias("teacher"))
     out = metrics.distribution_loss(rows)
     return out.select(*[F.round(c, 8).alias(c) for c in ("loss", "teacher_entropy", "kl", "loss_masked")])
 

@@ -173,12 +173,11 @@ def distill_loss(spark, d):
     return metrics.two_stage_mean(rows, 1 - X.cosine(F.col("vec"), F.col("other")), "e").select(F.round("mean", 9).alias("mean"))
 
 
-@query(f"""WITH {FEATURES}, ex AS (SELECT id, unnest(vec[1:8]) AS v, generate_subscripts(vec[1:8], 1) AS p FROM ft) SELECT round(avg(greatest(1 - sqrt(var + 1e-4), 0)), 9) AS var_penalty, (SELECT round(sum(c * c) / 8, 9) FROM (SELECT covar_samp(a.v, b.v) AS c FROM ex a JOIN ex b ON a.id = b.id AND a.p <> b.p GROUP BY a.p, b.p)) AS cov_penalty FROM (SELECT p, var_samp(v) AS var FROM ex GROUP BY 1)""")
+@query(f"""WITH {FEATURES}, ex AS (SELECT id, unnest(vec) AS v, generate_subscripts(vec, 1) AS p FROM ft) SELECT round(avg(greatest(1 - sqrt(var + 1e-4), 0)), 9) AS var_penalty, (SELECT round(sum(c * c) / 64, 9) FROM (SELECT covar_samp(a.v, b.v) AS c FROM ex a JOIN ex b ON a.id = b.id AND a.p <> b.p GROUP BY a.p, b.p)) AS cov_penalty FROM (SELECT p, var_samp(v) AS var FROM ex GROUP BY 1)""")
 def spread_penalties(spark, d):
-    rows = S.features(spark, d).select("id", F.slice("vec", 1, 8).alias("vec"))
-    cov = metrics.covariance(rows)
+    cov = metrics.covariance(S.features(spark, d).select("id", "vec"))
     var = F.avg(F.when(F.col("i") == F.col("j"), F.greatest(1 - F.sqrt(F.col("cov") + 1e-4), F.lit(0.0))))
-    off = F.sum(F.when(F.col("i") != F.col("j"), 2 * F.col("cov") * F.col("cov")).otherwise(0.0)) / 8
+    off = F.sum(F.when(F.col("i") != F.col("j"), 2 * F.col("cov") * F.col("cov")).otherwise(0.0)) / 64
     return cov.agg(F.round(var, 9).alias("var_penalty"), F.round(off, 9).alias("cov_penalty"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,15 +151,28 @@ class FeatureStore:
         return row
 
     def load(self, source: str, taps: str, pixels: DataFrame, events: DataFrame) -> DataFrame:
-        """Features with the truth of their pixels and events; taps joined by ``+`` are put side by side. A row without a pixel is an error."""
+        """Features with the truth of their pixels and events; taps joined by ``+`` are put side by side. A row without a pixel is an
+        error, and so are taps that don't have the same rows."""
         first, *rest = taps.split("+")
         rows = self.features(source, first)
         for tap in rest:
-            rows = rows.join(self.features(source, tap).withColumnRenamed("vec", "__more"), "row_idx").withColumn("vec", F.concat("vec", "__more")).drop("__more")
+            rows = rows.join(self.features(source, tap).withColumnRenamed("vec", "__more"), "row_idx", "full")
+            lost = F.raise_error(F.concat(F.lit(f"taps {taps} of {source} don't have the same rows; row "), F.col("row_idx").cast("string"), F.lit(" is not in all of them")))
+            both = F.col("vec").isNotNull() & F.col("__more").isNotNull()
+            rows = rows.select("row_idx", F.when(both, F.concat("vec", "__more")).otherwise(lost.cast("array<float>")).alias("vec"))
         joined = rows.join(self.table("row_space"), "row_idx", "left").join(pixels, "pixel_idx", "left").join(events, "event_idx", "left")
         return joined.where(F.when(F.col("event_idx").isNotNull(), True).otherwise(F.raise_error(F.lit("a feature row has no pixel")).cast("boolean")))
 
 
+def partition_values(spark: SparkSession, path: str, column: str) -> set[str]:
+    """The values of a table's first partition column: names of folders, no data is read."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    names = [f.getPath().getName() for f in found]
+    return {unquote(n.removeprefix(f"{column}=")) for n in names if n.startswith(f"{column}=")}
+
+
 def read_direct(spark: SparkSession, path: str, groups: list[str] | None = None, events: str | None = None, **tiers: bool) -> DataFrame:
     """Pixels of a folder with a table per tier (``pixels``, ``truth``, ``extra``, ``rich``), joined by event_idx, channel and tick
     for the asked tiers only. ``groups``: only these values of a partition column ``group``, which the scan prunes; asking for one
@@ -170,7 +184,7 @@ def read_direct(spark: SparkSession, path: str, groups: list[str] | None = None,
         return df if events is None else df.where(events)
 
     rows = table("pixels")
-    if groups is not None and (missing := sorted(set(groups) - {r[0] for r in rows.select(F.col("group").cast("string")).distinct().collect()})):
+    if groups is not None and (missing := sorted(set(groups) - partition_values(spark, f"{path}/pixels", "group"))):
         raise ValueError(f"{path} has no groups {missing}")
     keys = ["event_idx", "channel", "tick"]
     for name, columns, asked in (("truth", PIXEL, True), ("extra", EXTRA, tiers.get("extra") or tiers.get("rich")), ("rich", RICH, tiers.get("rich"))):
@@ -192,7 +206,7 @@ def read_sharded(spark: SparkSession, path: str, shards: list[int] | None = None
         raise ValueError(f"{path} lacks {', '.join(missing)}; write it with these tiers")
     if shards is not None:
         df = df.where(F.col("shard").isin(shards))
-        if lost := sorted(set(shards) - {r[0] for r in df.select("shard").distinct().collect()}):
+        if lost := sorted(set(shards) - {int(s) for s in partition_values(spark, path, "shard")}):
             raise ValueError(f"{path} has no shards {lost}")
     df = df if events is None else df.where(events)
     return df.select("shard", "event_idx", "channel", "tick", "charge", *tier_columns(**tiers))

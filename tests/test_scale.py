@@ -146,3 +146,41 @@ def test_pools_at_their_default_sizes_rank_no_class(spark):
     assert space.count() == drawn.where("pool <> 'event_sample'").select("pixel_idx").distinct().count()
     got = space.orderBy("pixel_idx").collect()
     assert [r["row_idx"] for r in got] == [*range(len(got))]
+
+
+def test_softmax_of_many_prototypes_is_linear(spark):
+    from shardloom.operators import metrics
+
+    began = time.time()
+    rows = spark.range(10_000).select((F.col("id") % 50).alias("event_idx"), (F.col("id") % 2 == 0).alias("is_masked"), F.transform(F.sequence(F.lit(1), F.lit(1024)), lambda i: F.sin(i * F.col("id"))).alias("student"))
+    got = metrics.distribution_loss(rows.withColumn("teacher", F.transform("student", lambda x: 2 * x))).first()
+    assert time.time() - began < 60
+    x = np.sin(np.arange(1, 1025) * np.arange(10_000)[:, None])
+    soft = lambda v: np.exp(v) / np.exp(v).sum(axis=1, keepdims=True)
+    loss = -(soft(2 * x) * np.log(soft(x))).sum(axis=1)
+    assert got["loss"] == pytest.approx(np.mean([loss[i::50].mean() for i in range(50)]), rel=1e-9)
+    spread = rows.select(metrics.row_norm(F.col("student")).alias("v")).agg(F.max(F.abs(F.aggregate("v", F.lit(0.0), lambda a, v: a + v))).alias("m")).first()["m"]
+    assert spread < 1e-6
+
+
+def test_taps_of_unequal_rows_are_refused(spark, tmp_path):
+    from shardloom.sources import tables
+
+    store = tables.FeatureStore(spark, str(tmp_path))
+    rows = spark.range(10).selectExpr("id AS row_idx", "array(cast(id AS double)) AS vec")
+    store.write_features(rows, "student", "a")
+    store.write_features(rows, "student", "b")
+    store.write_features(rows.where("row_idx < 7"), "student", "c")
+    store.write_table("row_space", rows.selectExpr("row_idx", "row_idx AS pixel_idx"))
+    pixels, events = rows.selectExpr("row_idx AS pixel_idx", "row_idx AS event_idx"), rows.selectExpr("row_idx AS event_idx")
+    assert {tuple(r["vec"]) for r in store.load("student", "a+b", pixels, events).collect()} == {(float(i), float(i)) for i in range(10)}
+    for taps in ("a+c", "c+a"):
+        with pytest.raises(Exception, match="don't have the same rows"):
+            store.load("student", taps, pixels, events).collect()
+
+
+def test_partition_values_are_folders(spark, tmp_path):
+    from shardloom.sources import tables
+
+    spark.range(6).selectExpr("id", "concat('a b/', id % 2) AS group").write.partitionBy("group").parquet(str(tmp_path / "t"))
+    assert tables.partition_values(spark, str(tmp_path / "t"), "group") == {"a b/0", "a b/1"}
