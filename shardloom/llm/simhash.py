@@ -120,7 +120,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, most: int = 2048) -> Data
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """Per row of ``docs``: its id, ``fp`` and ``component_id``, the smallest id reachable over links of ``radius`` bits or fewer.
+    """Per row of ``docs``: its id, ``fp``, ``component_id``, the smallest id reachable over links of ``radius`` bits or fewer, and
+    ``root``, the component's smallest fingerprint, which names it where no id does.
 
     Rows link by fingerprint only: equal ids don't link. Texts that are null or have no word have fingerprint 0 and
     link like any other. A row with a null id has the smallest known id of its component, null if there is none.
@@ -130,15 +131,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fps = cut(own.groupBy("fp").agg(F.min("id").alias("least")))
     label = connected_components(fingerprint_links(fps, radius)).withColumnRenamed("node", "fp")
     member = cut(label.join(fps, "fp"))
-    linked = by_key(member, cut(member.groupBy("root").agg(F.min("least").alias("of_all"))), "root").select("fp", "of_all")
-    component = cut(fps.join(linked, "fp", "left").select("fp", F.coalesce("of_all", "least").alias("component_id")))
-    return own.join(component, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    linked = by_key(member, cut(member.groupBy("root").agg(F.min("least").alias("of_all"))), "root").select("fp", "of_all", "root")
+    component = cut(fps.join(linked, "fp", "left").select("fp", F.coalesce("of_all", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    return own.join(component, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "root")
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest ``doc_id`` stays.
 
-    Of a component without any id, one row for each fingerprint stays. Of rows that repeat the id that stays, one
+    Of a component without any id the row with the smallest fingerprint stays, of several that with the smallest hash of its text. Of rows that repeat the id that stays, one
     stays. Texts that are null or have no word are near-duplicates of each other. Columns are those of ``docs``, whatever
     their names. An empty table gives no rows.
     """
@@ -151,7 +152,8 @@ def keep_one_of_each(docs: DataFrame, radius: int = 4) -> DataFrame:
         kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
     nameless = docs.where("doc_id is null")
     if not nameless.isEmpty():
-        known = found.where("component_id is not null").select(F.col("fp").alias("__fp")).distinct()
-        nameless = nameless.withColumn("__fp", fingerprint_udf("text")).dropDuplicates(["__fp"]).join(known, "__fp", "left_anti")
-        kept = kept.unionByName(nameless.select(*docs.columns))
+        alone = found.where("doc_id is null and component_id is null").select("fp", "root").distinct()
+        rows = nameless.select(F.struct("*").alias("row"), fingerprint_udf("text").alias("fp"), F.xxhash64("text").alias("hash")).join(alone, "fp")
+        rows = rows.groupBy("root").agg(F.min_by("row", F.struct("fp", "hash")).alias("row"))
+        kept = kept.unionByName(rows.select("row.*"))
     return kept.select(*docs.columns)

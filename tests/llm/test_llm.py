@@ -136,6 +136,25 @@ def slow_components(rows):
     return Counter((r["doc_id"], f"{f:016x}", least.get(c)) for r, f, c in zip(rows, fps, own, strict=True)), own
 
 
+def test_near_duplicates_without_ids_leave_one(spark):
+    rng = random.Random(12)
+    words = prose(rng, 400).split()
+    texts, seen = [" ".join(words)], {simhash.fingerprint(" ".join(words))}
+    while len(texts) < 4:  # near copies with other fingerprints
+        other = list(words)
+        other[rng.randrange(400)] = "other"
+        fp = simhash.fingerprint(" ".join(other))
+        if fp not in seen and min((fp ^ f).bit_count() for f in seen) <= 4:
+            seen.add(fp)
+            texts.append(" ".join(other))
+    rows = [(None, t, "en", "a", 1) for t in texts + texts[:2]] + [(None, prose(rng, 300), "en", "a", 1), (7, prose(rng, 300), "en", "a", 1)]
+    rows += [(None, rows[-1][1], "en", "a", 1), (None, None, "en", "a", 1), (None, "", "en", "a", 1)]
+    got = [r["text"] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len([t for t in got if t in texts]) == 1 and len(got) == 4
+    again = [r["text"] for r in simhash.keep_one_of_each(spark.createDataFrame(rows[::-1], SCHEMA)).collect()]
+    assert sorted(got, key=str) == sorted(again, key=str)
+
+
 def test_simhash_components(spark, docs):
     clash = docs.withColumns({"fp": F.lit("x"), "component_id": F.lit(1), "key": F.lit(2)})
     got = simhash.simhash_components(clash).collect()
