@@ -12,8 +12,9 @@ from shardloom.operators import collectors, metrics, neighbors, pools, probes, r
 from shardloom.plans import standins as S
 from shardloom.plans.more import _POINTS, _points
 from shardloom.plans.standins import EVENTS, FEATURES, LOG, PIXELS
-from shardloom.sources import evalset, npz, tables
+from shardloom.sources import evalset, logstream, npz, tables
 from shardloom.sources.tables import cut, shared_dir
+from shardloom.streaming import dumps
 
 QUERIES, ORACLE = {}, {}
 
@@ -254,6 +255,39 @@ def log_columns(spark, d):
     return tables.log_schema(tables.read_log(spark, path))
 
 
+@query(f"WITH {LOG} SELECT key, count(*) AS n, CAST(sum(step) AS BIGINT) AS steps, round(sum(value), 4) AS total FROM lg GROUP BY 1")
+def log_stream(spark, d):
+    """The log as a stream by byte offsets, into a table."""
+    path, sink = _scratch(spark, "log"), _scratch(spark, "sink")
+    tables.write_log(S.log(spark, d).select("step", "key", "value"), path)
+    rows = logstream.read_stream(spark, path).select(F.variant_get("rec", "$.key", "string").alias("key"), F.variant_get("rec", "$.step", "bigint").alias("step"), F.variant_get("rec", "$.value", "double").alias("value"))
+    rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("step").alias("steps"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"WITH {LOG} SELECT key, count(*) AS n, max(step) AS last FROM lg WHERE step < 700 GROUP BY 1")
+def resumed_log(spark, d):
+    """The log that a run goes on with when it resumes at a step."""
+    path, to = _scratch(spark, "log"), _scratch(spark, "resumed")
+    tables.write_log(S.log(spark, d).select("step", "key", "value"), path)
+    logstream.resume(spark, path, to, 700)
+    rows = logstream.read(spark, to).select(F.variant_get("rec", "$.key", "string").alias("key"), F.variant_get("rec", "$.step", "bigint").alias("step"))
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("step").alias("last"))
+
+
+@query("""WITH s AS (SELECT label AS step, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, row_number() OVER (PARTITION BY label ORDER BY md5('3:' || label || ':' || vec_id), vec_id) AS r FROM embeddings),
+ex AS (SELECT step, unnest(e) AS v, generate_subscripts(e, 1) AS p FROM s WHERE r <= 40), t AS (SELECT step, sum(v) AS trace FROM (SELECT step, p, var_samp(v) AS v FROM ex GROUP BY 1, 2) GROUP BY 1)
+SELECT step, count(*) AS n, round(any_value(trace), 6) AS trace, round(covar_samp(e[1], e[2]), 6) AS first FROM s JOIN t USING (step) WHERE r <= 40 GROUP BY 1""")
+def array_dump(spark, d):
+    """Covariances of a stream's steps, dumped by batch."""
+    root = _scratch(spark, "arrays")
+    rows = spark.readStream.schema(S.table(spark, d, "embeddings").schema).parquet(f"{d}/embedding[s].parquet")
+    rows = rows.select(F.col("label").alias("step"), F.lit("features").alias("name"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    dumps.dump(rows, root, f"{root}-checkpoint", most=40, seed=3, sample=False).awaitTermination()
+    trace = F.aggregate(F.sequence(F.lit(0), F.size("cov") - 1), F.lit(0.0), lambda a, i: a + F.get(F.get("cov", i), i))
+    return dumps.read(spark, root).select("step", "n", F.round(trace, 6).alias("trace"), F.round(F.col("cov")[0][1], 6).alias("first"))
+
+
 @query(f"""WITH {FEATURES} SELECT id AS row_idx, label, len(vec) + 2 AS dims, round(vec[1], 5) AS first, CAST(1.5 AS DOUBLE) AS last FROM ft WHERE id % 2 = 0""")
 def feature_store(spark, d):
     store, rows = tables.FeatureStore(spark, _scratch(spark, "store")), S.features(spark, d).where("id % 2 = 0")
