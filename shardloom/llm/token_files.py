@@ -27,7 +27,7 @@ GROUP_BYTES, PAGE_ROWS, PAGE_BYTES = 8 << 20, 64, 1 << 16
 #: Characters of text in a shard at about.
 SHARD_CHARS = 64 << 20
 #: Units of text of which a Python worker keeps the ids; characters of text encoded at once (or one longer text).
-CACHED, AT_ONCE = 800_000, 1 << 22
+CACHED, AT_ONCE = 1_600_000, 1 << 22
 #: White space before a blank, in RE2.
 BLANK_AFTER_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\pZ] "
 SCHEMA = "doc_id {kind}, shard int, at long, n_tokens long, ids array<int>"
@@ -52,41 +52,46 @@ class Encoder:
         self.n_bytes = np.zeros(1 + max(self.tokenizer.get_vocab().values()), np.int64)
         for token, i in self.tokenizer.get_vocab().items():  # a character of a byte-level token stands for a byte
             self.n_bytes[i] = len(added[i].content.encode()) if i in added else len(token)
+        # the same merges without the pattern, for what is one word; its characters stand for their own bytes, and Ġ for a blank
+        self.merges = Tokenizer.from_str(vocabulary)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         # the known parts, how many ids each has, its ids one after the other, and the batch that used it last
         self.parts, self.counts, self.ids, self.used, self.batch = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), 0
 
     def _each(self, units: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts, and ids one after the other, of parts that have a blank before them and don't end in white space."""
-        counts, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    def _joined(self, parts: list[str], tokenizer, between: str) -> list[bytes]:
+        """Ids of parts that are encoded as one text, in which ``between`` stands before the first and between all."""
+        out: list[bytes] = []
         for k in range(0, len(parts), 1 << 15):
             some = parts[k : k + (1 << 15)]
-            ids = self._each([" " + " ".join(some)])[0]
+            ids = np.array(tokenizer.encode_batch_fast([between[-1] + between.join(some)], add_special_tokens=False)[0].ids, np.int32)
             ends = np.cumsum([1 + len(p) if p.isascii() else 1 + len(p.encode()) for p in some])
-            counts.append(np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1, prepend=0))
-            out.append(ids)
-        return np.concatenate(counts), np.concatenate(out)
-
-    def _learn(self, parts: list[str]) -> np.ndarray:
-        """Adds parts to the table; gives the place of each among the added ones."""
+            bounds, raw = [0, *(4 * (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1)).tolist()], ids.tobytes()
+            out += [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        return out
+
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that have a blank before them and don't end in white space. A part of plain letters is one word with its blank, so
+        only its merges are left to do; of the others the vocabulary's pattern finds the words."""
+        words = [p.isascii() and p.isalpha() for p in parts]
+        found = iter(self._joined([p for p, w in zip(parts, words, strict=True) if w], self.merges, "\nĠ"))
+        other = iter(self._joined([p for p, w in zip(parts, words, strict=True) if not w], self.tokenizer, " "))
+        return [next(found if w else other) for w in words]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Adds parts to the table."""
         import pyarrow as pa
 
-        odd = [p for p in parts if not p[-1:].strip()]  # those that end in white space, or are a text's last blank
-        plain = [p for p in parts if p[-1:].strip()] if odd else parts
-        counts, ids = self._of_parts(plain)
-        rest = self._each([" " + p for p in odd])
-        self.parts = pa.concat_arrays([self.parts, pa.array(plain + odd, pa.large_string())])
-        self.counts = np.concatenate([self.counts, counts, np.array([len(x) for x in rest], np.int64)])
-        self.ids = np.concatenate([self.ids, ids, *rest])
+        odd = [not p[-1:].strip() for p in parts]  # those that end in white space, or are a text's last blank
+        plain = iter(self._of_parts([p for p, o in zip(parts, odd, strict=True) if not o]))
+        rest = iter(self._each([" " + p for p, o in zip(parts, odd, strict=True) if o]))
+        new = [next(rest).tobytes() if o else next(plain) for o in odd]
+        self.parts = pa.concat_arrays([self.parts, pa.array(parts, pa.large_string())])
+        self.counts = np.concatenate([self.counts, np.array([*map(len, new)], np.int64) // 4])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(new), np.int32)])
         self.used = np.concatenate([self.used, np.zeros(len(parts), np.int64)])
-        if not odd:
-            return np.arange(len(parts))
-        last = np.array([not p[-1:].strip() for p in parts])
-        order = np.empty(len(parts), np.int64)
-        order[np.concatenate([np.flatnonzero(~last), np.flatnonzero(last)])] = np.arange(len(parts))
-        return order
 
     def _forget(self) -> None:
         """Keeps three quarters of a full table, what was used last."""
@@ -121,9 +126,9 @@ class Encoder:
         new = later.filter(pc.is_null(at)).dictionary_encode()
         unknown, at = at.is_null().to_numpy(zero_copy_only=False), at.fill_null(0).to_numpy()
         if len(new):
-            order = self._learn(new.dictionary.to_pylist())
-            at = np.where(unknown, 0, at)
-            at[unknown] = had + order[new.indices.to_numpy()]
+            self._learn(new.dictionary.to_pylist())
+            at = at.copy()
+            at[unknown] = had + new.indices.to_numpy()
         self.used[at] = self.batch
         heads, n = self._each(flat.take(pa.array(first)).to_pylist()), len(self.counts)
         ids = np.concatenate([self.ids, *heads, tail])
