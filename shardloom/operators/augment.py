@@ -56,9 +56,26 @@ def split_masked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(~F.col("masked")).drop("masked"), rows.where("masked").drop("masked")
 
 
+#: Pairs of rows and centres that are compared at once.
+PAIRS = 1 << 22
+
+
+def first_near(x: np.ndarray, y: np.ndarray, order: np.ndarray, k: int, half_x: int, half_y: int) -> np.ndarray:
+    """Whether each point is in the block around one of the first ``k`` points of ``order``; some centres at a time, for the points not yet in one."""
+    near, step, at = np.zeros(len(x), bool), max(1, PAIRS // max(1, len(x))), 0
+    while at < k:
+        left, some = np.flatnonzero(~near), order[at : min(k, at + step)]
+        near[left] = ((np.abs(x[left, None] - x[some]) <= half_x) & (np.abs(y[left, None] - y[some]) <= half_y)).any(axis=1)
+        at += step
+    return near
+
+
 def block_mask(rows: DataFrame, half_x: int, half_y: int, ratio: float, seed: int, group: str = "event_idx", batch: str = "batch") -> DataFrame:
-    """``rows`` (batch, event, id, x, y) with ``masked``: rows within a block around one of K seeded centres. K comes from the
-    share that one block covers, followed over the events of a batch as a moving mean, which is why a batch is one group."""
+    """``rows`` (batch, event, id, x, y) with ``masked``: rows within a block around one of the event's first K rows in seeded order. K comes
+    from the share that one block covers, followed over the events of a batch as a moving mean, which is why a batch is one
+    group. Of an event that would be masked whole the last row of the order stays."""
+
+    names = rows.columns
 
     def mask(c: dict) -> dict:
         share, out = None, np.zeros(len(c["id"]), bool)
@@ -70,19 +87,17 @@ def block_mask(rows: DataFrame, half_x: int, half_y: int, ratio: float, seed: in
             k = min(math.ceil(math.log(1 - ratio) / math.log(1 - p)), n - 1)
             if k <= 0:
                 continue
-            order = np.random.default_rng([seed, int(c[group][a])]).permutation(n)
-            near = (np.abs(x[:, None] - x[order[:k]]) <= half_x) & (np.abs(y[:, None] - y[order[:k]]) <= half_y)
-            masked = near.any(axis=1)
+            masked = first_near(x, y, np.arange(n), k, half_x, half_y)  # rows come in seeded order
             if masked.all():
-                masked[order[-1]] = False
+                masked[-1] = False
             if 0 < masked.mean() < 1:
                 seen = 1 - (1 - masked.mean()) ** (1 / k)
                 share = seen if share is None else 0.9 * share + 0.1 * seen
             out[a:b] = masked
-        return {**c, "masked": out}
+        return {n: c[n] for n in names} | {"masked": out}
 
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", masked boolean"
-    return by_runs(rows, batch, [group, "id"], mask, schema)
+    return by_runs(rows.withColumn("__h", md5_order(seed, F.col(group), F.col("id"))), batch, [group, "__h", "id"], mask, schema)
 
 
 def blur_matrix(n: int, sigma: float) -> np.ndarray:

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardloom.operators import mlp
 from shardloom.operators.metrics import binary_scores, class_scores, confusion, macro_scores
 from shardloom.sources.tables import cut
 
-#: Cost of the linear head; hidden width of the other one; steps of a fit; training rows of a task at least.
-COST, HIDDEN, ROUNDS, A_TASK = 1.0, 128, 100, 5_000
+#: Cost of the linear head; steps of its fit; training rows of a task at least.
+COST, ROUNDS, A_TASK = 1.0, 100, 5_000
 
 
 def standardised(train: DataFrame, *others: DataFrame, vec: str = "vec") -> list[DataFrame]:
@@ -50,11 +51,7 @@ def svm_predictions(train: DataFrame, other: DataFrame) -> DataFrame:
 
 def mlp_predictions(train: DataFrame, other: DataFrame, classes: int, seed: int) -> DataFrame:
     """``other`` with ``predicted`` and ``probability`` (array) of a head with one hidden layer, a fixed number of rounds and no early stop."""
-    data, _ = _fitted(train)
-    dims = data.select(F.size(vector_to_array("features"))).first()[0]
-    model = MultilayerPerceptronClassifier(layers=[dims, HIDDEN, classes], maxIter=ROUNDS, seed=seed).fit(data)
-    out = model.transform(_ready(other)).withColumn("predicted", F.col("prediction").cast("int"))
-    return out.withColumn("probability", vector_to_array("probability")).select(*other.columns, "predicted", "probability")
+    return mlp.predictions(mlp.fit(train, classes, seed), other)
 
 
 def heads(train: DataFrame, other: DataFrame, classes: int, seed: int) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shardloom.functions import expressions as X
-from shardloom.operators import collectors, metrics, neighbors, pools, probes, relational, report, sampling, series, vertices
+from shardloom.operators import collectors, extract, metrics, neighbors, pools, probes, relational, report, sampling, series, vertices
 from shardloom.plans import standins as S
 from shardloom.plans.more import _POINTS, _points
 from shardloom.plans.standins import EVENTS, FEATURES, LOG, PIXELS
@@ -288,6 +288,30 @@ def array_dump(spark, d):
     return dumps.read(spark, root).select("step", "n", F.round(trace, 6).alias("trace"), F.round(F.col("cov")[0][1], 6).alias("first"))
 
 
+def _backbone():
+    """A fixed linear model of whole numbers."""
+    import numpy as np
+
+    weights = np.arange(64)[:, None] * np.array([1, 3]) % 5 - 2
+
+    def run(x):
+        out = np.floor(x * 256) @ weights
+        return {"out": out, "size": np.abs(np.floor(x * 256)).sum(axis=1, keepdims=True)}
+
+    return run
+
+
+@query(f"""WITH {FEATURES}, w AS (SELECT id, list_transform(vec, lambda x: floor(256 * x)) AS v FROM ft) SELECT id AS row_idx, CAST(list_sum(list_transform(v, lambda x, i: x * ((i - 1) % 5 - 2))) AS BIGINT) AS a,
+CAST(list_sum(list_transform(v, lambda x, i: x * ((i - 1) * 3 % 5 - 2))) AS BIGINT) AS b, CAST(list_sum(list_transform(v, lambda x: abs(x))) AS BIGINT) AS size FROM w""")
+def extracted_features(spark, d):
+    """Two taps of a model, written in blocks by a run that stops and one that goes on."""
+    store, rows = tables.FeatureStore(spark, _scratch(spark, "extracted")), S.features(spark, d).select(F.col("id").alias("row_idx"), F.col("vec").alias("x"))
+    for part in (rows.where("row_idx < 200"), rows):
+        extract.extract(store, part, _backbone, "student", ["out", "size"], block=100)
+    out = store.features("student", "out").join(store.features("student", "size").withColumnRenamed("vec", "size"), "row_idx")
+    return out.select("row_idx", F.col("vec")[0].cast("long").alias("a"), F.col("vec")[1].cast("long").alias("b"), F.col("size")[0].cast("long").alias("size"))
+
+
 @query(f"""WITH {FEATURES} SELECT id AS row_idx, label, len(vec) + 2 AS dims, round(vec[1], 5) AS first, CAST(1.5 AS DOUBLE) AS last FROM ft WHERE id % 2 = 0""")
 def feature_store(spark, d):
     store, rows = tables.FeatureStore(spark, _scratch(spark, "store")), S.features(spark, d).where("id % 2 = 0")

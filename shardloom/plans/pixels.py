@@ -312,10 +312,22 @@ def crop_box(spark, d):
     return S.pixels(spark, d).join(box, "event_idx").where(inside).select("event_idx", "pixel_idx")
 
 
-@query()
+# A row's block of the least rank is found once; then only shares, counts and K go from event to event of a batch.
+@query(f"""WITH RECURSIVE {PIXELS}, q AS (SELECT event_idx, pixel_idx AS id, min(channel) AS x, min(tick) AS y FROM px GROUP BY 1, 2),
+o AS (SELECT *, event_idx % 64 AS batch, row_number() OVER (PARTITION BY event_idx ORDER BY md5('1:' || event_idx || ':' || id), id) AS r, count(*) OVER (PARTITION BY event_idx) AS n FROM q),
+m AS (SELECT a.event_idx, a.id, a.r, a.n, a.batch, min(b.r) AS least FROM o a JOIN o b ON a.event_idx = b.event_idx AND abs(a.x - b.x) <= 200 AND abs(a.y - b.y) <= 20 GROUP BY 1, 2, 3, 4, 5),
+ks AS (SELECT event_idx, k, count(*) FILTER (WHERE least <= k) AS masked, count(*) AS n FROM m, (SELECT unnest(range(1, 20)) AS k) WHERE k < n GROUP BY 1, 2),
+ev AS (SELECT event_idx, batch, max(n) AS n, row_number() OVER (PARTITION BY batch ORDER BY event_idx) AS pos FROM o GROUP BY 1, 2),
+w(batch, pos, share, event_idx, k) AS (SELECT DISTINCT batch, CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT), CAST(0 AS BIGINT) FROM ev UNION ALL
+ SELECT batch, pos, CASE WHEN seen IS NULL THEN share WHEN share IS NULL THEN seen ELSE 0.9 * share + 0.1 * seen END, event_idx, k FROM (
+  SELECT s.*, CASE WHEN s.k > 0 AND ks.masked > 0 THEN 1 - power(1 - least(ks.masked, ks.n - 1) / ks.n::DOUBLE, 1 / s.k::DOUBLE) END AS seen FROM (
+   SELECT ev.batch, ev.pos, w.share, ev.event_idx, least(CAST(ceil(ln(0.5::DOUBLE) / ln(1 - greatest(1e-6::DOUBLE, least(coalesce(w.share, least(401 * 41, ev.n) / ev.n::DOUBLE), 1 - 1e-6::DOUBLE)))) AS BIGINT), ev.n - 1) AS k
+   FROM w JOIN ev ON ev.batch = w.batch AND ev.pos = w.pos + 1) s LEFT JOIN ks ON ks.event_idx = s.event_idx AND ks.k = s.k)),
+c AS (SELECT event_idx, k FROM w WHERE event_idx IS NOT NULL), f AS (SELECT m.*, k, least <= k AS near, bool_and(least <= k) OVER (PARTITION BY event_idx) AS every FROM m JOIN c USING (event_idx))
+SELECT event_idx % 64 AS batch, event_idx, id, k > 0 AND near AND NOT (every AND r = n) AS masked FROM f""")
 def block_mask(spark, d):
-    rows = S.pixels(spark, d).selectExpr("event_idx % 64 AS batch", "event_idx", "pixel_idx AS id", "channel AS x", "tick AS y")
-    return augment.block_mask(rows, 200, 20, 0.5, 1)
+    rows = S.pixels(spark, d).groupBy("event_idx", F.col("pixel_idx").alias("id")).agg(F.min("channel").alias("x"), F.min("tick").alias("y"))
+    return augment.block_mask(rows.withColumn("batch", F.col("event_idx") % 64), 200, 20, 0.5, 1).select("batch", "event_idx", "id", "masked")
 
 
 @query()

@@ -127,6 +127,20 @@ class FeatureStore:
         rows = df.select("row_idx", F.col("vec").cast("array<float>").alias("vec"), F.lit(source).alias("source"), F.lit(tap).alias("tap"), F.lit(block).alias("block"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "tap", "block").parquet(f"{self.root}/features")
 
+    def write_blocks(self, df: DataFrame, source: str) -> None:
+        """``df``: row_idx, vec, tap, block; several blocks in one job, each of which is there as a whole or not at all."""
+        rows = df.select("row_idx", F.col("vec").cast("array<float>").alias("vec"), F.lit(source).alias("source"), "tap", "block")
+        rows.repartition("tap", "block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "tap", "block").parquet(f"{self.root}/features")
+
+    def blocks(self, source: str, tap: str) -> set[int]:
+        """The blocks of a tap that are there: names of folders, no data is read."""
+        try:
+            return {int(b) for b in partition_values(self.spark, f"{self.root}/features/source={source}/tap={tap}", "block")}
+        except Exception as e:
+            if "FileNotFoundException" not in str(e):
+                raise
+            return set()
+
     def features(self, source: str, tap: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/features").where((F.col("source") == source) & (F.col("tap") == tap)).select("row_idx", "vec")
 
