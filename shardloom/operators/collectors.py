@@ -48,13 +48,18 @@ def register(name: str):
 
 
 def load_plugins(group: str = "shardloom.collectors") -> list[str]:
-    """Registers the collectors that installed packages offer as entry points of ``group``; returns their names. A name that is
-    known already for another class is an error."""
+    """Registers the collectors that installed packages offer as entry points of ``group``; returns their names. One that can't be loaded is
+    left out with a warning. A name that is known already for another class is an error."""
+    import warnings
     from importlib.metadata import entry_points
 
     names = []
     for point in entry_points(group=group):
-        kind = point.load()
+        try:
+            kind = point.load()
+        except Exception as e:  # noqa: BLE001 - one broken package doesn't take the others with it
+            warnings.warn(f"collector {point.name!r} can't be loaded: {type(e).__name__}: {e}", stacklevel=2)
+            continue
         if _KNOWN.get(point.name, kind) is not kind:
             raise ValueError(f"two collectors are called {point.name!r}")
         _KNOWN[point.name] = kind
@@ -69,6 +74,16 @@ def build(config: dict[str, dict]) -> dict[str, Collector]:
     return {name: _KNOWN[name](**settings) for name, settings in config.items()}
 
 
+def step_rows(log: DataFrame, epoch_length: int) -> DataFrame:
+    """Rows of STEP from a log's lines (JSON objects with ``step``): one for each number in a record, with the epoch that the step is of
+    and whether it is its last. Records without a step, and values that are no numbers, give none."""
+    values = F.from_json("line", "map<string, string>")
+    rows = log.select(F.get_json_object("line", "$.step").try_cast("long").alias("step"), F.explode(values).alias("key", "text")).where("step is not null and key <> 'step'")
+    rows = rows.withColumn("value", F.col("text").try_cast("double")).where("value is not null")
+    rows = rows.select("step", F.floor(F.col("step") / epoch_length).alias("epoch"), ((F.col("step") + 1) % epoch_length == 0).alias("end_of_epoch"), "key", "value")
+    return rows.to(T.StructType([T.StructField(f.name, f.dataType) for f in STEP]))
+
+
 def collect(rows: DataFrame, collectors: dict[str, Collector], step: str = "step") -> DataFrame:
     """(step, key, value) of the collectors due at each step; keys are ``<collector>/<key>``. One with unmet needs gives nothing."""
     own = {n: c for n, c in collectors.items() if not c.unmet(rows.columns)}

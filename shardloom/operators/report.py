@@ -201,8 +201,31 @@ def result_files(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 
 def file_digest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of a file, or of the files of a folder, of any size: a task reads a file in blocks. Files are dealt out one by one."""
+
+    def digest(batches):
+        import hashlib
+        import re
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        for part in batches:
+            found = []
+            for p in part["path"]:
+                local = re.match("file:/+(.*)", p)
+                system, own = (fs.LocalFileSystem(), f"/{local[1]}") if local else fs.FileSystem.from_uri(quote(p, safe=":/"))
+                sums = hashlib.sha256()
+                with system.open_input_stream(own) as f:
+                    while block := f.read(1 << 23):
+                        sums.update(block)
+                found.append(sums.hexdigest())
+            yield part.assign(sha256=found)
+
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)  # with the empty ones, which a scan leaves out
+    names = [(f.getPath().toString(),) for f in listed if f.isFile()]
+    return spark.createDataFrame(names, "path string").repartition(F.col("path")).mapInPandas(digest, "path string, sha256 string")
 
 
 def uniform_chance(classes: Column) -> Column:
@@ -247,9 +270,30 @@ def environment(spark: SparkSession) -> dict[str, str]:
             "pyarrow": pyarrow.__version__, "master": sc.master, "application": sc.applicationId, "parallelism": str(sc.defaultParallelism)}
 
 
-def run_metadata(spark: SparkSession, config: dict, args: list[str], derived: dict | None = None, module: str = "") -> DataFrame:
-    """(section, key, value): what a run was started with, its environment and what follows from both."""
-    parts = {"config": flatten(config), "launch": {"args": " ".join(args), "module": module}, "environment": environment(spark), "derived": flatten(derived or {})}
+def repository(folder: str = ".") -> dict[str, str]:
+    """Commit, branch and state of the repository that a run was started in; without one, what GIT_SHA, GIT_BRANCH and GIT_DIRTY (0 or 1) say, as
+    a job sees that was sent there without its repository; without these, nothing."""
+    import os
+    import subprocess
+
+    def said(*args: str) -> str | None:
+        try:
+            return subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True, timeout=30, check=True).stdout.strip()
+        except (OSError, subprocess.SubprocessError):
+            return None
+
+    sha = said("rev-parse", "HEAD")
+    if sha:
+        return {"sha": sha, "branch": said("rev-parse", "--abbrev-ref", "HEAD") or "", "dirty": str(bool(said("status", "--porcelain"))).lower()}
+    if not os.environ.get("GIT_SHA"):
+        return {}
+    dirty = {"0": "false", "1": "true"}.get(os.environ.get("GIT_DIRTY", ""), "unknown")
+    return {"sha": os.environ["GIT_SHA"], "branch": os.environ.get("GIT_BRANCH", ""), "dirty": dirty}
+
+
+def run_metadata(spark: SparkSession, config: dict, args: list[str], derived: dict | None = None, module: str = "", folder: str = ".", data: dict | None = None) -> DataFrame:
+    """(section, key, value): what a run was started with, on which data and code, its environment and what follows from them."""
+    parts = {"git": repository(folder), "data": flatten(data or {}), "config": flatten(config), "launch": {"args": " ".join(args), "module": module}, "environment": environment(spark), "derived": flatten(derived or {})}
     return spark.createDataFrame([(name, k, str(v)) for name, values in parts.items() for k, v in values.items()], "section string, key string, value string")
 
 

@@ -73,3 +73,12 @@ def silent(runs: DataFrame, series: DataFrame, key: str = "run") -> DataFrame:
 def summary(records: DataFrame, by: list[str], step: str, size: Column) -> DataFrame:
     """Per stream: records, bytes, first and last step."""
     return records.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.min(step).alias("first_step"), F.max(step).alias("last_step"))
+
+
+def applied(schedule: DataFrame, groups: DataFrame) -> DataFrame:
+    """(step, key, value) of what schedules (step, key, value) come to for parameter groups (name, key, scale): the scheduled value, and
+    ``<key>/<name>`` with the scaled value of each named group whose scale is not 1; a null scale is 1."""
+    scaled = groups.where("name is not null and scale <> 1").select("key", "name", "scale")
+    own = schedule.join(F.broadcast(scaled), "key")  # groups are a model's, some at most
+    own = own.select("step", F.concat("key", F.lit("/"), "name").alias("key"), (F.col("value") * F.col("scale")).alias("value"))
+    return schedule.select("step", "key", "value").unionByName(own)

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shardloom.functions import expressions as X
-from shardloom.operators import collectors, extract, metrics, neighbors, pools, probes, relational, report, sampling, series, vertices
+from shardloom.operators import collectors, extract, metrics, neighbors, pools, probes, relational, report, sampling, series, settings, vertices
 from shardloom.plans import standins as S
 from shardloom.plans.more import _POINTS, _points
 from shardloom.plans.standins import EVENTS, FEATURES, LOG, PIXELS
@@ -288,6 +288,24 @@ def array_dump(spark, d):
     return dumps.read(spark, root).select("step", "n", F.round(trace, 6).alias("trace"), F.round(F.col("cov")[0][1], 6).alias("first"))
 
 
+@query("""WITH s AS (SELECT event_id AS step, k AS key, event_id * CAST(0.001 AS DOUBLE) AS value FROM events, (VALUES ('lr'), ('weight_decay')) v(k)), g AS (SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'lr' ELSE 'weight_decay' END AS key, n_regionkey * CAST(0.5 AS DOUBLE) AS scale FROM nation)
+SELECT step, key, round(value, 6) AS value FROM s UNION ALL SELECT step, s.key || '/' || name, round(value * scale, 6) FROM s JOIN g ON s.key = g.key AND scale <> 1""")
+def scaled_schedules(spark, d):
+    steps = S.table(spark, d, "events").select(F.col("event_id").alias("step"), F.explode(F.array(F.lit("lr"), F.lit("weight_decay"))).alias("key")).withColumn("value", F.col("step") * F.lit(0.001))
+    groups = S.table(spark, d, "nation").selectExpr("n_name AS name", "IF(n_nationkey % 2 = 0, 'lr', 'weight_decay') AS key", "n_regionkey * 0.5d AS scale")
+    return series.applied(steps, groups).withColumn("value", F.round("value", 6))
+
+
+@query("""WITH s AS (SELECT 'r' || p_partkey % 500 AS run, CASE p_size % 3 WHEN 0 THEN 'loader' WHEN 1 THEN 'schedule' ELSE 'nowhere' END AS section, CASE p_partkey % 4 WHEN 0 THEN 'size' WHEN 1 THEN 'total' WHEN 2 THEN 'base' ELSE 'odd' END AS key, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR) END AS value FROM part),
+k(section, key, kind, required) AS (VALUES ('loader', 'size', 'long', TRUE), ('schedule', 'base', 'double', TRUE), ('schedule', 'total', 'long', TRUE)),
+w AS (SELECT s.run, s.section, s.key, CASE WHEN s.section = 'nowhere' THEN 'unknown section' WHEN k.key IS NULL THEN 'unknown key' WHEN (kind = 'long' AND NOT regexp_full_match(value, '[+-]?[0-9]+')) OR (kind = 'double' AND TRY_CAST(value AS DOUBLE) IS NULL) THEN 'not a ' || kind END AS problem FROM s LEFT JOIN k ON k.section = s.section AND k.key = s.key)
+SELECT * FROM w WHERE problem IS NOT NULL UNION ALL SELECT b.run, b.section, k.key, 'missing' FROM (SELECT DISTINCT run, section FROM s) b JOIN k ON k.section = b.section WHERE required AND NOT EXISTS (SELECT 1 FROM s WHERE s.run = b.run AND s.section = b.section AND s.key = k.key)""")
+def settings_violations(spark, d):
+    settings.register_framework()
+    rows = S.table(spark, d, "part").selectExpr("concat('r', p_partkey % 500) AS run", "CASE p_size % 3 WHEN 0 THEN 'loader' WHEN 1 THEN 'schedule' ELSE 'nowhere' END AS section", "CASE p_partkey % 4 WHEN 0 THEN 'size' WHEN 1 THEN 'total' WHEN 2 THEN 'base' ELSE 'odd' END AS key", "IF(p_partkey % 5 = 0, p_brand, cast(p_size AS string)) AS value")
+    return settings.violations(rows, settings.schema(spark))
+
+
 def _backbone():
     """A fixed linear model of whole numbers."""
     import numpy as np

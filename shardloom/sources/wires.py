@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +29,20 @@ def read_wires(spark: SparkSession, path: str) -> DataFrame:
     end = lambda name: points.select(F.col("Point_id").alias(name), F.struct("x", "y", "z").alias(f"{name}_at"))
     rows = rows.join(wires, "Wire_id").join(end("head"), "head").join(end("tail"), "tail")
     return rows.select("anode", "face", "plane", "seg_pos", "channel", F.col("head_at").alias("head"), F.col("tail_at").alias("tail"))
+
+
+def cached_wires(spark: SparkSession, path: str, cache: str) -> DataFrame:
+    """``read_wires``, from a table that is written once below ``cache``: its name has the store's size and time, so that a store that
+    changed is read anew. Of several jobs that write it at once one does; a half-written table is not taken, as it lacks its mark."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    store = jvm.org.apache.hadoop.fs.Path(path)
+    status = store.getFileSystem(conf).getFileStatus(store)
+    table = f"{cache}/{store.getName()}-{status.getLen()}-{status.getModificationTime()}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{table}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        aside = f"{table}-{uuid.uuid4().hex}"
+        read_wires(spark, path).write.parquet(aside)
+        system, to = done.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path(table)
+        if system.exists(to) or not system.rename(jvm.org.apache.hadoop.fs.Path(aside), to):
+            system.delete(jvm.org.apache.hadoop.fs.Path(aside), True)
+    return spark.read.parquet(table)
