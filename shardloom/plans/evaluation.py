@@ -130,6 +130,22 @@ def collate_batches(spark, d):
     )
 
 
+@query(f"""WITH {EVENTS}, {PIXELS}, e AS (SELECT *, event_idx // 16 AS batch_id, row_number() OVER (PARTITION BY event_idx // 16 ORDER BY event_idx) AS k FROM ev), p AS (SELECT e.batch_id, e.k, count(*) AS n, CAST(sum(px.label * r) AS BIGINT) AS s FROM
+ (SELECT *, row_number() OVER (PARTITION BY event_idx ORDER BY channel, tick, charge, label) AS r FROM px) px JOIN e USING (event_idx) GROUP BY 1, 2),
+q AS (SELECT batch_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(s * k) AS BIGINT) AS s FROM p GROUP BY 1)
+SELECT e.batch_id, CAST(sum(nu_pdg * k) AS BIGINT) AS pdg_sum, round(sum(CAST(CAST(nu_energy AS FLOAT) AS DOUBLE) * k), 2) AS energy_sum, CAST(count(*) AS INTEGER) AS n_keys, coalesce(any_value(q.n), 0) AS n_pixels, coalesce(any_value(q.s), 0) AS label_sum FROM e LEFT JOIN q USING (batch_id) GROUP BY 1""")
+def collate_truth(spark, d):
+    ev = S.events(spark, d).select("event_idx", "event_key", "nu_pdg", "nu_energy", F.floor(F.col("event_idx") / 16).alias("batch_id"))
+    rows = evalset.collated_meta(ev, S.pixels(spark, d).select("event_idx", "channel", "tick", "charge", F.col("label").alias("pixel_labels")))
+    placed = lambda v, zero: F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(zero).cast("double" if isinstance(zero, float) else "long"), lambda a, x: a + x)
+    labels = F.transform("pixel_labels", lambda v: placed(F.transform(v, lambda x: x.cast("long")), 0))
+    energies = F.transform("nu_energy", lambda x: x.cast("double"))
+    return rows.select(
+        "batch_id", placed("nu_pdg", 0).alias("pdg_sum"), F.round(placed(energies, 0.0), 2).alias("energy_sum"), F.size("event_key").alias("n_keys"),
+        F.size(F.flatten("pixel_labels")).cast("long").alias("n_pixels"), placed(labels, 0).alias("label_sum"),
+    )
+
+
 @query(f"""WITH {PIXELS}, o AS (SELECT event_idx, count(*) AS found FROM (SELECT DISTINCT event_idx, channel // 4 AS x, tick // 4 AS y FROM px WHERE label <> 2) GROUP BY 1), s AS (SELECT event_idx, count(*) AS expected FROM (SELECT DISTINCT event_idx, channel // 4 AS x, tick // 4 AS y FROM px) GROUP BY 1)
 SELECT event_idx, coalesce(found, 0) AS found, expected FROM s LEFT JOIN o USING (event_idx) WHERE coalesce(found, 0) <> expected""")
 def misaligned_counts(spark, d):

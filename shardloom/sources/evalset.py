@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardloom.operators.metrics import key_digest
+from shardloom.sources.tables import PIXEL_TYPES
 
 
 def first_events(events: DataFrame, pixels: DataFrame, most: int, order: str = "event_key") -> tuple[DataFrame, DataFrame]:
@@ -116,6 +117,36 @@ def collated(events: DataFrame, pixels: DataFrame, batch: str = "batch_id", orde
     return rows.select(batch, "event_idx", "event_key", "offsets", coords.alias("coords"), F.col("px.charge").alias("charge"), *[F.col(f"px.{c}").alias(c) for c in extra])
 
 
+# An event's truth by how it is stacked.
+EVENT_STACKS = {"label": "bigint", "nu_pdg": "bigint", "nu_ccnc": "bigint", "nu_intType": "bigint", "nu_energy": "float", "vertex_xyz": "array<float>", "event_key": "string"}
+
+
+def collated_meta(events: DataFrame, pixels: DataFrame | None = None, batch: str = "batch_id", order: str = "event_idx") -> DataFrame:
+    """One row per batch of events with the truth that is there, event by event in order, each column in its type: whole numbers,
+    energies as floats, vertices as vectors, keys; the columns of truth tiers of ``pixels`` as a list for each event, its pixels in
+    the order of their coordinates as in ``collated``; and every other array column of ``events``, an event's table, as a list of lists.
+
+    A column that neither side has is not in the result, so a reader asks for a name, not for a flag. Events without pixels have empty
+    lists. Without pixels, or with none of their truth, there are no lists of theirs.
+    """
+    own = {c: k for c, k in EVENT_STACKS.items() if c in events.columns}
+    tables = {f.name: f.dataType.simpleString() for f in events.schema if f.name not in (*own, batch, order) and f.dataType.typeName() == "array"}
+    tiers = {c: k for c, k in PIXEL_TYPES.items() if pixels is not None and c in pixels.columns}
+    rows = events.select(batch, F.col("event_idx").alias("__event"), F.col(order).alias("__order"), *[F.col(c).cast(k).alias(c) for c, k in {**own, **tables}.items()])
+    if tiers:
+        lists = pixels.groupBy(F.col("event_idx").alias("__event")).agg(F.array_sort(F.collect_list(F.struct("channel", "tick", "charge", *[F.col(c).cast(k).alias(c) for c, k in tiers.items()]))).alias("__px"))
+        rows = rows.join(lists, "__event", "left").select(*rows.columns, *[F.coalesce(F.col(f"__px.{c}"), F.array().cast(f"array<{k}>")).alias(c) for c, k in tiers.items()])
+    names = [*own, *tables, *tiers]
+    rows = rows.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("__order", "__event", F.struct(*names).alias("v") if names else F.lit(0).alias("v"))), lambda a, b: _by_place(a, b)).alias("e"))
+    stack = lambda c: F.transform("e", lambda x: x["v"][c]).alias(c)
+    return rows.select(batch, *map(stack, names))
+
+
+def _by_place(a, b):
+    """Two events of a batch by their order, then their number: what else they have need not be comparable."""
+    return F.when(a["__order"] < b["__order"], -1).when(a["__order"] > b["__order"], 1).when(a["__event"] < b["__event"], -1).when(a["__event"] > b["__event"], 1).otherwise(0)
+
+
 def require_batches(batches: DataFrame) -> DataFrame:
     """``batches`` (offsets, coords, charge); one whose lists disagree in length or whose offsets don't run from 0 to it is an error."""
     n = F.size("coords")

@@ -98,3 +98,17 @@ def test_settings_against_their_schemas(spark):
         ("b", "loader", "seed", "not a long"), ("b", "loader", "size", "missing"), ("c", "odd", "x", "unknown section"),
     ]
     assert settings.violations(spark.createDataFrame(rows[:0], "run string, section string, key string, value string"), settings.schema(spark)).count() == 0
+
+
+def test_typed_collation(spark):
+    from shardloom.sources import evalset
+
+    events = spark.createDataFrame([(2, "k2", 14, 2.5, [1.0, 2.0, 3.0], [7, 8], 0), (1, "k1", -12, 0.1, None, [], 0), (5, "k5", None, 1.0, [0.0, 0.0, 0.0], [9], 1)], "event_idx int, event_key string, nu_pdg int, nu_energy double, vertex_xyz array<double>, t_pdg array<int>, batch_id int")
+    pixels = spark.createDataFrame([(2, 9, 1, 1.0, 3, 0.5), (2, 4, 1, 1.0, 1, 0.25), (1, 1, 1, 1.0, 2, None), (7, 1, 1, 1.0, 2, 1.0)], "event_idx int, channel int, tick int, charge double, pixel_labels int, pixel_energyfrac double")
+    got = {r["batch_id"]: r for r in evalset.collated_meta(events, pixels).collect()}
+    kinds = dict(evalset.collated_meta(events, pixels).dtypes)
+    assert kinds["nu_pdg"] == "array<bigint>" and kinds["nu_energy"] == "array<float>" and kinds["vertex_xyz"] == "array<array<float>>" and kinds["pixel_labels"] == "array<array<tinyint>>" and kinds["t_pdg"] == "array<array<int>>"
+    assert got[0]["event_key"] == ["k1", "k2"] and got[0]["nu_pdg"] == [-12, 14] and got[0]["vertex_xyz"] == [None, [1.0, 2.0, 3.0]] and got[0]["t_pdg"] == [[], [7, 8]]
+    assert got[0]["pixel_labels"] == [[2], [1, 3]] and got[0]["pixel_energyfrac"] == [[None], [0.25, 0.5]] and got[1]["pixel_labels"] == [[]] and got[1]["nu_pdg"] == [None]
+    assert evalset.collated_meta(events.select("event_idx", "batch_id"), pixels.select("event_idx", "channel", "tick", "charge")).columns == ["batch_id"]
+    assert evalset.collated_meta(events.limit(0), pixels).count() == 0
