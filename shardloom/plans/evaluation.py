@@ -71,6 +71,45 @@ def draw_pools(spark, d):
     return pools.draw_pools(_truth(spark, d), S.events(spark, d), spec, "row")
 
 
+@query(
+    f"""WITH {EVENTS}, {PIXELS}, t AS (SELECT event_idx, label, pixel_idx * 10 + line AS row FROM px), sp AS (SELECT event_idx, row_number() OVER (ORDER BY md5('7:' || event_idx), event_idx) <= floor(0.8 * count(*) OVER ()) AS is_train FROM ev)
+SELECT row FROM ({_ranked("pid_val", "(SELECT * FROM t JOIN sp USING (event_idx) WHERE NOT is_train AND label > 0)", "label", 50, 8)})"""
+)
+def drawn_pool(spark, d):
+    """One pool of those that were drawn."""
+    return pools.pool(draw_pools(spark, d), "pid_val")
+
+
+@query("""WITH f AS (SELECT p_partkey AS id, p_brand || '/' || p_partkey || '_pixeldata-anode0.h5' AS path FROM part) SELECT id, replace(path, '_pixeldata-anode0.h5', '_metadata.h5') AS metadata, replace(path, '_pixeldata-anode0.h5', '_trackid_pid_map.h5') AS particles FROM f""")
+def companion_paths(spark, d):
+    files = S.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_brand", F.lit("/"), "p_partkey", F.lit("_pixeldata-anode0.h5")).alias("path"))
+    return files.select("id", tables.companion(F.col("path")).alias("metadata"), tables.companion(F.col("path"), kind="trackid_pid_map").alias("particles"))
+
+
+@query("""WITH g AS (SELECT p_size, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand || p_partkey ELSE CAST(p_partkey AS VARCHAR) END AS name FROM part)
+SELECT p_size, name, row_number() OVER (PARTITION BY p_size ORDER BY coalesce(TRY_CAST(name AS INTEGER), 1073741824), name) AS place FROM g""")
+def ordered_groups(spark, d):
+    """Groups of a file in the order in which they are read."""
+    rows = S.table(spark, d, "part").select("p_size", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", "p_partkey")).otherwise(F.col("p_partkey").cast("string")).alias("name"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("p_size").orderBy(*tables.group_order(F.col("name")))).cast("long"))
+
+
+@query(f"WITH {PIXELS} SELECT event_idx, 1 / count(DISTINCT nullif(label, 0))::DOUBLE AS chance FROM px GROUP BY 1 HAVING count(DISTINCT nullif(label, 0)) > 0 UNION ALL SELECT event_idx, NULL FROM px GROUP BY 1 HAVING count(DISTINCT nullif(label, 0)) = 0")
+def chance_levels(spark, d):
+    """The accuracy of guessing among an event's classes."""
+    classes = F.collect_set(F.when(F.col("label") > 0, F.col("label")))
+    return S.pixels(spark, d).groupBy("event_idx").agg(classes.alias("c")).select("event_idx", report.uniform_chance(F.col("c")).alias("chance"))
+
+
+@query(f"WITH {FEATURES} SELECT DISTINCT CASE WHEN label % 2 = 0 THEN 'student' ELSE 'teacher' END AS source, 'block' || label % 3 AS tap FROM ft")
+def available_taps(spark, d):
+    store, rows = tables.FeatureStore(spark, _scratch(spark, "taps")), S.features(spark, d)
+    for source, k in (("student", 0), ("teacher", 1)):
+        own = rows.where(F.col("label") % 2 == k).select(F.col("id").alias("row_idx"), "vec", F.concat(F.lit("block"), F.col("label") % 3).alias("tap"), F.lit(0).alias("block"))
+        store.write_blocks(own, source)
+    return store.available()
+
+
 def _samples(spark, d):
     """Feature rows with a class and a number, in two halves."""
     rows = S.features(spark, d).withColumn("class", F.col("label") % 3).withColumn("number", (F.col("label") / 10.0) + F.col("vec")[0].cast("double") * 0)
