@@ -100,53 +100,67 @@ def block_mask(rows: DataFrame, half_x: int, half_y: int, ratio: float, seed: in
     return by_runs(rows.withColumn("__h", md5_order(seed, F.col(group), F.col("id"))), batch, [group, "__h", "id"], mask, schema)
 
 
-def blur_matrix(n: int, sigma: float) -> np.ndarray:
-    """Gaussian blur of n values, reflected at the ends, as a matrix."""
+def kernel(sigma: float) -> list[tuple[int, float]]:
+    """(shift, share of the kernel up to it) of the Gaussian by which activity is blurred."""
     reach = max(1, int(3 * sigma))
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    period, out = max(1, 2 * n - 2), np.zeros((n, n))
-    for shift, weight in zip(range(-reach, reach + 1), kernel / kernel.sum(), strict=True):
-        at = (np.arange(n) + shift) % period
-        np.add.at(out, (np.arange(n), np.minimum(at, period - at) if n > 1 else at * 0), weight)
+    weight = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-reach, reach + 1)]
+    total, out = 0.0, []
+    for i, w in zip(range(-reach, reach + 1), weight, strict=True):
+        total += w
+        out.append((i, total / sum(weight)))
     return out
 
 
 def crops(rows: DataFrame, width: int, height: int, n: int, scale: tuple[float, float], aspect: tuple[float, float], least: int, seed: int, sigma: float = 2.0, attempts: int = 50, group: str = "event_idx") -> DataFrame:
     """(event, crop, id) of ``n`` crops of each event's image: boxes around anchors drawn by blurred activity, tried until one
-    holds ``least`` rows, else the centre box; an empty centre box gives the first row."""
+    holds ``least`` rows, else the centre box; an empty centre box gives the first row.
 
-    down, across = blur_matrix(height, sigma), blur_matrix(width, sigma)
+    An anchor is an occupied cell, moved by the blur's kernel along both axes and reflected at the border: what would be drawn from the
+    blurred image, without making it (but for its outermost pixels, which a reflected blur counts twice). All draws are ``uniform(seed, event, crop, attempt, k)`` for k from 0 to 4: the cell, in the order of y, then x, the
+    two moves, the area and the aspect. So a crop is the same wherever it is made, and SQL can make it too.
+    """
+    shifts, steps = [i for i, _ in kernel(sigma)], [c for _, c in kernel(sigma)]
+    kinds = dict(rows.dtypes)
 
     def crop(c: dict) -> dict:
-        x, y, rng = c["x"], c["y"], np.random.default_rng([seed, int(c[group][0])])
-        grid = np.zeros((height, width))
-        grid[y.clip(0, height - 1), x.clip(0, width - 1)] = 1
-        heat = (down @ grid @ across.T).clip(0).ravel()
-        heat = heat / heat.sum() if heat.sum() > 1e-12 else np.full(heat.size, 1 / heat.size)
-
-        def size() -> tuple[int, int]:
-            area, a = rng.uniform(*scale) * width * height, math.exp(rng.uniform(math.log(aspect[0]), math.log(aspect[1])))
+        import hashlib
+        from bisect import bisect_right
+
+        x, y, event = c["x"], c["y"], c[group][0]
+        cells = np.unique(y.clip(0, height - 1) * width + x.clip(0, width - 1))
+
+        def draws(k: int, attempt: int) -> list[float]:
+            return [int(hashlib.md5(f"{seed}:{event}:{k}:{attempt}:{i}".encode()).hexdigest()[:13], 16) / (1 << 52) for i in range(5)]
+
+        def size(u: list[float]) -> tuple[int, int]:
+            area, a = (scale[0] + (scale[1] - scale[0]) * u[3]) * width * height, math.exp(math.log(aspect[0]) + (math.log(aspect[1]) - math.log(aspect[0])) * u[4])
             return max(1, min(round(math.sqrt(area * a)), width)), max(1, min(round(math.sqrt(area / a)), height))
 
+        def moved(at: int, u: float, end: int) -> int:
+            period = max(1, 2 * end - 2)
+            to = (at + shifts[min(bisect_right(steps, u), len(shifts) - 1)]) % period
+            return min(to, period - to) if end > 1 else 0
+
         def inside(left: int, top: int, w: int, h: int) -> np.ndarray:
             return np.flatnonzero((x >= left) & (x < left + w) & (y >= top) & (y < top + h))
 
         out = []
         for k in range(n):
-            for anchor in rng.choice(heat.size, attempts, p=heat):
-                w, h = size()
-                found = inside(max(0, min(round(anchor % width - w / 2), width - w)), max(0, min(round(anchor // width - h / 2), height - h)), w, h)
+            for attempt in range(attempts):
+                u = draws(k, attempt)
+                cell = int(cells[int(u[0] * len(cells))])
+                (w, h), ax, ay = size(u), moved(cell % width, u[1], width), moved(cell // width, u[2], height)
+                found = inside(max(0, min(round(ax - w / 2), width - w)), max(0, min(round(ay - h / 2), height - h)), w, h)
                 if len(found) >= least:
                     break
             else:
-                w, h = size()
+                w, h = size(draws(k, attempts))
                 found = inside((width - w) // 2, (height - h) // 2, w, h)
                 found = found if len(found) else np.zeros(1, int)
             out.append((k, found))
         at = np.concatenate([f for _, f in out])
         return {group: c[group][at], "crop": np.repeat([k for k, _ in out], [len(f) for _, f in out]), "id": c["id"][at]}
 
-    kinds = dict(rows.dtypes)
     return by_runs(rows, group, ["id"], crop, f"{group} {kinds[group]}, crop bigint, id {kinds['id']}")
 
 

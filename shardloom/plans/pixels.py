@@ -330,8 +330,35 @@ def block_mask(spark, d):
     return augment.block_mask(rows.withColumn("batch", F.col("event_idx") % 64), 200, 20, 0.5, 1).select("batch", "event_idx", "id", "masked")
 
 
-@query()
+# Draws, boxes and counts of all attempts; the first that holds two rows counts, then the centre box, then the first row.
+_U = "CAST(('0x' || substr(md5('1:' || event_idx || ':' || crop || ':' || attempt || ':{0}'), 1, 13)) AS BIGINT) / 4503599627370496::DOUBLE"
+_CROPS = f"""{PIXELS}, p AS (SELECT event_idx, pixel_idx AS id, min(channel // 32) AS x, min(tick) AS y FROM px GROUP BY 1, 2), cells AS (SELECT event_idx, list(c ORDER BY c) AS cs FROM (SELECT DISTINCT event_idx, least(greatest(y, 0), 99) * 64 + least(greatest(x, 0), 63) AS c FROM p) GROUP BY 1),
+w0 AS (SELECT i, exp(-0.5::DOUBLE * (i / 2.0::DOUBLE) * (i / 2.0::DOUBLE)) AS g FROM (SELECT unnest(range(-6, 7)) AS i)), kn AS (SELECT list(i ORDER BY i) AS shifts, list(c ORDER BY i) AS steps FROM (SELECT i, sum(g) OVER (ORDER BY i) / sum(g) OVER () AS c FROM w0)),
+dr AS (SELECT event_idx, cs, crop, attempt, {", ".join(f"{_U.format(k)} AS u{k}" for k in range(5))} FROM cells, (SELECT unnest(range(0, 2)) AS crop), (SELECT unnest(range(0, 51)) AS attempt)),
+sz AS (SELECT event_idx, crop, attempt, cs[1 + CAST(floor(u0 * len(cs)) AS BIGINT)] AS cell, shifts[1 + least(len(list_filter(steps, lambda c: c <= u1)), 12)] AS dx, shifts[1 + least(len(list_filter(steps, lambda c: c <= u2)), 12)] AS dy,
+ CAST(greatest(1, least(round_even(sqrt((0.3::DOUBLE + (0.6::DOUBLE - 0.3::DOUBLE) * u3) * 6400 * exp(ln(0.7::DOUBLE) + (ln(1.4::DOUBLE) - ln(0.7::DOUBLE)) * u4)), 0), 64)) AS BIGINT) AS w,
+ CAST(greatest(1, least(round_even(sqrt((0.3::DOUBLE + (0.6::DOUBLE - 0.3::DOUBLE) * u3) * 6400 / exp(ln(0.7::DOUBLE) + (ln(1.4::DOUBLE) - ln(0.7::DOUBLE)) * u4)), 0), 100)) AS BIGINT) AS h FROM dr, kn),
+mv AS (SELECT *, (cell % 64 + dx + 126) % 126 AS mx, (cell // 64 + dy + 198) % 198 AS my FROM sz),
+bx AS (SELECT event_idx, crop, attempt, w, h, CASE WHEN attempt = 50 THEN (64 - w) // 2 ELSE CAST(greatest(0, least(round_even(least(mx, 126 - mx) - w / 2.0::DOUBLE, 0), 64 - w)) AS BIGINT) END AS l,
+ CASE WHEN attempt = 50 THEN (100 - h) // 2 ELSE CAST(greatest(0, least(round_even(least(my, 198 - my) - h / 2.0::DOUBLE, 0), 100 - h)) AS BIGINT) END AS t FROM mv),
+hit AS (SELECT bx.event_idx, crop, attempt, p.id FROM bx JOIN p ON p.event_idx = bx.event_idx AND x >= l AND x < l + w AND y >= t AND y < t + h),
+ok AS (SELECT event_idx, crop, min(attempt) AS attempt FROM (SELECT event_idx, crop, attempt FROM hit GROUP BY 1, 2, 3 HAVING count(*) >= 2 OR attempt = 50) GROUP BY 1, 2),
+cr AS (SELECT event_idx, crop, id FROM hit JOIN ok USING (event_idx, crop, attempt) UNION ALL
+ SELECT event_idx, crop, min(id) FROM (SELECT p.*, unnest(range(0, 2)) AS crop FROM p) q ANTI JOIN ok USING (event_idx, crop) GROUP BY 1, 2)"""
+
+
+def _crops(spark, d):
+    rows = S.pixels(spark, d).groupBy("event_idx", F.col("pixel_idx").alias("id")).agg(F.min(F.expr("cast(channel div 32 AS int)")).alias("x"), F.min(F.expr("cast(tick AS int)")).alias("y"))
+    return augment.crops(rows, 64, 100, 2, (0.3, 0.6), (0.7, 1.4), 2, 1)
+
+
+@query(f"WITH {_CROPS} SELECT event_idx, crop, id FROM cr")
+def crop_rows(spark, d):
+    return _crops(spark, d)
+
+
+@query(f"""WITH {_CROPS}, v AS (SELECT event_idx, crop * 2 + m AS view, id FROM cr, (SELECT unnest(range(0, 2)) AS m)),
+r AS (SELECT *, count(*) OVER (PARTITION BY event_idx, view) AS n, row_number() OVER (PARTITION BY event_idx, view ORDER BY md5('1:' || event_idx || ':' || view || ':' || id), event_idx || ':' || view || ':' || id) AS k FROM v)
+SELECT event_idx, view, id, k <= least(floor(n * 0.5), n - 1) AS masked FROM r""")
 def crop_views(spark, d):
-    rows = S.pixels(spark, d).selectExpr("event_idx", "pixel_idx AS id", "cast(channel div 32 AS int) AS x", "cast(tick AS int) AS y")
-    found = augment.crops(rows, 64, 100, 2, (0.3, 0.6), (0.7, 1.4), 2, 1)
-    return augment.views(found, 2, 0.5, 1)
+    return augment.views(_crops(spark, d), 2, 0.5, 1)
