@@ -53,7 +53,7 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():  # a character of a byte-level token stands for a byte
             self.n_bytes[i] = len(added[i].content.encode()) if i in added else len(token)
         # the same merges without the pattern, for what is one word; its characters stand for their own bytes, and Ġ for a blank
-        self.merges = Tokenizer.from_str(vocabulary)
+        self.merges = Tokenizer(self.tokenizer.model)  # shared, not copied
         self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         # the known parts, how many ids each has, its ids one after the other, and the batch that used it last
         self.parts, self.counts, self.ids, self.used, self.batch = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), 0
