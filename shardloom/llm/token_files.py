@@ -27,7 +27,7 @@ GROUP_BYTES, PAGE_ROWS, PAGE_BYTES = 8 << 20, 64, 1 << 16
 #: Characters of text in a shard at about.
 SHARD_CHARS = 64 << 20
 #: Units of text of which a Python worker keeps the ids; characters of text encoded at once (or one longer text).
-CACHED, AT_ONCE = 800_000, 1 << 22
+CACHED, AT_ONCE = 400_000, 1 << 21
 #: White space before a blank, in RE2.
 BLANK_AFTER_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\pZ] "
 SCHEMA = "doc_id {kind}, shard int, at long, n_tokens long, ids array<int>"
