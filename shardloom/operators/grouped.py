@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,8 +18,9 @@ def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def by_runs(rows: DataFrame, group: str, sort: list[str], body: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """``body`` for the rows of each group, in the order of ``sort``: columns in, columns of ``schema`` out.
+def by_packs(rows: DataFrame, group: str, sort: list[str], body: Callable[[dict[str, np.ndarray], np.ndarray], tuple[dict[str, np.ndarray], np.ndarray]], schema: str) -> DataFrame:
+    """``body`` for many whole groups at once, each in the order of ``sort``: columns and the places where groups begin (and the last ends)
+    in, columns of ``schema`` and each row's group, counted from 0, out.
 
     Groups are dealt out and sorted by Spark; a task cuts its sorted batches into groups, so that a group costs no frame
     of its own. A group that goes over batches is put together once. Rows with a null group are one group, for which
@@ -52,13 +53,38 @@ def by_runs(rows: DataFrame, group: str, sort: list[str], body: Callable[[dict[s
         return np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (null[1:] != null[:-1]), [True]))).tolist()
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        columns, at = {c: frame[c].to_numpy() for c in frame.columns if c != "__null"}, cuts(frame)
-        parts = [body({c: v[a:b] for c, v in columns.items()}) for a, b in zip(at, at[1:], strict=False)]
-        out = pd.DataFrame({n: np.concatenate([np.asarray(p[n]) for p in parts]) for n in names})
+        columns, at = {c: frame[c].to_numpy() for c in frame.columns if c != "__null"}, np.array(cuts(frame))
+        found, of = body(columns, at)
+        out = pd.DataFrame({n: found[n] for n in names})
         null = frame["__null"].to_numpy()[at[:-1]]
         if group in names and null.any():
-            sizes = [len(p[names[0]]) for p in parts]
-            out[group] = out[group].astype(object).where(~np.repeat(null, sizes), None)
+            out[group] = out[group].astype(object).where(~null[of], None)
         return out
 
     return keyed.repartition(group, "__null").sortWithinPartitions(group, "__null", *sort).mapInPandas(run, schema)
+
+
+def by_runs(rows: DataFrame, group: str, sort: list[str], body: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``body`` for the rows of each group, in the order of ``sort``: columns in, columns of ``schema`` out; see ``by_packs``."""
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def each(columns: dict, at: np.ndarray) -> tuple[dict, np.ndarray]:
+        parts = [body({c: v[a:b] for c, v in columns.items()}) for a, b in zip(at, at[1:], strict=False)]
+        of = np.repeat(np.arange(len(parts)), [len(p[names[0]]) for p in parts])
+        return {n: np.concatenate([np.asarray(p[n]) for p in parts]) for n in names}, of
+
+    return by_packs(rows, group, sort, each, schema)
+
+
+def pairs(start: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, column) of all pairs of rows of the same group, a row with itself included, in their order; a group's pairs come together,
+    with those of others up to about ``most``."""
+    ends = np.cumsum(size * size)
+    edges = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(size)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        n = size[a:b]
+        rows = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[a:b], n)
+        of = np.repeat(n, n)
+        column = np.arange(int(of.sum())) - np.repeat(np.cumsum(of) - of, of) + np.repeat(np.repeat(start[a:b], n), of)
+        if len(column):
+            yield np.repeat(rows, of), column
