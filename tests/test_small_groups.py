@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from shardloom.operators import neighbors
+from shardloom.operators import augment, neighbors
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +35,10 @@ def test_small_groups_meet_in_no_cells(spark, points, monkeypatch):
     assert neighbors.suppress(xy, 3.0).count() == points.count()
     neighbors.ball(xy, xy, 3.0, ["event_idx"]).count()
     neighbors.tokens(points, 3.0, 3).count()
+
+
+def test_crops_without_rows_in_the_image_need_no_attempts(spark):
+    rows = [(1, 5, 100, 3), (1, 4, 50, 60), (2, 7, 4, 4), (2, 6, 90, 4), (None, 9, -1, 0)]
+    df = spark.createDataFrame(rows, "event_idx long, id long, x int, y int")
+    found = augment.crops(df, 8, 8, 2, (0.9, 0.9), (1.0, 1.0), 2, 0, attempts=20_000_000)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, k, 4) for k in (0, 1)] + [(2, k, 7) for k in (0, 1)] + [(None, k, 9) for k in (0, 1)], key=str)
