@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +28,38 @@ def due(stream: DataFrame, step: str, cadence: int) -> DataFrame:
     return stream.where(F.pmod(F.col(step), F.lit(cadence)) == 0)
 
 
+def _latest(rows: pd.DataFrame, step: str, n: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The ``n`` rows of the largest steps, and the others."""
+    rows = rows.sort_values(step, kind="stable")
+    return rows.iloc[-n:], rows.iloc[:-n]
+
+
 def moving_mean(stream: DataFrame, momentum: float, by: str = "key", step: str = "step", value: str = "value") -> DataFrame:
     """(key, n, mean): exponential moving mean of a key's values, batch by batch in the order of steps. The first value is
-    taken as it is; null values change nothing. The state of a key is two numbers."""
+    taken as it is; null values change nothing. The state of a key is two numbers.
+
+    A key's rows of a batch come in parts, in any order. Only the last of them, by steps, are held: those whose weight is not zero in
+    double precision, whatever they are (14,146 for a momentum of 0.9). An infinite value before them is not forgotten.
+    """
+    last = math.ceil(-2150 * math.log(2) / math.log(momentum)) + 1 if 0 < momentum < 1 else None if momentum else 1
 
     def update(key, parts, state: GroupState):
         mean, n = state.get if state.exists else (None, 0)
+        held, before, lost = None, n, 0.0
         for part in parts:
-            for v in part.sort_values(step)[value].dropna():
-                mean, n = (float(v) if mean is None else momentum * mean + (1 - momentum) * float(v)), n + 1
+            own = part[[step, value]].dropna(subset=[value])
+            held, n = own if held is None else pd.concat([held, own], ignore_index=True), n + len(own)
+            if last and len(held) > 2 * last:
+                held, gone = _latest(held, step, last)
+                lost += float(gone[value].astype(float).loc[lambda v: v.abs() == math.inf].sum())
+        if held is not None and len(held):
+            values = held.sort_values(step, kind="stable")[value].astype(float).tolist()
+            if n - before > len(values) and (mean is None or math.isfinite(mean)):
+                mean = None  # its weight is zero by now
+            if lost or lost != lost:
+                mean = lost if mean is None else mean + lost
+            for v in values:
+                mean = v if mean is None else momentum * mean + (1 - momentum) * v
         if mean is not None:
             state.update((mean, n))
         yield pd.DataFrame({by: [key[0]], "n": [n], "mean": [mean]})

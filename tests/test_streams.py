@@ -84,3 +84,21 @@ def test_dumps_are_written_once(spark, tmp_path):
         ids = [r["id"] for r in sample.where((F.col("step") == step) & (F.col("name") == "a")).collect()]
         assert np.array(got[step, "a"][1]) == pytest.approx(np.cov(x[ids].T))
     assert dumps.read(spark, str(tmp_path / "out"), "files").count() == 2
+
+
+def test_a_stream_in_any_order_within_a_batch(spark, tmp_path):
+    """More rows of a key than an Arrow batch has, and than are held, in no order: as the batch answer."""
+    import math
+
+    from shardloom.streaming import logs
+
+    rows = spark.range(60_000).selectExpr("if(id % 6 = 0, 'a', 'b') AS key", "id AS step", "if(id % 7 = 0, null, double(pmod(xxhash64(id), 1000))) AS value")
+    rows = rows.unionByName(spark.createDataFrame([("c", i, math.inf if i == 3 else 1.0) for i in range(40_000)], rows.schema))
+    rows.repartition(5).sortWithinPartitions("value").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = logs.moving_mean(logs.read_stream(spark, str(tmp_path / "in"), rows.schema), 0.9)
+    run = stream.writeStream.outputMode("update").format("memory").queryName("any_order").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r["key"]: (r["n"], r["mean"]) for r in spark.table("any_order").collect()}
+    want = {r["key"]: (r["n"], r["mean"]) for r in logs.moving_mean_batch(rows.where("key <> 'c'"), 0.9).collect()}
+    assert got.pop("c") == (40_000, math.inf)
+    assert {k: (n, round(m, 9)) for k, (n, m) in got.items()} == {k: (n, round(m, 9)) for k, (n, m) in want.items()}
