@@ -41,6 +41,18 @@ def test_fit_equals_numpy_on_the_same_batches(spark):
         mlp.fit(df.limit(0), 3, 5)
 
 
+def test_many_rows_come_in_larger_batches(spark, monkeypatch):
+    df = spark.range(300).selectExpr("array(double(id % 7), double(id % 3)) AS vec", "int(id % 2) AS y")
+    steps, update = [], mlp.Adam.update
+    monkeypatch.setattr(mlp.Adam, "update", lambda self, g: (steps.append(1), update(self, g))[1])
+    monkeypatch.setattr(mlp, "STEPS", 3)
+    got = mlp.fit(df, 2, 1, epochs=2, batch=10, hidden=4)
+    assert len(steps) == 6
+    want = mlp.fit(df, 2, 1, epochs=2, batch=100, hidden=4)
+    for a, b in zip(got.parts(), want.parts(), strict=True):
+        assert a == pytest.approx(b, abs=1e-12)
+
+
 def linear():
     w = np.arange(12).reshape(3, 4) - 5.0
 
