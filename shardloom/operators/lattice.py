@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from shardloom.operators.grouped import pairs
+
 #: Pairs of points that are held at once; that are all looked at, as that costs less than a lattice.
 PAIRS, FEW = 1 << 20, 1 << 14
 
@@ -82,3 +84,24 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, skip_own: bool = False) -> tup
             again.append(active[a:b][~done])
         active, reach = np.concatenate(again), reach * 2
     return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
+
+
+def nearest_in_groups(x: np.ndarray, at: np.ndarray, k: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``nearest`` among the rows of each group, which begin at ``at`` (and the last ends there); a row is no neighbour of itself. Of small
+    groups all pairs are looked at together. ``side`` (0 or 1 of each row): only rows of the other side are neighbours."""
+    size, fine = np.diff(at), np.isfinite(x).all(axis=1)
+    few = size * size <= FEW
+    found = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64))]
+    for row, col in pairs(at[:-1][few], size[few], PAIRS):
+        own = fine[row] & fine[col] & (row != col if side is None else side[row] != side[col])
+        found.append(_ranked(row[own], col[own], x, x, k, False))
+    for a, b in zip(at[:-1][~few], at[1:][~few], strict=True):
+        if side is None:
+            row, col, away, rank = nearest(x[a:b], x[a:b], k, skip_own=True)
+            found.append((row + a, col + a, away, rank))
+            continue
+        sides = [a + np.flatnonzero(side[a:b] == s) for s in (0, 1)]
+        for own, other in (sides, sides[::-1]):
+            row, col, away, rank = nearest(x[own], x[other], k)
+            found.append((own[row], other[col], away, rank))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(4))

@@ -35,29 +35,25 @@ tk AS (SELECT *, row_number() OVER (PARTITION BY event_idx, query ORDER BY score
 
 
 def _near(spark, d):
-    pts = _points(spark, d)
-    rows = pts.select("event_idx", "id", F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("vec"))
-    return pts, neighbors.near_in_group(rows, 3, "event_idx")
+    """Points as rows of ``near_in_group``."""
+    vec = F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("vec")
+    return _points(spark, d).select("event_idx", "id", vec, "label", F.col("q").alias("value"))
 
 
 @query(f"WITH {_NEAR}, v AS (SELECT event_idx, query, other, count(*) AS n, row_number() OVER (PARTITION BY event_idx, query ORDER BY count(*) DESC, other) AS r FROM tk GROUP BY 1, 2, 3) SELECT event_idx, query, other AS predicted, n AS votes FROM v WHERE r = 1")
 def event_knn_vote(spark, d):
-    pts, near = _near(spark, d)
-    return neighbors.vote(near, pts, ["event_idx", "query"])
+    return neighbors.vote_in_group(_near(spark, d).drop("value"), 3, "event_idx")
 
 
 @query(f"WITH {_NEAR} SELECT event_idx, query, round(sum(oq / (-score + 1e-8)) / sum(1 / (-score + 1e-8)), 4) AS value FROM tk GROUP BY 1, 2")
 def interpolate(spark, d):
-    pts, near = _near(spark, d)
-    return neighbors.interpolate(near, pts.select("id", F.col("q").alias("value")), ["event_idx", "query"]).withColumn("value", F.round("value", 4))
+    return neighbors.interpolate_in_group(_near(spark, d).drop("label"), 3, "event_idx").withColumn("value", F.round("value", 4))
 
 
 @query(f"WITH {_NEAR} SELECT pt.event_idx, pt.id, round(coalesce(avg(tk.oq), 0), 4) AS value, count(tk.oq) > 0 AS covered FROM pt LEFT JOIN tk ON tk.event_idx = pt.event_idx AND tk.neighbour = pt.id GROUP BY 1, 2".replace("avg(tk.oq)", "avg(tk.score)").replace("count(tk.oq)", "count(tk.score)"))
 def local_features(spark, d):
     """Mean of what the groups that hold a point say of it; points in no group have 0."""
-    pts, near = _near(spark, d)
-    means = near.groupBy("event_idx", F.col("neighbour").alias("id")).agg(F.avg("score").alias("m"))
-    return pts.join(means, ["event_idx", "id"], "left").select("event_idx", "id", F.round(F.coalesce("m", F.lit(0.0)), 4).alias("value"), F.col("m").isNotNull().alias("covered"))
+    return neighbors.said_in_group(_near(spark, d).drop("label", "value"), 3, "event_idx").withColumn("value", F.round("value", 4))
 
 
 @query(f"""WITH {_POINTS}, n AS (SELECT event_idx, row_number() OVER (PARTITION BY event_idx ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY event_idx) AS n FROM pt),

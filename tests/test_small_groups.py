@@ -42,3 +42,25 @@ def test_crops_without_rows_in_the_image_need_no_attempts(spark):
     df = spark.createDataFrame(rows, "event_idx long, id long, x int, y int")
     found = augment.crops(df, 8, 8, 2, (0.9, 0.9), (1.0, 1.0), 2, 0, attempts=20_000_000)
     assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, k, 4) for k in (0, 1)] + [(2, k, 7) for k in (0, 1)] + [(None, k, 9) for k in (0, 1)], key=str)
+
+
+def test_means_and_votes_of_near_points_need_no_joins(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from shardloom.operators import lattice
+
+    rng = random.Random(5)
+    rows = [(e or None, e * 1000 + i, [float(rng.randrange(9)), float(rng.randrange(9)) if i != 3 else float("nan")], rng.randrange(3), rng.choice([None, 1.0, 2.5])) for e in range(12) for i in range(rng.randrange(1, 30))]
+    df = spark.createDataFrame(rows, "event_idx long, id long, vec array<double>, label int, value double").repartition(3)
+    order = lambda d: sorted(map(repr, d.collect()))
+    near = neighbors.near_in_group(df.select("event_idx", "id", "vec"), 3, "event_idx")
+    means = near.groupBy("event_idx", F.col("neighbour").alias("id")).agg(F.avg("score").alias("m")).select("id", "m")
+    want = [
+        order(neighbors.vote(near, df, ["event_idx", "query"])), order(neighbors.interpolate(near, df.select("id", "value"), ["event_idx", "query"]).withColumn("value", F.round("value", 6))),
+        order(df.join(means, "id", "left").select("event_idx", "id", F.round(F.coalesce("m", F.lit(0.0)), 6).alias("value"), F.col("m").isNotNull().alias("covered"))),
+    ]
+    for few in (lattice.FEW, 100):  # groups of up to ten rows, and larger ones
+        monkeypatch.setattr(lattice, "FEW", few)
+        got = [neighbors.vote_in_group(df.drop("value"), 3, "event_idx"), *[f(df, 3, "event_idx").withColumn("value", F.round("value", 6)) for f in (neighbors.interpolate_in_group, neighbors.said_in_group)]]
+        assert [order(d) for d in got] == want
+        assert all("Join" not in d._jdf.queryExecution().executedPlan().toString() for d in got)
