@@ -18,6 +18,18 @@ def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def by_size(rows: DataFrame, group: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups of up to ``most`` rows, and those of larger groups, if there are any. A null group is a group."""
+    from shardloom.sources.tables import cut
+
+    key = F.struct(group).alias("__of")
+    large = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).select("__of"))
+    if large.isEmpty():
+        return rows, None
+    keyed, large = rows.withColumn("__of", key), if_few(large)
+    return keyed.join(large, "__of", "left_anti").drop("__of"), keyed.join(large, "__of", "left_semi").drop("__of")
+
+
 def by_packs(rows: DataFrame, group: str, sort: list[str], body: Callable[[dict[str, np.ndarray], np.ndarray], tuple[dict[str, np.ndarray], np.ndarray]], schema: str) -> DataFrame:
     """``body`` for many whole groups at once, each in the order of ``sort``: columns and the places where groups begin (and the last ends)
     in, columns of ``schema`` and each row's group, counted from 0, out.

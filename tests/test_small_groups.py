@@ -59,8 +59,35 @@ def test_means_and_votes_of_near_points_need_no_joins(spark, monkeypatch):
         order(neighbors.vote(near, df, ["event_idx", "query"])), order(neighbors.interpolate(near, df.select("id", "value"), ["event_idx", "query"]).withColumn("value", F.round("value", 6))),
         order(df.join(means, "id", "left").select("event_idx", "id", F.round(F.coalesce("m", F.lit(0.0)), 6).alias("value"), F.col("m").isNotNull().alias("covered"))),
     ]
-    for few in (lattice.FEW, 100):  # groups of up to ten rows, and larger ones
-        monkeypatch.setattr(lattice, "FEW", few)
-        got = [neighbors.vote_in_group(df.drop("value"), 3, "event_idx"), *[f(df, 3, "event_idx").withColumn("value", F.round("value", 6)) for f in (neighbors.interpolate_in_group, neighbors.said_in_group)]]
-        assert [order(d) for d in got] == want
-        assert all("Join" not in d._jdf.queryExecution().executedPlan().toString() for d in got)
+    got = [neighbors.vote_in_group(df.drop("value"), 3, "event_idx"), *[f(df, 3, "event_idx").withColumn("value", F.round("value", 6)) for f in (neighbors.interpolate_in_group, neighbors.said_in_group)]]
+    assert [order(d) for d in got] == want
+    assert all("Join" not in d._jdf.queryExecution().executedPlan().toString() for d in got)
+
+
+def test_near_points_of_small_and_large_groups(monkeypatch):
+    import numpy as np
+
+    from shardloom.operators import lattice
+
+    rng = np.random.default_rng(1)
+    x, at, side = rng.integers(0, 9, (300, 2)).astype(float), np.array([0, 1, 5, 60, 260, 300]), rng.integers(0, 2, 300)
+    found = lambda s: sorted(zip(*(z.tolist() for z in lattice.nearest_in_groups(x, at, 3, s)), strict=True))
+    monkeypatch.setattr(lattice, "FEW", 1 << 20)
+    want = found(None), found(side)
+    monkeypatch.setattr(lattice, "FEW", 100)
+    assert (found(None), found(side)) == want
+
+
+def test_cells_of_small_events_are_grown_whole(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(e or None, rng.randrange(200), rng.randrange(80) if i else None) for e in range(20) for i in range(rng.randrange(2, 30))]
+    df = spark.createDataFrame(rows, "event_idx long, x long, y long").repartition(3)
+    order = lambda d: sorted(map(repr, d.collect()))
+    want = None
+    for solo in (0, 12, 1024):
+        monkeypatch.setattr(neighbors, "SOLO", solo)
+        for args in ((16, 8, 2), (4, 4, 1), (8, 2, 3)):
+            got = augment.grow(df, *args)
+            want = want or {}
+            assert order(got) == want.setdefault(args, order(got))
+    assert augment.grow(df, 16, 8, 2)._jdf.queryExecution().executedPlan().toString().count("Generate") == 0
