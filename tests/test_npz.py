@@ -81,3 +81,23 @@ def test_a_failed_write_leaves_nothing(spark, tables, tmp_path):
 def test_parts_are_bounded_and_empty_tables_are_packs(spark, tables, tmp_path, monkeypatch):
     npz.pack(tables[0].limit(0), tables[1], str(tmp_path / "none"))
     assert npz.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_part_is_written_a_piece_at_a_time(tmp_path):
+    import zipfile
+
+    import pyarrow as pa
+
+    pixel = pa.struct([("channel", pa.int64()), ("tick", pa.int64()), ("charge", pa.float64()), ("pixel_trackid", pa.int64())])
+    pixels = pa.array([[{"channel": i, "tick": j, "charge": i / 2, "pixel_trackid": j} for j in range(i % 4)] if i % 5 else None for i in range(23)], pa.list_(pixel))
+    own = {c: pa.array(range(23), pa.float32() if k == "float" else pa.int64()) for c, k in npz.EVENT_TYPES.items()}
+    batch = pa.RecordBatch.from_pydict({"event_idx": pa.array(range(23)), "event_key": pa.array(["k" * (1 + i % 7) for i in range(23)]), **own, "vertex_xyz": pa.array([None, [1.0, 2.0, 3.0]] + [None] * 21, pa.list_(pa.float32())), "pixels": pixels})
+    spool = npz.Spool()
+    for start in range(0, 23, 6):
+        spool.add(npz._arrays([batch.slice(start, 6)]))
+    with zipfile.ZipFile(tmp_path / "a.npz", "w") as z:
+        spool.write(z)
+    got, want = np.load(tmp_path / "a.npz"), npz._arrays([batch])
+    assert set(got) == set(want)
+    for name, value in want.items():
+        assert got[name].dtype == value.dtype and np.array_equal(got[name], value, equal_nan=value.dtype.kind == "f")
