@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few columns is broadcast (some MB).
 FEW = 100_000
+#: Rows of a task, on average, where groups are sorted several times.
+A_TASK = 250_000
 
 
 def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
@@ -18,6 +21,11 @@ def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def dealt(rows: DataFrame, group: str) -> DataFrame:
+    """``rows`` dealt out by group, with as many tasks as there are A_TASK rows: what a task sorts doesn't grow with the table."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / A_TASK)), group)
+
+
 def by_size(rows: DataFrame, group: str, most: int) -> tuple[DataFrame, DataFrame | None]:
     """The rows of groups of up to ``most`` rows, and those of larger groups, if there are any. A null group is a group."""
     from shardloom.sources.tables import cut

@@ -91,3 +91,15 @@ def test_cells_of_small_events_are_grown_whole(spark, monkeypatch):
             want = want or {}
             assert order(got) == want.setdefault(args, order(got))
     assert augment.grow(df, 16, 8, 2)._jdf.queryExecution().executedPlan().toString().count("Generate") == 0
+
+
+def test_tasks_that_sort_groups_grow_in_number_not_in_size(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from shardloom.operators import grouped, sampling
+
+    df = spark.range(2_000).selectExpr("id % 500 AS event_idx", "id", "id % 13 AS x", "id % 7 AS y", "if(id % 9 = 0, null, id % 3 = 0) AS positive").coalesce(1)
+    monkeypatch.setattr(grouped, "A_TASK", 100)
+    for out in (augment.wipe_cells(df, 4, 3, 0.5, 1, "id"), sampling.cap_negatives(df, "event_idx", F.col("positive"), 1, "id", 1.5, 4)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count("hashpartitioning(event_idx") == 1 and ", 20)" in plan and "Join" not in plan
