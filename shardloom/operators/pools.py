@@ -63,6 +63,7 @@ def draw_pools(pixels: DataFrame, events: DataFrame, spec: PoolSpec, key: str =
     if "label" not in pixels.columns:
         spec.notes["all"] = "no labels of pixels"
         return pixels.select(F.lit("").alias("pool"), key).limit(0)
+    pixels = pixels.select(*[c for c in pixels.columns if c in ("event_idx", key, "label", "energyfrac", "trackid", "distance")])
     rows = pixels.join(if_few(sampling.event_split(events, spec.seed, spec.train_frac)), "event_idx", "left")
     train, val = F.coalesce("is_train", F.lit(False)), F.coalesce(~F.col("is_train"), F.lit(False))
     order, labelled = md5_order(spec.seed, F.col(key)), F.col("label") != 0

@@ -184,3 +184,37 @@ def test_partition_values_are_folders(spark, tmp_path):
 
     spark.range(6).selectExpr("id", "concat('a b/', id % 2) AS group").write.partitionBy("group").parquet(str(tmp_path / "t"))
     assert tables.partition_values(spark, str(tmp_path / "t"), "group") == {"a b/0", "a b/1"}
+
+
+def test_draws_take_one_digest_a_row_and_quotas_rank_few_events(spark, monkeypatch):
+    rows = spark.range(30_000).selectExpr("id AS k", "id DIV 3 AS event_idx", "cast(id % 4 AS int) AS label")
+    plans, ranked, kept, each = [], [], sampling.cut, sampling.per_event
+    monkeypatch.setattr(sampling, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df))[1])
+    order = md5_order(1, F.col("k"))
+    drawn = sampling.draws(rows, [sampling.Draw(str(i), 40, order, F.col("label") > i) for i in range(3)], ["k"])
+    assert plans[0].count("md5(") == 1 and plans[1].count("md5(") == 2  # to take: to leave rows out, and of those that are left
+    first = lambda seed, of, n, key: sorted(of, key=lambda r: (digest(seed, key(r)), r))[:n]
+    every = [(i, i // 3, i % 4) for i in range(30_000)]
+    assert sorted((r["draw"], r["k"]) for r in drawn.collect()) == sorted((str(i), r[0]) for i in range(3) for r in first(1, [r for r in every if r[2] > i], 40, lambda r: r[0]))
+
+    monkeypatch.setattr(sampling, "per_event", lambda rows, *a: (ranked.append(rows.count()), each(rows, *a))[1])
+    got = sorted((r["label"], r["k"]) for r in sampling.quota_pool(rows, 50, 1, 7, "k").collect())
+    assert ranked[0] < 1000
+    want = []
+    for label in (1, 2, 3):
+        of = sorted((digest(7, e), e, digest(7, k), k) for k, e, x in every if x == label)
+        best = {}
+        for _, e, _, k in of:
+            best.setdefault(e, k)
+        want += [(label, k) for k in list(best.values())[:50]]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("share", [0, 0.2, 0.8, 1])
+def test_split_ranks_only_the_range_of_the_cut(spark, share):
+    events = spark.range(3000).selectExpr("CASE WHEN id > 2 THEN id END AS event_idx")  # three null events, of one digest
+    got = sampling.event_split(events, 5, share)
+    assert got.count() == 3000 and got.where("is_train").count() == int(share * 3000)
+    want = sorted(range(3, 3000), key=lambda i: digest(5, i))
+    train = {r["event_idx"] for r in got.where("is_train AND event_idx IS NOT NULL").collect()}
+    assert train == set(want[: len(train)]) and "Join" not in plan(got)
