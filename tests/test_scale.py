@@ -218,3 +218,41 @@ def test_split_ranks_only_the_range_of_the_cut(spark, share):
     want = sorted(range(3, 3000), key=lambda i: digest(5, i))
     train = {r["event_idx"] for r in got.where("is_train AND event_idx IS NOT NULL").collect()}
     assert train == set(want[: len(train)]) and "Join" not in plan(got)
+
+
+def test_vertices_of_many_events_are_merged_at_once(spark, monkeypatch):
+    from shardloom.operators import vertices
+
+    rng = np.random.default_rng(6)
+    sizes = [0, 1, 40, 0, 7, 300, 2, 90, 0]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    xyz, kind = rng.integers(0, 5, (at[-1], 3)) / 2, rng.integers(0, 5, at[-1])
+    place, identity = [], []
+    for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
+        open_ = list(range(a, b))
+        while open_:
+            members = [i for i in open_ if ((xyz[i] - xyz[open_[0]]) ** 2).sum() <= 1]
+            place.append(members[0])
+            identity.append(min(members, key=lambda i: (kind[i], i)))
+            open_ = [i for i in open_ if i not in members]
+    for solo in (1024, 50):
+        monkeypatch.setattr(vertices, "SOLO", solo)
+        got = vertices.merged(xyz, kind, at=at)
+        assert got[0].tolist() == place and got[1].tolist() == identity
+    # 200,000 events of some primaries and vertices, of which each cost a loop of its own
+    n, began = 200_000, time.time()
+    got = vertices.merged(rng.integers(0, 4, (4 * n, 3)).astype(float), np.zeros(4 * n, int), at=np.arange(0, 4 * n + 1, 4))
+    assert time.time() - began < 8 and n <= len(got[0]) < 4 * n
+    values = np.array([3.0, np.nan, 1.0, 7.0, 2.0, np.nan])
+    assert np.array_equal(vertices.medians(values, np.array([0, 0, 0, 2, 2, 3]), 5), [2.0, np.nan, 4.5, np.nan, np.nan], equal_nan=True)
+
+
+def test_interaction_of_missing_starts(spark):
+    from shardloom.operators import vertices
+
+    cols = "event_idx long, pos int, trackid int, pid int, motherid int, proc int, endproc int, start_x double, start_y double, start_z double, end_x double, end_y double, end_z double, start_ke double, end_ke double"
+    part = lambda e, pos, x, y: (e, pos, pos + 1, 11, 0, 0, 0, x, y, 0.5, 9.0, 9.0, 9.0, 0.1, 0.1)
+    parts = spark.createDataFrame([part(1, 0, 1.0, None), part(1, 1, 2.0, None), part(1, 2, 4.0, None), part(1, 3, None, None), part(2, 0, 1.0, 5.0), part(2, 1, 2.0, 6.0), part(None, 0, 3.0, 3.0)], cols)
+    ev = spark.createDataFrame([(1, 7.0, 8.0, 9.0), (2, 7.0, 8.0, 9.0), (3, 7.0, 8.0, 9.0), (None, 4.0, 4.0, 4.0)], "event_idx long, vertex_x double, vertex_y double, vertex_z double")
+    got = vertices.derive_vertices(parts, ev, spark.createDataFrame([], "event_idx long, trackid int")).collect()
+    assert sorted((r["event_idx"] or 0, r["x"], r["y"], r["z"], r["type"]) for r in got) == [(0, 4.0, 4.0, 4.0, 0), (1, 2.0, 8.0, 0.5, 0), (2, 1.5, 5.5, 0.5, 0), (3, 7.0, 8.0, 9.0, 0)]
