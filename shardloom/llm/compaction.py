@@ -19,12 +19,14 @@ from pyspark.sql import types as T
 
 #: Bytes of a finished shard, and shards of a tier that make a run.
 TARGET, FANOUT = 128 << 20, 4
+#: Compression of shards, which are written twice or more and kept.
+CODEC = "zstd"
 #: Share of the target that the parts of a merged shard fill.
 ROOM = 0.9
 #: Versions from one complete list of shards to the next; seconds for which files of no version are kept, as a writer may be about to commit them.
 SNAPSHOT, GRACE = 32, 24 * 3600
-#: Runs that one job merges.
-AT_ONCE = 200
+#: Runs that one job merges, and jobs in which shards over the target are cut: what is on disk twice meanwhile is a STEPS-th of them.
+AT_ONCE, STEPS = 200, 8
 
 
 @dataclass(frozen=True)
@@ -165,21 +167,30 @@ class ShardStore:
         return [Shard(f"{folder}/{n}", size, rows[n]) for n, size in sorted(found.items()) if rows.get(n)]
 
     def _write(self, df: DataFrame, target: int) -> list[Shard]:
-        """Writes a shard per partition; those over the target are cut by rows, again and again, but for single rows over it."""
+        """Writes a shard per partition; those over the target are cut by rows, again and again, but for single rows over it,
+        some at a time."""
         folder = f"data/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{folder}")
+        df.write.option("compression", CODEC).parquet(f"{self.root}/{folder}")
         done = self._written(folder)
         while large := [s for s in done if s.bytes > target and s.rows > 1]:
-            folder = f"data/{uuid.uuid4().hex}"
-            per_file = max(1, min(s.rows * target // (s.bytes + s.bytes // 4 + 1) or s.rows // 2 for s in large))
-            per_file = min(per_file, max(s.rows for s in large) // 2)
-            self._read(large, df.schema).write.option("maxRecordsPerFile", max(1, per_file)).parquet(f"{self.root}/{folder}")
             gone = {s.path for s in large}
-            done = [*[s for s in done if s.path not in gone], *self._written(folder)]
-            for path in gone:
-                self.fs.delete(self._path(path), False)
+            done = [s for s in done if s.path not in gone]
+            several = -(-len(large) // STEPS)
+            for k in range(0, len(large), several):
+                done += self._cut(large[k : k + several], df.schema, target)
         return done
 
+    def _cut(self, large: list[Shard], schema: T.StructType, target: int) -> list[Shard]:
+        """Writes shards that no version has again in parts, by rows, and deletes them."""
+        folder = f"data/{uuid.uuid4().hex}"
+        per_file = max(1, min(s.rows * target // (s.bytes + s.bytes // 4 + 1) or s.rows // 2 for s in large))
+        per_file = min(per_file, max(s.rows for s in large) // 2)
+        self._read(large, schema).write.options(maxRecordsPerFile=max(1, per_file), compression=CODEC).parquet(f"{self.root}/{folder}")
+        parts = self._written(folder)
+        for s in large:
+            self.fs.delete(self._path(s.path), False)
+        return parts
+
     def append(self, df: DataFrame, target: int = TARGET) -> int:
         """Adds the rows as small shards, none over ``target``; returns the version that has them."""
         new = self._write(df, target)

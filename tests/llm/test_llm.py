@@ -881,3 +881,15 @@ def test_encode_table(spark, docs):
     got = pieces.encode(docs.withColumns({"ids": F.lit(1), "n_ids": F.lit(2)})).collect()
     assert len(got) == docs.count() and all(r["round_trip"] is not False and r["n_ids"] == len(r["ids"] or []) for r in got)
     assert sum(r["ids"] is None for r in got) == docs.where("text is null").count() and pieces.encode(empty(spark)).count() == 0
+
+
+def test_shards_over_the_target_are_cut_some_at_a_time(spark, tmp_path, monkeypatch):
+    store = compaction.ShardStore(spark, str(tmp_path / "s"))
+    rows = spark.range(0, 8000, 1, 16).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    used, plain = [], compaction.ShardStore._written
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "s" / "data").rglob("*.parquet"))
+    monkeypatch.setattr(compaction.ShardStore, "_written", lambda self, folder: (used.append(size()), plain(self, folder))[1])
+    store.append(rows, target=48 << 10)
+    assert len(used) > 4 and max(used) < 1.4 * used[0] and size() < 1.4 * used[0]  # a part of them is there twice, not all
+    assert all(s.bytes <= 48 << 10 for s in store.shards()) and sum(s.rows for s in store.shards()) == 8000
+    assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, rows.collect()))
