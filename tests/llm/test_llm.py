@@ -889,7 +889,7 @@ def test_shards_over_the_target_are_cut_some_at_a_time(spark, tmp_path, monkeypa
     used, plain = [], compaction.ShardStore._written
     size = lambda: sum(f.stat().st_size for f in (tmp_path / "s" / "data").rglob("*.parquet"))
     monkeypatch.setattr(compaction.ShardStore, "_written", lambda self, folder: (used.append(size()), plain(self, folder))[1])
-    store.append(rows, target=48 << 10)
+    store.append(rows, target=24 << 10)
     assert len(used) > 4 and max(used) < 1.4 * used[0] and size() < 1.4 * used[0]  # a part of them is there twice, not all
-    assert all(s.bytes <= 48 << 10 for s in store.shards()) and sum(s.rows for s in store.shards()) == 8000
+    assert all(s.bytes <= 24 << 10 for s in store.shards()) and sum(s.rows for s in store.shards()) == 8000
     assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, rows.collect()))
